@@ -19,6 +19,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.annotated(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op9_quality_rules,)}
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm import media
+
+    return media.described(media.stored(table(spark, sf_dir, "documents"))).drop("thumbnail")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_media_columns, op9_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
