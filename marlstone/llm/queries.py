@@ -37,12 +37,20 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decoded(ids, table_path, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from marlstone.llm import packing
+
+    return packing.packed(packing.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm import media
 
     return media.described(media.stored(table(spark, sf_dir, "documents"))).drop("thumbnail")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_byte_bpe, op8_media_columns, op9_quality_rules, op10_token_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_byte_bpe, op4_packing, op8_media_columns, op9_quality_rules, op10_token_ids)}
 
 ORACLE_SQL: dict[str, str] = {}
