@@ -45,12 +45,36 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm import linededup
+
+    done = linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm import media
 
     return media.described(media.stored(table(spark, sf_dir, "documents"))).drop("thumbnail")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_byte_bpe, op4_packing, op8_media_columns, op9_quality_rules, op10_token_ids)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_byte_bpe, op4_packing, op6_line_dedup, op8_media_columns, op9_quality_rules, op10_token_ids)}
+
+_SPACE = r"[\x20\x09-\x0D]"
+ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": f"""
+        with lines as (
+            select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as place
+            from documents
+        ), keyed as (
+            select *, translate(regexp_replace(regexp_replace(line, '^{_SPACE}+', ''), '{_SPACE}+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+            from lines
+        ), firsts as (
+            select key, min(doc_id) as first from keyed where length(key) >= 10 group by key having count(distinct doc_id) >= 2
+        )
+        select k.doc_id, count(*) as n_lines, count(*) filter (where f.first < k.doc_id) as n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) order by place) filter (where f.first is null or f.first = k.doc_id), '')) as kept_sha256
+        from keyed k left join firsts f on f.key = k.key
+        group by k.doc_id
+    """,
+}
