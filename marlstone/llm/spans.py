@@ -5,7 +5,7 @@ numpy finds the words or lines of all documents together and hashes every span
 from one running sum, so nothing loops over characters or words in Python.
 
 Null texts count as empty.  A batch is cut into pieces of about
-``PIECE_BYTES`` (one document is never cut), which bounds the working memory
+``PIECE_BYTES`` and ``PIECE_DOCS`` (one document is never cut), which bounds the working memory
 to a small multiple of the piece, or of the longest single document.
 """
 
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 21
+PIECE_DOCS = 1 << 14
 
 _rng = np.random.default_rng(20240607)
 #: One random odd multiplier and one random table of byte values for each of two independent hashes.
@@ -165,7 +166,7 @@ def pieces(column: pa.Array, fold: bool = False) -> Iterator[Piece]:
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, "right")) - 1)
+        to = min(at + PIECE_DOCS, max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, "right")) - 1), len(column))
         yield Piece(at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], fold)
         at = to
 
