@@ -33,6 +33,12 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.linked(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm import lm
+
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,7 +70,7 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.described(media.stored(table(spark, sf_dir, "documents"))).drop("thumbnail")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op3_byte_bpe, op4_packing, op6_line_dedup, op8_media_columns, op9_quality_rules, op10_token_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_lm_scoring, op3_byte_bpe, op4_packing, op6_line_dedup, op8_media_columns, op9_quality_rules, op10_token_ids)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 ORACLE_SQL: dict[str, str] = {
