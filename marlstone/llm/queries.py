@@ -57,6 +57,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm import html
+
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm import linededup
 
@@ -70,7 +76,7 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.described(media.stored(table(spark, sf_dir, "documents"))).drop("thumbnail")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_lm_scoring, op3_byte_bpe, op4_packing, op6_line_dedup, op8_media_columns, op9_quality_rules, op10_token_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_lm_scoring, op3_byte_bpe, op4_packing, op5_html_extraction, op6_line_dedup, op8_media_columns, op9_quality_rules, op10_token_ids)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 ORACLE_SQL: dict[str, str] = {
