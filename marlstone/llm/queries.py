@@ -70,16 +70,59 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm import warc
+
+    done = warc.resolved(warc.captures_of(table(spark, sf_dir, "pages")))
+    return done.withColumn("headers", F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm import media
 
     return media.described(media.stored(table(spark, sf_dir, "documents"))).drop("thumbnail")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_lm_scoring, op3_byte_bpe, op4_packing, op5_html_extraction, op6_line_dedup, op8_media_columns, op9_quality_rules, op10_token_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_lm_scoring, op3_byte_bpe, op4_packing, op5_html_extraction, op6_line_dedup, op7_warc_revisits, op8_media_columns, op9_quality_rules, op10_token_ids)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 ORACLE_SQL: dict[str, str] = {
+    "op7_warc_revisits": r"""
+        with page as (
+            select page_id, url, 1704067200 + 60 * page_id as ts, cast(length(html) as varchar) as size, '"' || substr(md5(html), 1, 16) || '"' as tag,
+                'day ' || cast(page_id % 97 as varchar) as modified, page_id % 5 = 0 as changed, page_id % 4 <> 0 as tagged
+            from pages
+        ), captures as (
+            select 3 * page_id as record_id, url, ts, true as is_full, 'max-age=60' as cache, modified, size, case when tagged then tag end as etag from page
+            union all
+            select 3 * page_id + 1, url, ts + 86400 * (1 + page_id % 3), false, 'max-age=120', case when changed and not tagged then 'changed' else modified end, '0',
+                case when not tagged then null when changed then '"changed"' when page_id % 7 = 0 then 'W/' || tag else tag end from page
+            union all
+            select 3 * page_id + 2, url, ts - 1, false, 'max-age=120', modified, '0', null from page where page_id % 11 = 0
+        ), bare as (
+            select *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as rest from captures
+        ), keyed as (
+            select *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^.*@', ''), ':(80|443)$', ''), '^www[0-9]*\.', '')
+                || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '')
+                || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
+                    lambda p: p <> '' and not regexp_matches(lower(p), '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)'))), '&'), ''), '') as url_key
+            from bare
+        ), latest as (
+            select r.*, f.record_id as response_id, f.ts as response_at, f.modified as stored_modified, f.etag as stored_etag, f.size as stored_size,
+                row_number() over (partition by r.record_id order by f.ts desc, f.record_id desc) as nth
+            from keyed r left join keyed f on f.is_full and f.url_key = r.url_key and (f.ts, f.record_id) < (r.ts, r.record_id)
+            where not r.is_full
+        ), judged as (
+            select *, case when response_id is null then 'no_response'
+                when etag is not null and coalesce(regexp_replace(etag, '^W/', '') = regexp_replace(stored_etag, '^W/', ''), false) then 'resolved'
+                when etag is null and modified = stored_modified then 'resolved' else 'validator_mismatch' end as status
+            from latest where nth = 1
+        )
+        select record_id, url_key, ts as captured_at, response_id, response_at, status,
+            'cache-control: ' || cache || chr(10) || 'content-length: ' || case when status = 'resolved' then stored_size else size end || chr(10) || 'date: ' || cast(ts as varchar)
+            || coalesce(chr(10) || 'etag: ' || coalesce(etag, case when status = 'resolved' then stored_etag end), '') || chr(10) || 'last-modified: ' || modified as headers
+        from judged
+    """,
     "op6_line_dedup": f"""
         with lines as (
             select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as place
