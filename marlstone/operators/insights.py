@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What stands in for a missing warning or tip.
 FALLBACKS = {
@@ -35,7 +36,7 @@ def repaired_object(raw: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repaired_json(raw: pd.Series) -> pd.Series:
     """Exact repair needs Python's JSON rules; Spark's parser accepts text after the value."""
     return raw.map(repaired_object)
