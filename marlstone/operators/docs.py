@@ -14,27 +14,30 @@ from marlstone.functions import text
 
 MIN_CHARS, MAX_CHARS, OVERLAP = 300, 2400, 250
 FOCUS = ("mdna", "strategy", "risk", "governance", "sustainability", "business_overview")
+FIRST_HEADING = "Gioi thieu"
 #: Phrases of financial statements' disclosures, which are no report text.
-DISCLOSURES = ("thuyet minh bao cao tai chinh", "bao cao kiem toan doc lap", "bang can doi ke toan", "bao cao luu chuyen tien te", "bao cao ket qua hoat dong kinh doanh")
+DISCLOSURES = ("thuyet minh bao cao tai chinh", "bao cao tai chinh hop nhat", "bang can doi ke toan", "bao cao luu chuyen tien te", "bao cao kiem toan doc lap")
 
 
 def sections(pages: DataFrame, file_col: str = "file", page_col: str = "page", text_col: str = "text") -> DataFrame:
-    """(file, section, heading, text, page_start, page_end): a heading starts a section, which may run over pages.
+    """(file, section, heading, text, page_start, page_end): a heading line starts a section, which may run over pages.
 
-    Lines before the first heading are section 0.  A section that a heading ends has that heading's page as its last.
+    Lines before the first heading are section 0, under a heading of its own.  A section that a heading ends has that
+    heading's page as its last, a file's last section the file's last page.
     """
     split = pages.select(F.col(file_col).alias("file"), F.col(page_col).alias("page"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "raw"))
     lines = split.withColumn("line", text.strip("raw")).where("line <> ''").withColumn("heading", text.is_heading("line"))
     order = Window.partitionBy("file").orderBy("page", "line_no")
     marked = lines.withColumn("section", F.count_if("heading").over(order))
     ended = marked.groupBy("file", "section").agg(
-        F.max(F.when(F.col("heading"), F.col("line"))).alias("heading"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("heading"), F.struct("page", "line_no", "line")))), lambda x: x["line"]), "\n").alias("text"),
+        F.coalesce(F.max(F.when(F.col("heading"), F.col("line"))), F.lit(FIRST_HEADING)).alias("heading"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "line"))), lambda x: x["line"]), "\n").alias("text"),
         F.min("page").alias("page_start"),
-        F.max("page").alias("last_page"),
     )
+    last = pages.groupBy(F.col(file_col).alias("file")).agg(F.max(page_col).alias("last_page"))
     after = F.lead("page_start").over(Window.partitionBy("file").orderBy("section"))
-    return ended.withColumn("page_end", F.coalesce(after, "last_page")).drop("last_page")
+    ended = ended.withColumn("page_start", F.when(F.col("section") == 0, 1).otherwise(F.col("page_start")))
+    return ended.join(last, "file").withColumn("page_end", F.coalesce(after, "last_page")).drop("last_page")
 
 
 def overlap_prefix(before: str, overlap: int) -> str:
@@ -91,14 +94,14 @@ def split_chunks(rows: DataFrame, text_col: str = "text", least: int = MIN_CHARS
 def chunks(section_rows: DataFrame, stock: Column, year: Column, least: int = MIN_CHARS, most: int = MAX_CHARS, overlap: int = OVERLAP, focus: bool = True) -> DataFrame:
     """Numbered chunks of report sections, in the order of rules that the filters need.
 
-    Sections below the least length go; pieces are cut; category, focus, noise headings and disclosures are judged;
-    garbled pieces and tables of contents go; what is left is numbered within its file.
+    Sections below the least length go, then by category, heading and disclosure; the others are cut, garbled pieces
+    and tables of contents go, and what is left is numbered within its file.
     """
-    long = section_rows.where(F.length("text") >= least).withColumns({"stock_code": stock, "year": year})
-    pieces = split_chunks(long, "text", least, most, overlap).withColumn("category", text.category(F.col("heading"), F.col("text")))
-    kept = pieces.where(F.col("category").isin(*FOCUS)) if focus else pieces
+    rows = section_rows.where(F.length("text") >= least).withColumns({"stock_code": stock, "year": year, "category": text.category(F.col("heading"), F.col("text"))})
+    rows = rows.where(F.col("category").isin(*FOCUS)) if focus else rows
     disclosed = text.normalized(F.concat_ws(" ", "heading", "text")).rlike("|".join(DISCLOSURES))
-    kept = kept.where(~text.is_noise_heading(F.col("heading")) & ~disclosed & ~text.is_garbled("text") & ~text.looks_like_contents("text"))
+    rows = rows.where(~text.is_noise_heading(F.col("heading")) & ~disclosed)
+    kept = split_chunks(rows, "text", least, most, overlap).where(~text.is_garbled("text") & ~text.looks_like_contents("text"))
     number = F.row_number().over(Window.partitionBy("file").orderBy("section", "piece_index"))
     return kept.withColumn("chunk_index", number).withColumn("chunk_id", F.concat_ws("_", "stock_code", "year", F.format_string("%04d", "chunk_index")))
 
@@ -107,7 +110,7 @@ def prefer_ocr(native: Column, ocr: Column) -> Column:
     """Whether a page's second reading is better: the first is empty or garbled and the second isn't, or is much longer."""
     n, o = F.length(text.strip(F.coalesce(native, F.lit("")))), F.length(text.strip(F.coalesce(ocr, F.lit(""))))
     bad, worse = text.is_garbled(native), text.is_garbled(ocr)
-    return F.when(o == 0, F.lit(False)).when(n == 0, F.lit(True)).when(bad & ~worse, F.lit(True)).when(worse, F.lit(False)).when(bad, o >= 1.2 * n).otherwise(o >= 1.5 * n)
+    return F.when(o == 0, F.lit(False)).when(n == 0, F.lit(True)).when(bad & ~worse, F.lit(True)).when(worse & ~bad, F.lit(False)).when(bad, o >= 1.2 * n).otherwise(o >= 1.5 * n)
 
 
 def links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", wanted: str = r"(?i)\.pdf$|\?.*pdf", most: int | None = None) -> DataFrame:

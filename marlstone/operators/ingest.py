@@ -48,9 +48,9 @@ def valid_symbols(df: DataFrame, symbol: str = "symbol", shortest: int = 2, long
 
 
 def dividend_events(events: DataFrame, title: str = "event_title", listed: str = "event_list_name") -> DataFrame:
-    """Events that name a dividend or bonus; CASH if money is named, else STOCK."""
+    """Events whose title names a dividend or bonus; CASH if title or list name speaks of money, else STOCK."""
     names = F.concat_ws(" ", title, listed)
-    kept = events.where(F.coalesce(F.col(title).rlike("(?iu)cổ tức|thưởng") | F.col(listed).rlike("(?iu)cổ tức|thưởng"), F.lit(False)))
+    kept = events.where(F.coalesce(F.col(title).rlike("(?iu)cổ tức|thưởng"), F.lit(False)))
     return kept.withColumn("eventType", F.when(F.lower(names).contains("tiền"), "CASH").otherwise("STOCK"))
 
 

@@ -35,7 +35,11 @@ def bm25(docs: DataFrame, query: Sequence[str], id_col: str, text_col: str, k1:
     """
     words = list(dict.fromkeys(query))
     found = text.tokens(text_col)
-    counts = [F.size(F.filter(found, lambda t, w=w: t == w)).cast("long").alias(f"tf{i}") for i, w in enumerate(words)]
+
+    def occurrences(word: str) -> Column:
+        return F.size(F.filter(found, lambda t: t == word)).cast("long")
+
+    counts = [occurrences(w).alias(f"tf{i}") for i, w in enumerate(words)]
     rows = docs.select(id_col, F.size(found).cast("long").alias("len"), *counts)
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words)))).first()
     score = F.lit(0.0)
