@@ -172,6 +172,8 @@ class _Image:
                 raise ValueError("a marker is missing")
             marker, length = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
             body = data[at + 4 : at + 2 + length]
+            if len(body) < length - 2:
+                raise ValueError("a segment is cut short")
             at += 2 + length
             if marker == 0xDB:
                 k = 0
