@@ -123,6 +123,24 @@ ORACLE_SQL: dict[str, str] = {
             || coalesce(chr(10) || 'etag: ' || coalesce(etag, case when status = 'resolved' then stored_etag end), '') || chr(10) || 'last-modified: ' || modified as headers
         from judged
     """,
+    "op1_ngram_jaccard": r"""
+        with recursive words as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+        ), shingles as (
+            select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from words
+        ), sizes as (
+            select d.doc_id, count(s.g) as n from documents d left join shingles s on s.doc_id = d.doc_id group by d.doc_id
+        ), pairs as (
+            select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
+        ), links as (
+            select x, y from pairs join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 75 * (p.n + q.n - c)
+        ), twoway as (
+            select x, y from links union all select y, x from links
+        ), reach(a, b) as (
+            select doc_id, doc_id from documents union select r.a, e.y from reach r join twoway e on e.x = r.b
+        )
+        select s.doc_id, any_value(s.n) as n_shingles, min(r.b) as component_id from sizes s join reach r on r.a = s.doc_id group by s.doc_id
+    """,
     "op6_line_dedup": f"""
         with lines as (
             select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as place
