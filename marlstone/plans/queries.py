@@ -639,25 +639,25 @@ _DRIVERS = "select cast(l_suppkey as varchar) as symbol, 'revenue' as target, ca
 
 @query(f"""
     with d as ({_DRIVERS}), s as (select *, abs(score) / nullif(sum(abs(score)) over (partition by symbol, year), 0) * 100 as sh, row_number() over (partition by symbol, year order by abs(score) desc, feature) as rank from d)
-    select s.symbol, s.year, s.feature, round(s.sh, 4) as share_pct, round(s.sh - b.sh, 4) as delta_pct, case when s.score > 0 then 'POSITIVE' when s.score < 0 then 'NEGATIVE' else 'NEUTRAL' end as direction, cast(s.rank as integer) as rank
+    select s.symbol, s.year, s.feature, round(s.sh, 6) as share_pct, round(s.sh - b.sh, 6) as delta_pct, case when s.score > 0 then 'POSITIVE' when s.score < 0 then 'NEGATIVE' else 'NEUTRAL' end as direction, cast(s.rank as integer) as rank
     from s left join s b on b.symbol = s.symbol and b.feature = s.feature and b.year = s.year - 1 where s.rank <= 3
 """)
 def driver_shares(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     d = lines.groupBy(F.col("l_suppkey").cast("string").alias("symbol"), F.lit("revenue").alias("target"), F.year("l_shipdate").alias("year"), F.concat("l_returnflag", "l_linestatus").alias("feature")).agg(F.round(F.sum(F.col("l_extendedprice") * (F.col("l_discount") - 0.05)), 2).alias("score"))
-    return forecast.driver_shares(d, 3).select("symbol", "year", "feature", r("share_pct"), r("delta_pct"), "direction", "rank")
+    return forecast.driver_shares(d, 3).select("symbol", "year", "feature", r("share_pct", 6), r("delta_pct", 6), "direction", "rank")
 
 
 @query(f"""
     with recursive p as ({PANEL}), b as (select symbol, arg_max(revenue_current, year) as r, arg_max(revenue_current, year) * 0.1 as f from p group by 1),
     w(symbol, year, revenue, profit, n) as (select symbol, 2001, r, f, 0 from b union all select symbol, year + 1, revenue * 1.05, profit + 1000, n + 1 from w where n < 3)
-    select symbol, cast(year as integer) as year, round(revenue, 2) as revenue, round(profit, 2) as profit_after_tax, case when n = 0 then 'base' else 'predicted' end as source from w
+    select symbol, cast(year as integer) as year, revenue, profit as profit_after_tax, case when n = 0 then 'base' else 'predicted' end as source from w
 """)
 def recursive_forecast(spark, sf_dir):
     latest = company_panel(spark, sf_dir).groupBy("symbol").agg(F.max_by("revenue_current", "year").alias("revenue_current")).withColumn("profit_after_tax", F.col("revenue_current") * 0.1)
     empty = {f"{n}_lag{k}": F.lit(None).cast("double") for n in ("revenue", "profit") for k in (1, 2)}
     grow = lambda s, year: s.withColumns({"revenue_next": F.col("revenue_current") * 1.05, "profit_next": F.col("profit_after_tax") + 1000})
-    return forecast.recursive(latest.withColumns(empty), grow, 2001, 2004).select("symbol", "year", r("revenue", 2), r("profit_after_tax", 2), "source")
+    return forecast.recursive(latest.withColumns(empty), grow, 2001, 2004)
 
 
 @query("""
