@@ -634,7 +634,7 @@ def monthly_activity_gate(spark, sf_dir):
     return series.select("o_custkey", insights.recently_active(F.col("series")).alias("active"), insights.spending_percent(F.col("e"), F.col("i")).alias("spending_pct"))
 
 
-_DRIVERS = "select cast(l_suppkey as varchar) as symbol, 'revenue' as target, cast(year(l_shipdate) as integer) as year, l_returnflag || l_linestatus as feature, round(sum(l_extendedprice * (l_discount - 0.05)), 2) as score from lineitem group by 1, 3, 4"
+_DRIVERS = "select cast(l_suppkey as varchar) as symbol, 'revenue' as target, cast(year(l_shipdate) as integer) as year, l_returnflag || l_linestatus as feature, round(sum(l_extendedprice * (l_discount - 0.05)), 4) as score from lineitem group by 1, 3, 4"
 
 
 @query(f"""
@@ -644,7 +644,7 @@ _DRIVERS = "select cast(l_suppkey as varchar) as symbol, 'revenue' as target, ca
 """)
 def driver_shares(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
-    d = lines.groupBy(F.col("l_suppkey").cast("string").alias("symbol"), F.lit("revenue").alias("target"), F.year("l_shipdate").alias("year"), F.concat("l_returnflag", "l_linestatus").alias("feature")).agg(F.round(F.sum(F.col("l_extendedprice") * (F.col("l_discount") - 0.05)), 2).alias("score"))
+    d = lines.groupBy(F.col("l_suppkey").cast("string").alias("symbol"), F.lit("revenue").alias("target"), F.year("l_shipdate").alias("year"), F.concat("l_returnflag", "l_linestatus").alias("feature")).agg(F.round(F.sum(F.col("l_extendedprice") * (F.col("l_discount") - 0.05)), 4).alias("score"))
     return forecast.driver_shares(d, 3).select("symbol", "year", "feature", r("share_pct", 6), r("delta_pct", 6), "direction", "rank")
 
 
