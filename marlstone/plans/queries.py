@@ -497,7 +497,7 @@ def profit_cagr(spark, sf_dir):
 
 
 @query("""
-    with d as (select p_type, p_retailprice / 100 as pe, case when p_size % 3 = 0 then p_size / 10.0 end as pb, p_size * 1.0 as ps from part)
+    with d as (select p_type, p_retailprice / 100 as pe, case when p_size % 3 = 0 then (p_size / 10.0)::double end as pb, (p_size * 1.0)::double as ps from part)
     select p_type, round(avg(pe), 4) as pe_mean, round(median(pe), 4) as pe_median, round(avg(pb), 4) as pb_mean, round(median(pb), 4) as pb_median, round(avg(ps), 4) as ps_mean, round(median(ps), 4) as ps_median, count(pe) as data_points_count from d group by 1
 """)
 def valuation_summary(spark, sf_dir):
