@@ -57,7 +57,8 @@ def slug(x: Column | str) -> Column:
 
 
 def tokens(x: Column | str) -> Column:
-    return F.regexp_extract_all(normalized(x), F.lit("[a-z0-9]{2,}"), 0)
+    """Runs of two or more ASCII letters and digits of the folded text; white space needs no folding for that."""
+    return F.regexp_extract_all(F.lower(F.regexp_replace(F.translate(_c(x), _FROM, _TO), _MARKS, "")), F.lit("[a-z0-9]{2,}"), 0)
 
 
 #: Words that are no keywords.

@@ -34,7 +34,8 @@ def bm25(docs: DataFrame, query: Sequence[str], id_col: str, text_col: str, k1:
     One pass over the texts: counts of the query's tokens are columns, so nothing is exploded or joined.
     """
     words = list(dict.fromkeys(query))
-    found = text.tokens(text_col)
+    docs = docs.select(id_col, text.tokens(text_col).alias("__tokens"))
+    found = F.col("__tokens")
 
     def occurrences(word: str) -> Column:
         return F.size(F.filter(found, lambda t: t == word)).cast("long")
