@@ -6,7 +6,7 @@ folder.  Distinct words and word pairs of every batch are dealt to shards by
 hash and counted there, over all training documents.
 
 The filter.  A pair counted c times is stored at levels 1 to q, where q is the
-highest of the fixed thresholds 1, 2, 3, 4, 6, 8, ... that c reaches.  Asking
+highest of the fixed thresholds 1, 2, 3, 4, 5, 8, 11, ... that c reaches.  Asking
 level after level until one is absent gives q back, and the threshold is the
 count that the model uses, never more than the true one but for the filter's
 false positives (a few in a hundred of absent pairs, one level up).  Words are
@@ -44,7 +44,7 @@ from marlstone.llm.spans import in_pieces, mix
 
 FOLDS = 10
 #: Tokens a batch.
-HELD = 2_000_000
+HELD = 1_000_000
 BITS_PER_ENTRY = 8
 HASHES = 5
 #: Largest filter that is broadcast.
@@ -152,9 +152,10 @@ def _dealt_words(n_shards: int):
 
 
 def word_counts(batches: DataFrame) -> DataFrame:
-    """(batch, shard, counts) for every batch: its words' counts over all training documents, in its order; written.
+    """(batch, shard, counts, levels) for every batch: its words' counts over all training documents and their levels in the filter, in its order; written.
 
-    One more row a shard, with a null batch, has totals: all tokens, distinct words, words seen once; and its words' levels.
+    One more row a shard, with a null batch, has totals (all tokens, distinct words, words seen once) and the shard's
+    segment of the filter of words.
     """
     n_shards = shards(batches.sparkSession)
 
@@ -164,17 +165,20 @@ def word_counts(batches: DataFrame) -> DataFrame:
         distinct, at = np.unique(np.concatenate(words), return_inverse=True)
         sums = np.bincount(at, np.concatenate(counts).astype(np.float64), minlength=len(distinct)).astype(np.int64)
         some = sums > 0
-        level = np.searchsorted(_THRESHOLDS, sums[some], "right")
+        segment = Segment.of(distinct[some], sums[some])
+        levels = segment.levels(distinct)
         rows, first = [], 0
         for name, w in zip(table.column("batch").to_pylist(), words, strict=True):
-            rows.append((name, key[0].as_py(), planes(sums[at[first : first + len(w)]].astype("<u8")), None, None))
+            mine = at[first : first + len(w)]
+            rows.append((name, key[0].as_py(), planes(sums[mine].astype("<u8")), levels[mine].tobytes(), None, None))
             first += len(w)
         numbers = [int(sums.sum()), int(some.sum()), int((sums == 1).sum())]
-        rows.append((None, key[0].as_py(), None, numbers, int(level.sum())))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64()), strict=True)], names=["batch", "shard", "counts", "totals", "entries"])
+        rows.append((None, key[0].as_py(), None, None, numbers, segment.bits.tobytes()))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["batch", "shard", "counts", "levels", "totals", "bits"])
 
     dealt = batches.mapInArrow(_dealt_words(n_shards), "shard int, batch long, words binary, counts binary")
-    return written(dealt.groupBy("shard").applyInArrow(total, "batch long, shard int, counts binary, totals array<long>, entries long"), "lm-words")
+    return written(dealt.groupBy("shard").applyInArrow(total, "batch long, shard int, counts binary, levels binary, totals array<long>, bits binary"), "lm-words")
 
 
 def _positions(keys: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
@@ -288,59 +292,73 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     sums = counted.where("batch is null").select(*(F.coalesce(F.sum(F.col("totals")[k]), F.lit(0)) for k in range(3))).first()
     n, v, once = (int(x) for x in sums)
     segments = pair_filter(batches)
-    size = segments.select(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
+    word_segments = counted.where("batch is null").select("shard", "bits")
+    both = word_segments.select("shard", F.lit(0).alias("kind"), "bits").unionByName(segments.select("shard", F.lit(1).alias("kind"), "bits"))
+    size = both.select(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
     answers = counted.where("batch is not null").select("batch", F.lit(0).alias("kind"), "shard", F.col("counts").alias("found"))
     shared = None
     if size <= filter_bytes:
-        shared = spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in segments.toLocalIterator()})
+        shared = spark.sparkContext.broadcast({(r["kind"], r["shard"]): bytes(r["bits"]) for r in both.toLocalIterator()})
     else:
         answers = answers.unionByName(_probed(batches, segments).select("batch", F.lit(1).alias("kind"), "shard", F.col("levels").alias("found")))
+        answers = answers.unionByName(counted.where("batch is not null").select("batch", F.lit(2).alias("kind"), "shard", F.col("levels").alias("found")))
+    gathered = answers.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("kind", "shard", "found"))).alias("answers"))
+    joined = batches.join(gathered, "batch")
+    if shared is None:
+        joined = written(joined, "lm-joined")
+    train_docs = docs.select(F.col(id_col).cast("string").alias("i")).where(F.crc32(F.coalesce("i", F.lit("")).cast("binary")) % folds != 0).count()
+    train_level = int(np.searchsorted(_THRESHOLDS, train_docs, "right"))
     opened: dict = {}
 
-    def pair_levels(b: Batch, told: list[bytes]) -> np.ndarray:
-        pairs = b.pairs()
-        if shared is None:
-            keys = np.unique(pairs)
-            keys = keys[np.argsort(keys % np.uint64(n_shards), kind="stable")]
-            levels = np.frombuffer(b"".join(told), np.uint8)
-            order = np.argsort(keys)
-            return levels[order][np.searchsorted(keys[order], pairs)]
+    def ask(kind: int, keys: np.ndarray) -> np.ndarray:
+        """Levels of keys in the broadcast filter."""
         if "segments" not in opened:
-            opened["segments"] = {s: Segment(np.frombuffer(bits, np.uint8)) for s, bits in shared.value.items()}
-        out, shard = np.zeros(len(pairs), np.uint8), (pairs % np.uint64(n_shards)).astype(np.int64)
+            opened["segments"] = {k: Segment(np.frombuffer(bits, np.uint8)) for k, bits in shared.value.items()}
+        out, shard = np.zeros(len(keys), np.uint8), (keys % np.uint64(n_shards)).astype(np.int32)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(n_shards + 1))
         for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if y > x and s in opened["segments"]:
-                out[order[x:y]] = opened["segments"][s].levels(pairs[order[x:y]])
+            if y > x and (kind, s) in opened["segments"]:
+                out[order[x:y]] = opened["segments"][kind, s].levels(keys[order[x:y]])
         return out
 
-    gathered = answers.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("kind", "shard", "found"))).alias("answers"))
-    joined = written(batches.join(gathered, "batch"), "lm-joined")
-    train_docs = docs.select(F.col(id_col).cast("string").alias("i")).where(F.crc32(F.coalesce("i", F.lit("")).cast("binary")) % folds != 0).count()
+    def pair_levels(b: Batch, told: list[bytes]) -> np.ndarray:
+        pairs = b.pairs()
+        if shared is not None:
+            return ask(1, pairs)
+        keys = np.unique(pairs)
+        keys = keys[np.argsort(keys % np.uint64(n_shards), kind="stable")]
+        levels = np.frombuffer(b"".join(told), np.uint8)
+        order = np.argsort(keys)
+        return levels[order][np.searchsorted(keys[order], pairs)]
+
+    def before(b: Batch, of_words: np.ndarray, of_begin: int) -> np.ndarray:
+        """What the token before each token has."""
+        out = np.empty(len(b.places), of_words.dtype)
+        out[1:] = of_words[b.places[:-1]]
+        out[b.begins] = of_begin
+        return out
 
-    def opened_row(row: dict) -> tuple[Batch, np.ndarray, np.ndarray, np.ndarray]:
-        """A batch, its words' counts, each token's context count, and each token's pair level."""
-        b = Batch(row)
-        counts = np.concatenate([unplanes(a["found"], "<u8") for a in row["answers"] if a["kind"] == 0]).astype(np.int64)
-        c = counts[b.places]
-        context = np.empty(len(c), np.int64)
-        context[1:] = c[:-1]
-        context[b.begins] = train_docs
-        return b, counts, context, pair_levels(b, [a["found"] for a in row["answers"] if a["kind"] == 1])
+    def exact_counts(row: dict) -> np.ndarray:
+        return np.concatenate([unplanes(a["found"], "<u8") for a in row["answers"] if a["kind"] == 0]).astype(np.int64)
 
     def novelty(rows) -> Iterator[pa.RecordBatch]:
-        seen, new = np.zeros(64, np.int64), np.zeros(64, np.int64)
+        kinds = len(_THRESHOLDS) + 1
+        seen, new = np.zeros(kinds, np.int64), np.zeros(kinds, np.int64)
         for batch in rows:
             for row in batch.to_pylist():
-                b, _, context, level = opened_row(row)
-                kind = np.frexp(context[b.trained].astype(np.float64))[1]
-                seen += np.bincount(kind, minlength=64)
-                new += np.bincount(kind[level[b.trained] <= 1], minlength=64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array(seen), pa.array(new)], ["kind", "seen", "new"])
-
-    share = np.ones(64)
-    for kind, seen, new in joined.mapInArrow(novelty, "kind long, seen long, new long").groupBy("kind").agg(F.sum("seen"), F.sum("new")).collect():
+                b = Batch(row)
+                told = {k: [a["found"] for a in row.get("answers") or [] if a["kind"] == k] for k in (1, 2)}
+                levels = ask(0, b.words) if shared is not None else np.frombuffer(b"".join(told[2]), np.uint8)
+                kind = before(b, levels.astype(np.int64), train_level)[b.trained]
+                pair = pair_levels(b, told[1])[b.trained]
+                seen += np.bincount(kind, minlength=kinds)
+                new += np.bincount(kind[pair <= 1], minlength=kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(kinds)), pa.array(seen), pa.array(new)], ["kind", "seen", "new"])
+
+    share = np.ones(len(_THRESHOLDS) + 1)
+    source = joined if shared is None else batches
+    for kind, seen, new in source.mapInArrow(novelty, "kind long, seen long, new long").groupBy("kind").agg(F.sum("seen"), F.sum("new")).collect():
         share[kind] = min(1.0, (new + 1) / (seen + 2)) if seen else 1.0
     values = np.concatenate([[0], _THRESHOLDS]).astype(np.float64)
     unknown = min(0.5, (once + 1) / (n + 2))
@@ -348,11 +366,13 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     def score(rows) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for row in batch.to_pylist():
-                b, counts, context, level = opened_row(row)
-                c = counts[b.places]
+                b = Batch(row)
+                counts = exact_counts(row)
+                c, context = counts[b.places], before(b, counts, train_docs)
+                level = pair_levels(b, [a["found"] for a in row["answers"] if a["kind"] == 1])
                 base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
                 alone = np.where(c > 0, c / max(n, 1) * (1 - unknown), unknown) if n else np.ones(len(c))
-                u = np.where(context > 0, share[np.frexp(context.astype(np.float64))[1]], 1.0)
+                u = np.where(context > 0, share[np.searchsorted(_THRESHOLDS, context, "right")], 1.0)
                 together = np.minimum(values[level], np.minimum(np.maximum(c, 1), np.maximum(context, 1))) / np.maximum(context, 1)
                 p = np.log10((1 - u) * np.where((c > 0) & (context > 0), together, 0) + u * alone)
                 add = lambda x: np.add.reduceat(x, b.begins)

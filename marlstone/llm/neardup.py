@@ -5,7 +5,9 @@ have them, rarest first.  Two sets that are similar enough share at least l
 shingles among the first ``n - least overlap + l`` of each, for any l.  Each
 document picks its own l: a longer prefix reads more posting lists, but asks
 for more shared entries before a pair is verified.  The l of least estimated
-cost is taken from the sizes of the lists that each prefix would read.
+cost is taken from the sizes of the lists that each prefix would read.  Where
+two documents meet, their sizes give the overlap that just this pair needs, and
+what of it may lie behind the prefixes; the rest must be shared in them.
 
 Only what can link travels.  Documents with the same set are one class.  A
 document whose shingles are mostly found nowhere else has no partner and leaves
@@ -43,7 +45,7 @@ WORDS = 5
 #: Similarity in hundredths.
 PERCENT = 75
 #: Shingles that a task holds before it deals them out.
-HELD = 3_000_000
+HELD = 2_000_000
 #: Documents of a dealt batch; their places take two bytes.
 BATCH_DOCS = 60_000
 #: Members of a verification group besides its pivot.
@@ -94,8 +96,8 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def adaptive_prefix(n: int, df: np.ndarray, percent: int) -> tuple[int, int]:
-    """l and the length of the prefix, both for the shingles in df, which are n or fewer and the last in rarest-first order.
+def adaptive_prefix(n: int, df: np.ndarray, percent: int) -> int:
+    """Length of the prefix for the l chosen, of the shingles in df, which are n or fewer and the last in rarest-first order.
 
     Of l = 1, 2, ... the one of least cost: entries of the posting lists read, and, for the at most (entries / l) pairs
     that can share l of them, the comparison of two sets.
@@ -103,23 +105,23 @@ def adaptive_prefix(n: int, df: np.ndarray, percent: int) -> tuple[int, int]:
     alone = n - len(df)
     shortest = n - int(least_overlap(np.int64(n), percent)) + 1 - alone
     if shortest > len(df):
-        return 1, len(df)
+        return len(df)
     reads = np.cumsum(df)[max(0, shortest - 1) :].astype(np.float64)
     if shortest <= 0:
         reads = np.concatenate([np.zeros(1 - shortest), reads])
     reads = reads[: 2 + n // 8]
     l = int(np.argmin(reads + reads / np.arange(1, len(reads) + 1) * (4 + n / 16))) + 1
-    return l, max(0, min(len(df), shortest - 1 + l))
+    return max(0, min(len(df), shortest - 1 + l))
 
 
-_DEALT = "shard int, batch long, docs binary, ids array<long>, sizes binary, digests binary, tokens binary, owners binary, df binary"
+_DEALT = "shard int, batch long, ids array<long>, sizes binary, digests binary, tokens binary, owners binary, df binary"
 
 
 def _dealt(docs: DataFrame, words: int) -> DataFrame:
     """Batches of documents: a row of their ids, set sizes and set digests, and a row a shard of (shingle, place of the document)."""
     n_shards = shards(docs.sparkSession)
     names = [c.split()[0] for c in _DEALT.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), *[pa.binary()] * 5]
+    kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -136,10 +138,10 @@ def _dealt(docs: DataFrame, words: int) -> DataFrame:
             order = np.lexsort((token, shard))
             owner, token, shard = owner[order].astype("<u2"), token[order], shard[order]
             cuts = np.searchsorted(shard, np.arange(n_shards + 1))
-            rows = [(-1 - batch % n_shards, batch, None, ids, np.concatenate(sizes).astype("<u4").tobytes(), b"".join(digests), None, None, None)]
+            rows = [(-1 - batch % n_shards, batch, ids, np.concatenate(sizes).astype("<u4").tobytes(), b"".join(digests), None, None, None)]
             for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if b > a:
-                    rows.append((s, batch, None, None, None, None, _squeeze(token[a:b]), owner[a:b].tobytes(), None))
+                    rows.append((s, batch, None, None, None, _squeeze(token[a:b]), owner[a:b].tobytes(), None))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for rows, piece in in_pieces(batches, "text", fold=True):
@@ -183,7 +185,7 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     return table
 
 
-_CLASS = "id long, digest binary, n int, l int, prefix int, tokens array<long>"
+_CLASS = "id long, digest binary, n int, prefix int, tokens array<long>"
 
 
 def _assembled(percent: int):
@@ -209,11 +211,11 @@ def _assembled(percent: int):
         rows = []
         for i in np.flatnonzero(enough & (sizes > 0)):
             a, b = edges[i], edges[i + 1]
-            l, prefix = adaptive_prefix(int(sizes[i]), df[a:b], percent)
+            prefix = adaptive_prefix(int(sizes[i]), df[a:b], percent)
             if prefix:
-                rows.append((ids[i], digests[16 * i : 16 * i + 16], int(sizes[i]), l, prefix, token[a:b].astype(np.int64)))
-        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=[c.split()[0] for c in _CLASS.split(", ")])
+                rows.append((ids[i], digests[16 * i : 16 * i + 16], int(sizes[i]), prefix, token[a:b].astype(np.int64)))
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=[c.split()[0] for c in _CLASS.split(", ")])
 
     return run
 
@@ -291,12 +293,16 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _round(postings: DataFrame, labels: DataFrame, percent: int, number: int) -> DataFrame:
-    """Pairs (pivot, cls): each posting list compares its members with the one that this round's hash puts first."""
+    """Pairs (pivot, cls) that share enough entries: each posting list compares its members with the one that this round's hash puts first.
+
+    A pair that is similar enough shares at least its needed overlap less what lies behind the prefix that ends first.
+    """
     listed = postings.join(labels, "cls")
-    member = F.struct(F.col("cls").alias("pivot"), F.col("label").alias("pl"), F.col("n").alias("pn"), F.col("l").alias("pk"))
+    member = F.struct(F.col("cls").alias("pivot"), F.col("label").alias("pl"), F.col("n").alias("pn"), F.col("behind").alias("pb"))
     pivots = listed.groupBy("token").agg(F.min_by(member, F.struct(F.xxhash64("cls", F.lit(number)), "cls")).alias("p"), F.min("label").alias("low"), F.max("label").alias("high"))
     met = listed.join(pivots.where("low <> high").select("token", "p.*"), "token").where("label <> pl").where(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
-    return met.groupBy("pivot", "cls").agg(F.count("*").alias("common"), F.min(F.least("l", "pk")).alias("k")).where("common >= k").select("pivot", "cls")
+    needed = F.ceil(percent * (F.col("n") + F.col("pn")) / (100 + percent)) - F.greatest("behind", "pb")
+    return met.groupBy("pivot", "cls").agg(F.count("*").alias("common"), F.min(needed).alias("needed")).where("common >= needed").select("pivot", "cls")
 
 
 def _rest(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -315,7 +321,7 @@ def _rest(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         return postings.select(F.col("cls").alias("pivot"), "cls").limit(0)
     chunks = 1 + longest // (2 * GROUP)
     listed = written(listed.join(mixed.select("token", "top"), "token"), "mixed-postings")
-    columns = ["cls", "n", "l", "size", "label"]
+    columns = ["cls", "n", "behind", "size", "label"]
     lists = listed.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.lit(chunks))).groupBy("token", "chunk").agg(*(F.collect_list(c).alias(f"{c}s") for c in columns))
     asking = listed.where(key < F.col("top")).select("token", *columns)
     met = asking.join(lists, "token")
@@ -326,7 +332,8 @@ def _rest(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         higher = (other["size"] > mine["size"]) | ((other["size"] == mine["size"]) & (other["label"] > mine["label"]))
         fits = higher & (np.minimum(other["n"], mine["n"]) * 100 >= percent * np.maximum(other["n"], mine["n"]))
         found, at, common = np.unique(other["cls"][fits], return_index=True, return_counts=True)
-        found = found[common >= np.minimum(other["l"][fits][at], mine["l"])]
+        needed = -(-percent * (other["n"][fits][at] + mine["n"]) // (100 + percent)) - np.maximum(other["behind"][fits][at], mine["behind"])
+        found = found[common >= needed]
         return pa.table([pa.array(np.full(len(found), mine["cls"])), pa.array(found)], names=["pivot", "cls"])
 
     return met.groupBy("cls", "chunk").applyInArrow(count, "pivot long, cls long")
@@ -345,11 +352,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
                 )
 
     every = written(dealt.where("ids is not null").select("ids", "sizes", "digests").mapInArrow(about, "id long, n long, digest binary"), "set-digests")
-    names = every.where("n > 0").groupBy("digest").agg(F.min("id").alias("cls")).where("cls is not null")
+    # Written, so that the join below reads two exchanges and a digest of very many copies can be split.
+    names = written(every.where("n > 0").groupBy("digest").agg(F.min("id").alias("cls")).where("cls is not null"), "set-names")
     rich = dealt.groupBy("batch").applyInArrow(_assembled(percent), _CLASS)
     firsts = rich.join(names.toDF("digest", "id"), ["digest", "id"]).dropDuplicates(["digest", "id"])
-    classes = written(firsts.select(F.col("id").alias("cls"), "n", "l", "prefix", "tokens"), "classes")
-    postings = classes.select("cls", "n", "l", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token"))
+    classes = written(firsts.select(F.col("id").alias("cls"), "n", (F.size("tokens") - F.col("prefix")).alias("behind"), "prefix", "tokens"), "classes")
+    postings = classes.select("cls", "n", "behind", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token"))
     several = postings.groupBy("token").count().where("count > 1").select("token")
     postings = written(postings.join(several, "token"), "postings")
     labels = classes.select("cls", F.col("cls").alias("label"))

@@ -18,7 +18,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 PIECE_DOCS = 1 << 14
 
 _rng = np.random.default_rng(20240607)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
@@ -22,9 +23,10 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Punctuation that ends many chunks; after a letter or digit it is a token boundary of every pattern used here.
 _TAIL = ".,;:!?*%$#&"
-_FIRM = re.compile("[A-Za-z0-9À-ÖØ-öø-ÿ]$")
+_FIRM = frozenset(chr(i) for i in range(0x100) if re.match("[A-Za-z0-9À-ÖØ-öø-ÿ]", chr(i)))
 
-CACHED = 400_000
+#: Chunks that a worker keeps, at about 200 bytes each.
+CACHED = 700_000
 CACHED_LENGTH = 64
 GROUP = 1 << 20
 
@@ -32,27 +34,36 @@ GROUP = 1 << 20
 class ChunkEncoder:
     """Texts to ids, as little-endian 16- or 32-bit integers in bytes."""
 
-    def __init__(self, encode_chunks: Callable[[list[str]], Iterable[list[int]]], vocabulary: int, cached: int = CACHED):
-        self.encode_chunks, self.cached = encode_chunks, cached
+    def __init__(self, encode_chunks: Callable[[list[str]], Iterable[list[int]]], vocabulary: int, cached: int = CACHED, same: Callable[[str], str] | None = None):
+        """same: maps chunks to one that has the same ids."""
+        self.encode_chunks, self.cached, self.same = encode_chunks, cached, same
+        self.code = "H" if vocabulary <= 1 << 16 else "I"
         self.kind = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
 
     def _learn(self, new: set[str]) -> None:
-        parts: dict[str, tuple[str, str]] = {}
+        known, same = self.known, self.same
+        parts: list[tuple[str, str, str]] = []
         wanted: set[str] = set()
         for chunk in new:
             core = chunk.rstrip(_TAIL)
-            if core and len(core) < len(chunk) and _FIRM.search(core):
+            if core and core[-1] in _FIRM:
                 tail = chunk[len(core) :]
-                parts[chunk] = core, tail
-                wanted.update((core, tail))
+                if same:
+                    core = same(core)
+                if tail or core != chunk:
+                    parts.append((chunk, core, tail))
+                if tail:
+                    wanted.add(tail)
+                wanted.add(core)
             else:
                 wanted.add(chunk)
-        todo = list(wanted.difference(self.known))
+        todo = list(wanted.difference(known))
+        code = self.code
         for chunk, ids in zip(todo, self.encode_chunks(todo), strict=True):
-            self.known[chunk] = np.array(ids, self.kind).tobytes()
-        for chunk, (core, tail) in parts.items():
-            self.known[chunk] = self.known[core] + self.known[tail]
+            known[chunk] = array(code, ids).tobytes()
+        for chunk, core, tail in parts:
+            known[chunk] = known[core] + known[tail] if tail else known[core]
 
     def _of_chunks(self, lists: list[list[str]]) -> list[bytes]:
         new = set().union(*lists).difference(self.known)
@@ -104,7 +115,10 @@ def library_encoder(path: str) -> ChunkEncoder:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _loaded[key] = ChunkEncoder(lambda chunks: (e.ids for e in t.encode_batch_fast(chunks, add_special_tokens=False)), t.get_vocab_size())
+        #: Where a tokenizer folds case and drops spaces, so may the cache; letters beyond Latin-1 are left to the library.
+        folds = t.encode(" A").ids == t.encode("a").ids
+        same = (lambda chunk: chunk.lstrip(" ").lower() if max(chunk) < "\u0100" else chunk.lstrip(" ")) if folds else None
+        _loaded[key] = ChunkEncoder(lambda chunks: (e.ids for e in t.encode_batch_fast(chunks, add_special_tokens=False)), t.get_vocab_size(), same=same)
     return _loaded[key]
 
 
