@@ -220,15 +220,18 @@ def _assembled(percent: int):
     return run
 
 
-def explore(sizes: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set of a group, the first set that links reach it from. A set is compared with those not reached yet only."""
+def explore(sizes: np.ndarray, sets: list[np.ndarray], percent: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """For each set of a group, the first start (of all sets, or those given) that links reach it from, -1 if none does.
+
+    A set is compared with those not reached yet only.
+    """
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
     edges = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     mark = np.zeros(int(token.max()) + 1, bool)
     root = np.full(len(sets), -1)
     away, away_token = owner, token
-    for first in range(len(sets)):
+    for first in range(len(sets)) if starts is None else starts.tolist():
         if root[first] >= 0:
             continue
         root[first] = first
@@ -253,19 +256,25 @@ def explore(sizes: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarr
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that hold the linked members of each (pivot, cls) group together. Large groups are split, each part with the pivot."""
     parts = pairs.groupBy("pivot").agg((F.count("*") / GROUP).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("cls"), F.col("parts") + 1).alias("part"), "cls")
+    dealt = written(pairs.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("cls"), F.col("parts") + 1).alias("part"), "cls"), "dealt-pairs")
     heads = dealt.select("pivot", "part").distinct().withColumn("cls", F.col("pivot"))
-    members = dealt.unionByName(heads).join(classes.select("cls", "n", "tokens"), "cls")
+    return _explored(dealt.unionByName(heads).withColumn("asks", F.lit(True)), ["pivot", "part"], classes, percent)
+
+
+def _explored(groups: DataFrame, key: list[str], classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that hold what members marked ``asks`` reach in each group together."""
+    members = groups.join(classes.select("cls", "n", "tokens"), "cls")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("cls").combine_chunks()
         ids = table.column("cls").to_numpy()
         sets = [np.asarray(s) for s in table.column("tokens").combine_chunks().to_numpy(zero_copy_only=False)]
-        root = explore(table.column("n").to_numpy().astype(np.int64), sets, percent)
-        linked = root != np.arange(len(ids))
+        starts = np.flatnonzero(table.column("asks").to_numpy())
+        root = explore(table.column("n").to_numpy().astype(np.int64), sets, percent, starts)
+        linked = (root >= 0) & (root != np.arange(len(ids)))
         return pa.table([pa.array(ids[linked]), pa.array(ids[root[linked]])], names=["a", "b"])
 
-    return members.groupBy("pivot", "part").applyInArrow(run, "a long, b long")
+    return members.groupBy(*key).applyInArrow(run, "a long, b long")
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -306,24 +315,23 @@ def _round(postings: DataFrame, labels: DataFrame, percent: int, number: int) ->
 
 
 def _rest(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (pivot, cls) of all posting lists' members in different components, with enough common entries.
+    """Groups (token, chunk, block) of classes that hold every pair of classes in different components with enough common entries.
 
-    The member in the smaller component asks. Lists are cut into chunks by a hash of the member, and one group counts
-    what one asking class meets in one chunk.
+    The member in the smaller component asks. Lists are cut into chunks by a hash of the member, and what one asking class
+    meets in one chunk is counted together. Askers with the same longest list meet mostly the same classes, so a block
+    of them is verified as one group, in which each class is once: pairs have no rows of their own.
     """
     size = labels.groupBy("label").agg(F.count("*").cast("int").alias("size"))
     listed = postings.join(labels.join(size, "label"), "cls")
     key = F.struct("size", "label")
     mixed = listed.groupBy("token").agg(F.max(key).alias("top"), F.min(key).alias("least"), F.count("*").alias("many")).where("top <> least")
     mixed = written(mixed, "mixed-lists")
-    longest = mixed.agg(F.max("many")).first()[0]
-    if not longest:
-        return postings.select(F.col("cls").alias("pivot"), "cls").limit(0)
+    longest = mixed.agg(F.max("many")).first()[0] or 0
     chunks = 1 + longest // (2 * GROUP)
-    listed = written(listed.join(mixed.select("token", "top"), "token"), "mixed-postings")
+    listed = written(listed.join(mixed.select("token", "top", "many"), "token"), "mixed-postings")
     columns = ["cls", "n", "behind", "size", "label"]
     lists = listed.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.lit(chunks))).groupBy("token", "chunk").agg(*(F.collect_list(c).alias(f"{c}s") for c in columns))
-    asking = listed.where(key < F.col("top")).select("token", *columns)
+    asking = listed.where(key < F.col("top")).select("token", "many", *columns)
     met = asking.join(lists, "token")
 
     def count(table: pa.Table) -> pa.Table:
@@ -334,9 +342,21 @@ def _rest(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         found, at, common = np.unique(other["cls"][fits], return_index=True, return_counts=True)
         needed = -(-percent * (other["n"][fits][at] + mine["n"]) // (100 + percent)) - np.maximum(other["behind"][fits][at], mine["behind"])
         found = found[common >= needed]
-        return pa.table([pa.array(np.full(len(found), mine["cls"])), pa.array(found)], names=["pivot", "cls"])
+        token = max(zip(table.column("many").to_pylist(), table.column("token").to_pylist(), strict=True))[1]
+        rows = [(token, table.column("chunk")[0].as_py(), mine["cls"], found)] if len(found) else []
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["token", "chunk", "pivot", "met"])
+
+    asks = written(met.groupBy("cls", "chunk").applyInArrow(count, "token long, chunk long, pivot long, met array<long>"), "asks")
+    blocks = asks.groupBy("token", "chunk").agg((F.count("*") / (GROUP // 2)).cast("int").alias("blocks"))
+    dealt = asks.join(blocks, ["token", "chunk"]).withColumn("block", F.pmod(F.xxhash64("pivot"), F.col("blocks") + 1))
+
+    def united(key: tuple, table: pa.Table) -> pa.Table:
+        askers = table.column("pivot").to_numpy()
+        classes = np.union1d(askers, table.column("met").combine_chunks().flatten().to_numpy())
+        same = [pa.array(np.full(len(classes), k.as_py(), np.int64)) for k in key]
+        return pa.table([*same, pa.array(classes), pa.array(np.isin(classes, askers))], names=["token", "chunk", "block", "cls", "asks"])
 
-    return met.groupBy("cls", "chunk").applyInArrow(count, "pivot long, cls long")
+    return dealt.groupBy("token", "chunk", "block").applyInArrow(united, "token long, chunk long, block long, cls long, asks boolean")
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
@@ -363,6 +383,6 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     labels = classes.select("cls", F.col("cls").alias("label"))
     for number in range(rounds):
         labels = components(labels, written(_verified(_round(postings, labels, percent, number), classes, percent), "links"))
-    labels = components(labels, written(_verified(written(_rest(postings, labels, percent), "last-pairs"), classes, percent), "links"))
+    labels = components(labels, written(_explored(written(_rest(postings, labels, percent), "last-groups"), ["token", "chunk", "block"], classes, percent), "links"))
     named = every.join(names, "digest", "left").join(labels, "cls", "left")
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "cls")).otherwise(F.col("id")).alias("component_id"))
