@@ -360,6 +360,24 @@ def test_quality_statistics(spark):
     assert not nothing.any() and quality.filtered(docs, nothing).columns == docs.columns
 
 
+def test_verdicts_of_planted_documents_at_any_size(spark):
+    rng = random.Random(4)
+    clean_words, junk_words = [f"c{i}" for i in range(400)], [f"j{i}" for i in range(400)]
+
+    def text(words):
+        return " ".join(rng.choice(words) for _ in range(80))
+
+    planted = {0: text(clean_words), 1: text(clean_words), 2: text(junk_words), 3: text(junk_words)}
+    clean, junk = [text(clean_words) for _ in range(900)], [text(junk_words) for _ in range(90)]
+    for n_clean, n_junk, every in ((100, 10, 1), (900, 90, 1), (900, 90, 6), (900, 90, 12)):
+        values = [*planted.values(), *clean[:n_clean], *junk[:n_junk]]
+        labels = [(i, int(i < 4 + n_clean)) for i in range(4, len(values), every)]
+        docs = frame(spark, values)
+        got = rows(quality.annotated(docs, quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))))
+        assert [got[i].kept for i in planted] == [True, True, False, False], (n_clean, every)
+        assert sum(not got[i].kept for i in range(4, 4 + n_clean)) <= 0.03 * n_clean
+
+
 def test_directly_addressable_codes(spark):
     rng = np.random.default_rng(4)
     ids = np.concatenate([rng.integers(0, 300, 3000), rng.integers(0, 2**31, 50), [0, 255, 256, 65535, 65536]]).astype(np.int64)
