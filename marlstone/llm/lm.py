@@ -302,7 +302,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     else:
         answers = answers.unionByName(_probed(batches, segments).select("batch", F.lit(1).alias("kind"), "shard", F.col("levels").alias("found")))
         answers = answers.unionByName(counted.where("batch is not null").select("batch", F.lit(2).alias("kind"), "shard", F.col("levels").alias("found")))
-    gathered = answers.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("kind", "shard", "found"))).alias("answers"))
+    # equal batches have one name and equal answers
+    gathered = answers.groupBy("batch").agg(F.array_sort(F.collect_set(F.struct("kind", "shard", "found"))).alias("answers"))
     joined = batches.join(gathered, "batch")
     if shared is None:
         joined = written(joined, "lm-joined")

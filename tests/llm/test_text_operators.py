@@ -177,6 +177,20 @@ def test_language_model(spark):
     assert lm.scored(frame(spark, [])).count() == 0
 
 
+def test_language_model_of_repeated_batches(spark, tmp_path):
+    frame(spark, texts()).coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs")).union(spark.read.parquet(str(tmp_path / "docs")))
+    toks = [(r.doc_id, WORD.findall((r.text or "").translate(FOLD)) + ["<end>"]) for r in docs.collect()]
+    c = collections.Counter(w for i, ws in toks if zlib.crc32(str(i).encode()) % 10 for w in ws)
+    n, v = sum(c.values()), len(c)
+    want = {i: (sum(w in c for w in ws), sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for i, ws in toks}
+    got, sharded = lm.scored(docs).collect(), rows(lm.scored(docs, filter_bytes=0))
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in toks)
+    for r in got:
+        assert (r.n_known, r.train_tokens) == (want[r.doc_id][0], n) and r.base_score == pytest.approx(want[r.doc_id][1])
+        assert sharded[r.doc_id].score == pytest.approx(r.score)
+
+
 def test_filter_keeps_counts_and_few_false_ones():
     rng = np.random.default_rng(5)
     keys, counts = rng.integers(0, 2**48, 20_000).astype(np.uint64), rng.geometric(0.3, 20_000)
