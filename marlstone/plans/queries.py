@@ -387,7 +387,9 @@ def heading_flags(spark, sf_dir):
 @query()
 def text_flags(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", text.is_garbled("text").alias("garbled"), text.looks_like_contents("text").alias("contents"), text.is_noise_heading(F.substring("text", 1, 5)).alias("noise"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    noise = (text.is_noise_heading(lines[0]).alias("noise"), F.size(F.filter(lines, lambda x: text.is_noise_heading(x))).alias("n_noise"))
+    return d.select("doc_id", text.is_garbled("text").alias("garbled"), text.looks_like_contents("text").alias("contents"), *noise)
 
 
 @query()
