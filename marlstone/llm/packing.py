@@ -17,8 +17,9 @@ the end.  Given targets are kept while they can be: a queue that has run dry
 leaves its share to the others.
 
 Defined cases: a null or empty text has only its end id; a null source is the
-source "", repeated rows are packed each; an empty table gives no rows; more
-than ``QUEUES`` sources are dealt to that many queues by hash.
+source "", repeated rows are packed each; an empty table gives no rows.  Every
+source has its own queue, however many there are; a target without a source of
+its name is an error.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ from marlstone.llm.shared import written
 WINDOW = 1024
 #: Windows a block.
 BLOCK = 1024
+#: With more queues, a task works out the block borders of those it meets only.
 QUEUES = 256
 #: A queue owed less than this waits for a later window, so that documents are cut into few pieces.
 LEAST_PIECE = 48
@@ -64,15 +66,22 @@ class Plan:
             given = [g + r * length for g, r in zip(given, rates, strict=True)]
             x += length
 
-    def _phase(self, x: int) -> tuple[Fraction, list[Fraction], list[Fraction]]:
+    def phase(self, x: int) -> tuple[Fraction, list[Fraction], list[Fraction]]:
         return next(p for p in reversed(self.phases) if p[0] <= x or not p[0])
 
     def targets(self, x: int) -> list[Fraction]:
-        start, given, rates = self._phase(x)
+        start, given, rates = self.phase(x)
         return [g + r * (x - start) for g, r in zip(given, rates, strict=True)]
 
     def rates(self, x: int) -> list[float]:
-        return [float(r) for r in self._phase(x)[2]]
+        return [float(r) for r in self.phase(x)[2]]
+
+    def given_by(self, q: int, x: int) -> int:
+        """given(x)[q], without the other queues."""
+        if x >= self.total:
+            return self.totals[q]
+        start, given, rates = self.phase(x)
+        return int(given[q] + rates[q] * (x - start) + Fraction(1, 2))
 
     def given(self, x: int) -> list[int]:
         """In whole tokens, which may add up to a few more or less than x; all tokens at the end."""
@@ -85,14 +94,16 @@ def fill(plan: Plan, x: int, y: int) -> list[tuple[int, int, int, int]]:
     left = [b - a for a, b in zip(before, after, strict=True)]
     owed = [float(t - g) for t, g in zip(plan.targets(x), before, strict=True)]
     begin, last = sum(before), sum(after)
-    queues, out = range(len(left)), []
+    queues, out, phase, rates = [q for q, n in enumerate(left) if n], [], None, []
     while begin < last:
         window, offset = divmod(begin, WINDOW)
         size = room = min(WINDOW - offset, last - begin)
-        rates = plan.rates(begin)
+        if plan.phase(begin) is not phase:
+            phase, rates = plan.phase(begin), plan.rates(begin)
         for q in queues:
             owed[q] += rates[q] * room
-        order = sorted((q for q in queues if left[q]), key=owed.__getitem__, reverse=True)
+        queues = [q for q in queues if left[q]]
+        order = sorted(queues, key=owed.__getitem__, reverse=True)
         gives = dict.fromkeys(order, 0)
         for q in order:
             n = min(int(owed[q]), left[q], room)
@@ -105,6 +116,8 @@ def fill(plan: Plan, x: int, y: int) -> list[tuple[int, int, int, int]]:
             gives[q] += n
             room -= n
         for q in order:
+            if not room:
+                break
             n = min(left[q] - gives[q], room)
             gives[q] += n
             room -= n
@@ -119,9 +132,7 @@ def fill(plan: Plan, x: int, y: int) -> list[tuple[int, int, int, int]]:
 def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(part, queue, before, id, n, ids), written: ids of each text with its end id; before counts its queue's ids earlier in the part."""
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    many = docs.select(source.alias("s")).distinct().limit(QUEUES + 1).count()
-    queue = source if many <= QUEUES else F.pmod(F.xxhash64(source), F.lit(QUEUES)).cast("string")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), queue.alias("queue"), F.spark_partition_id().alias("part"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), source.alias("queue"), F.spark_partition_id().alias("part"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         encoder = tokens.library_encoder(path)
@@ -147,6 +158,8 @@ def packed(ids: DataFrame, wide: int = 2, targets: dict[str, float] | None = Non
     if not totals:
         return spark.createDataFrame([], schema)
     names = [q for q, _ in totals]
+    if unknown := set(targets or ()) - set(names):
+        raise ValueError(f"targets of sources that aren't there: {sorted(unknown)[:5]}")
     shares = [Fraction(targets.get(q, 0)).limit_denominator(10**6) for q in names] if targets else None
     plan = Plan([n for _, n in totals], shares)
     number = {q: k for k, q in enumerate(names)}
@@ -157,12 +170,16 @@ def packed(ids: DataFrame, wide: int = 2, targets: dict[str, float] | None = Non
     span, kind = WINDOW * BLOCK, f"<u{wide}"
 
     def deal(batches) -> Iterator[pa.RecordBatch]:
-        edges: dict[int, list[int]] = {}
+        edges: dict = {}
 
-        def edge(block: int) -> list[int]:
+        def edge(block: int, k: int) -> int:
+            if len(names) > QUEUES:
+                if (block, k) not in edges:
+                    edges[block, k] = plan.given_by(k, block * span)
+                return edges[block, k]
             if block not in edges:
                 edges[block] = plan.given(block * span)
-            return edges[block]
+            return edges[block][k]
 
         blocks = -(-plan.total // span)
         for batch in batches:
@@ -171,15 +188,15 @@ def packed(ids: DataFrame, wide: int = 2, targets: dict[str, float] | None = Non
                 k = number[q]
                 low, high = 0, blocks - 1
                 guess = min(high, at * plan.total // (plan.totals[k] * span))
-                if edge(guess)[k] <= at < edge(guess + 1)[k]:
+                if edge(guess, k) <= at < edge(guess + 1, k):
                     low = guess
                 else:
                     while low < high:
                         mid = (low + high + 1) // 2
-                        low, high = (mid, high) if edge(mid)[k] <= at else (low, mid - 1)
+                        low, high = (mid, high) if edge(mid, k) <= at else (low, mid - 1)
                 start = 0
                 while start < n:
-                    stop = min(n, edge(low + 1)[k] - at)
+                    stop = min(n, edge(low + 1, k) - at)
                     if stop > start:
                         for c, v in zip(columns, (low, k, at + start, doc, start, stop - start, n, raw[start * wide : stop * wide]), strict=True):
                             c.append(v)

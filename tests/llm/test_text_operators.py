@@ -287,6 +287,29 @@ def test_packing_by_given_targets():
     assert taken == {0: 5000, 1: 5000} and early[0] / (early[0] + early[1]) == pytest.approx(0.75, abs=0.05)
 
 
+def test_packing_of_300_sources(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 16)
+    docs = spark.createDataFrame([(i, f"token {i} " * 100, f"s{i // 3}") for i in range(900)], "doc_id long, text string, source string").coalesce(1)
+    ids = packing.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"), 0)
+    out = sorted(packing.packed(ids).collect(), key=lambda r: (r.sequence_id, r.offset))
+    totals, so_far = collections.Counter(), collections.Counter()
+    for r in out:
+        totals[r.doc_id // 3] += r.length
+    total, done = sum(totals.values()), 0
+    assert len(totals) == 300 and total > 200 * 1024
+    for r in out:
+        so_far[r.doc_id // 3] += r.length
+        done += r.length
+        assert abs(so_far[r.doc_id // 3] - totals[r.doc_id // 3] * done / total) < 200
+    given = packing.packed(ids, targets={"s7": 0.5, "s290": 0.5}).where("sequence_id = 0").collect()
+    taken = collections.Counter()
+    for r in given:
+        taken[r.doc_id // 3] += r.length
+    assert set(taken) == {7, 290} and taken[7] / 1024 == pytest.approx(0.5, abs=0.1)
+    with pytest.raises(ValueError):
+        packing.packed(ids, targets={"nowhere": 1.0})
+
+
 def test_line_dedup(spark):
     values = texts()
     seen = collections.defaultdict(set)
