@@ -5,8 +5,12 @@ pre-token whose entry has the same bytes is one token.  Second tier: the
 remaining pre-tokens are linked lists of bytes, and a heap of adjacent pairs
 joins the pair of least rank, leftmost first, until no pair is in the table.
 
+Texts are cut into chunks, and ids of chunks met before are kept, as in
+``tokens``; a long text is cut between two words.
+
 Defined cases: a null or empty text has no ids and decodes to nothing; strings
-of special tokens are ordinary text; an id outside the table raises KeyError.
+of special tokens are ordinary text; an id outside the table raises KeyError;
+null ids and repeated rows keep their rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -63,12 +67,13 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class ByteBPE:
+class ByteBPE(tokens.ChunkEncoder):
     """Encoder and decoder of one rank table and pre-token pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_bytes: int = tokens.CACHE_BYTES):
         import regex
 
+        super().__init__(max(ranks.values(), default=0) + 1, cache_bytes)
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.table = {i: token for token, i in ranks.items()}
         items = list(ranks)
@@ -79,25 +84,19 @@ class ByteBPE:
         self.id_at = np.zeros(len(items), np.int64)
         for k, item in zip(at, items, strict=True):
             self.entry[k], self.id_at[k] = item, ranks[item]
-        self.pretokens: dict[str, list[int]] = {}
-        self.encoder = tokens.ChunkEncoder(self._chunks, max(ranks.values()) + 1)
 
     def _resolve(self, new: list[str]) -> Iterator[list[int]]:
         raw = [x.encode() for x in new]
         for item, k in zip(raw, self.hash.lookup(_hashes(raw)).tolist(), strict=True):
             yield [int(self.id_at[k])] if k >= 0 and self.entry[k] == item else merge(item, self.ranks)
 
-    def _chunks(self, chunks: list[str]) -> Iterator[list[int]]:
+    def of_chunks(self, chunks: list[str]) -> list[list[int]]:
         split = [self.pattern.findall(c) for c in chunks]
-        new = list(set().union(*split).difference(self.pretokens))
-        self.pretokens.update(zip(new, self._resolve(new), strict=True))
-        for parts in split:
-            yield self.pretokens[parts[0]] if len(parts) == 1 else [i for p in parts for i in self.pretokens[p]]
-        if len(self.pretokens) > self.encoder.cached:
-            self.pretokens.clear()
+        new = list(set().union(*split))
+        known = dict(zip(new, self._resolve(new), strict=True))
+        return [known[parts[0]] if len(parts) == 1 else [i for p in parts for i in known[p]] for parts in split]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [self.encoder.ids(x) for x in self.encoder.encode(texts)]
+    of_texts = of_chunks
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))
@@ -118,13 +117,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, pattern)
-        for batch in batches:
-            for rows, texts in tokens.groups(batch, "__text"):
-                ids = bpe.encode(texts)
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [id_col, "ids"])
+        for rows, ids, bounds in codec(path, pattern).encoded(batches, "__text"):
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))], [id_col, "ids"])
 
     return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 

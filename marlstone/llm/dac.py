@@ -116,28 +116,27 @@ def files(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         encoder = tokens.library_encoder(path)
-        end = np.array([end_id], encoder.kind).tobytes()
-        wide, part, seq, before = encoder.kind.itemsize, 0, 0, 0
-        held: list[bytes] = []
-        ids: list[int | None] = []
-        many = 0
+        part, seq, before, many = 0, 0, 0, 0
+        held: list[tuple[np.ndarray, np.ndarray, list[int | None]]] = []
 
         def close() -> pa.RecordBatch:
-            lengths = np.array([len(x) // wide for x in held])
-            row = [[part], [seq], [before], [int(lengths.sum())], [len(ids)], [pack(encoder.ids(b"".join(held)), ids, lengths)]]
+            ids, lengths = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            docs = [d for h in held for d in h[2]]
+            row = [[part], [seq], [before], [len(ids)], [len(docs)], [pack(ids, docs, lengths)]]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "seq", "before", "n_ids", "n_docs", "file"])
 
-        for batch in batches:
-            for rows, some in tokens.groups(batch, "text"):
-                part = rows.column(2)[0].as_py()
-                for doc, raw in zip(rows.column(0).to_pylist(), encoder.encode(some), strict=True):
-                    held.append(raw + end)
-                    ids.append(doc)
-                    many += len(held[-1]) // wide
-                    if many >= file_ids:
-                        yield close()
-                        held, ids, many, seq, before = [], [], 0, seq + 1, before + many
-        if ids:
+        for rows, ids, bounds in encoder.encoded(batches, "text", end_id):
+            part, docs, at = rows.column(2)[0].as_py(), rows.column(0).to_pylist(), 0
+            while at < len(docs):
+                # up to the document that fills the file
+                to = min(len(docs), int(np.searchsorted(bounds, bounds[at] + file_ids - many)))
+                held.append((ids[bounds[at] : bounds[to]], np.diff(bounds[at : to + 1]), docs[at:to]))
+                many += int(bounds[to] - bounds[at])
+                at = to
+                if many >= file_ids:
+                    yield close()
+                    held, many, seq, before = [], 0, seq + 1, before + many
+        if held:
             yield close()
 
     return written(dealt.mapInArrow(run, "part int, seq int, before long, n_ids long, n_docs long, file binary"), "dac")

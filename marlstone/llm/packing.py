@@ -135,16 +135,13 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", tex
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), source.alias("queue"), F.spark_partition_id().alias("part"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.library_encoder(path)
-        end, wide, so_far = np.array([end_id], encoder.kind).tobytes(), encoder.kind.itemsize, {}
-        for batch in batches:
-            for rows, some in tokens.groups(batch, "text"):
-                raw = [r + end for r in encoder.encode(some)]
-                n, before = [len(r) // wide for r in raw], []
-                for q, k in zip(rows.column("queue").to_pylist(), n, strict=True):
-                    before.append(so_far.get(q, 0))
-                    so_far[q] = before[-1] + k
-                yield pa.RecordBatch.from_arrays([rows.column("part"), rows.column("queue"), pa.array(before), rows.column("id"), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], ["part", "queue", "before", "id", "n", "ids"])
+        encoder, so_far = tokens.library_encoder(path), {}
+        for rows, ids, bounds in encoder.encoded(batches, "text", end_id):
+            n, before = np.diff(bounds), []
+            for q, k in zip(rows.column("queue").to_pylist(), n.tolist(), strict=True):
+                before.append(so_far.get(q, 0))
+                so_far[q] = before[-1] + k
+            yield pa.RecordBatch.from_arrays([rows.column("part"), rows.column("queue"), pa.array(before, pa.int64()), rows.column("id"), pa.array(n), tokens.binaries(ids, bounds)], ["part", "queue", "before", "id", "n", "ids"])
 
     return written(texts.mapInArrow(run, "part int, queue string, before long, id long, n long, ids binary"), "packing-ids")
 

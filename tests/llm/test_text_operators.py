@@ -15,7 +15,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marlstone.llm import bpe, dac, html, linededup, lm, media, neardup, packing, quality, tokens
+from marlstone.llm import bpe, dac, html, linededup, lm, media, neardup, packing, quality
 from marlstone.llm.mph import MinimalPerfectHash
 from marlstone.llm.spans import pieces
 
@@ -222,19 +222,6 @@ def test_merge_joins_least_rank_first_leftmost():
     assert bpe.merge(b"aaab", ranks) == [256, 257]
 
 
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_chunks_have_the_librarys_ids(name):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    values = [x or "" for x in texts()] + ["İstanbul ŞIK, ǅ é́ .́ a.,; 'sx x's 12.5%"]
-    encoder = tokens.library_encoder(public_tokenizers.path(name))
-    assert [encoder.ids(x).tolist() for x in encoder.encode(values)] == [e.ids for e in t.encode_batch(values, add_special_tokens=False)]
-    small = tokens.ChunkEncoder(encoder.encode_chunks, 1 << 16, cached=3, same=encoder.same)
-    assert small.encode(values) == encoder.encode(values)
-
-
 @pytest.mark.parametrize("many_sources", [False, True])
 def test_packing(spark, monkeypatch, many_sources):
     from tokenizers import Tokenizer
@@ -246,7 +233,6 @@ def test_packing(spark, monkeypatch, many_sources):
     path = public_tokenizers.path("byte_bpe_50k.json")
     out = packing.packed(packing.encoded(frame(spark, values), path, 0), with_ids=True).collect()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want = {i: e.ids + [0] for i, e in enumerate(t.encode_batch([v or "" for v in values], add_special_tokens=False))}
     for i, ids in want.items():
         mine = sorted((r for r in out if r.doc_id == i), key=lambda r: r.start)
@@ -416,6 +402,8 @@ def test_verdicts_of_planted_documents_at_any_size(spark):
 
 
 def test_directly_addressable_codes(spark):
+    from tokenizers import Tokenizer
+
     rng = np.random.default_rng(4)
     ids = np.concatenate([rng.integers(0, 300, 3000), rng.integers(0, 2**31, 50), [0, 255, 256, 65535, 65536]]).astype(np.int64)
     f = dac.DacFile(dac.pack(ids, [7], np.array([len(ids)])))
@@ -425,10 +413,9 @@ def test_directly_addressable_codes(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     packed = dac.files(frame(spark, values), path, 1, file_ids=500)
     got = rows(dac.read(packed))
-    encoder = tokens.library_encoder(path)
     start = 0
-    for i, raw in enumerate(encoder.encode([v or "" for v in values])):
-        want = encoder.ids(raw).tolist() + [1]
+    for i, e in enumerate(Tokenizer.from_file(path).encode_batch([v or "" for v in values], add_special_tokens=False)):
+        want = e.ids + [1]
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
         start += len(want)
     assert packed.count() > 3
