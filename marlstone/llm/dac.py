@@ -112,7 +112,7 @@ def files(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
     part, seq give their order, before the ids in the part's files before.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    dealt = texts.repartitionByRange(shards(docs.sparkSession), "id").sortWithinPartitions("id", "text").select("id", "text", F.spark_partition_id().alias("part"))
+    dealt = texts.repartitionByRange(shards(docs, text_col), "id").sortWithinPartitions("id", "text").select("id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         encoder = tokens.library_encoder(path)

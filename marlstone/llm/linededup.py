@@ -6,7 +6,8 @@ shard holds a minimal perfect hash of its distinct keys and, at a key's
 number, a 32-bit fingerprint of the second hash, the number of documents with
 the line, and the first of these documents.  Documents never meet in a join on
 lines: they send their hashes to the shards in packed rows, and get back the
-places of the lines to drop.
+places of the lines to drop.  A shard that very many lines ask, because one of
+them is everywhere, is copied, and each copy answers ``ASKED`` lines or so.
 
 Keys whose first hashes collide are kept in a shard's small exact list.
 
@@ -14,7 +15,8 @@ Defined cases: a null or empty text is one empty line; keys shorter than
 ``LEAST_POINTS`` code points are never dropped; repeated rows with one id hold
 their lines together; null ids come last and count as one document; a text
 whose lines are all dropped is empty, its row stays; an empty table has an
-empty index.
+empty index; a very long text is one piece, whose arrays take a small multiple
+of its bytes.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from marlstone.llm.shared import shards, written
 from marlstone.llm.spans import Piece, in_pieces
 
 LEAST_POINTS = 10
+#: Lines that one copy of a shard answers.
+ASKED = 2_000_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -62,23 +66,24 @@ def _first_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_POINTS) -> DataFrame:
-    """(shard, n, hash, fingerprints, counts, firsts, clashes), one row a shard, written to the shared folder."""
-    n_shards = shards(docs.sparkSession)
+def index(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_POINTS) -> DataFrame:
+    """(shard, n, asked, hash, fingerprints, counts, firsts, clashes), one row a shard, written to the shared folder; asked: its lines in all."""
 
     def lines(batches) -> Iterator[pa.RecordBatch]:
         for rows, piece in in_pieces(batches, "text", fold=True):
             doc, _, a, b = keys(piece, least)
             ids = rows.column("id").fill_null(_LAST).to_numpy(zero_copy_only=False)[doc]
             order, run = _first_of(a, b, ids)  # once for each document
+            lines_of = np.diff(np.append(run, len(order)))
             a, b, ids = a[order][run], b[order][run], ids[order][run]
             order, run = _first_of(a % np.uint64(n_shards), a, b)
             counts = np.diff(np.append(run, len(order))).astype(np.int32)
             firsts = np.minimum.reduceat(ids[order], run) if len(run) else ids
+            asked = np.add.reduceat(lines_of[order], run) if len(run) else lines_of
             a, b = a[order][run], b[order][run]
             shard = (a % np.uint64(n_shards)).astype(np.int32)
             cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)) if len(shard) else np.zeros(1, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]]), _lists(a.view(np.int64), cuts), _lists(b.view(np.int64), cuts), _lists(counts, cuts), _lists(firsts, cuts)], ["shard", "a", "b", "n", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]]), _lists(a.view(np.int64), cuts), _lists(b.view(np.int64), cuts), _lists(counts, cuts), _lists(firsts, cuts), pa.array(np.add.reduceat(asked, cuts[:-1]) if len(asked) else asked)], ["shard", "a", "b", "n", "first", "asked"])
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         a, b, n, first = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("a", "b", "n", "first"))
@@ -97,12 +102,12 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
             out = np.zeros(len(a), kind)
             out[at] = values
             arrays.append(out.tobytes())
-        row = [key[0].as_py(), len(a), hashed.to_bytes(), *arrays, b"".join(struct.pack("<QQQq", *o) for o in odd)]
-        return pa.table([pa.array([v], k) for v, k in zip(row, (pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], names=["shard", "n", "hash", "fingerprints", "counts", "firsts", "clashes"])
+        row = [key[0].as_py(), len(a), sum(table.column("asked").to_pylist()), hashed.to_bytes(), *arrays, b"".join(struct.pack("<QQQq", *o) for o in odd)]
+        return pa.table([pa.array([v], k) for v, k in zip(row, (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5), strict=True)], names=["shard", "n", "asked", "hash", "fingerprints", "counts", "firsts", "clashes"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    dealt = texts.mapInArrow(lines, "shard int, a array<long>, b array<long>, n array<int>, first array<long>")
-    return written(dealt.groupBy("shard").applyInArrow(build, "shard int, n long, hash binary, fingerprints binary, counts binary, firsts binary, clashes binary"), "line-index")
+    dealt = texts.mapInArrow(lines, "shard int, a array<long>, b array<long>, n array<int>, first array<long>, asked long")
+    return written(dealt.groupBy("shard").applyInArrow(build, "shard int, n long, asked long, hash binary, fingerprints binary, counts binary, firsts binary, clashes binary"), "line-index")
 
 
 class Shard:
@@ -127,19 +132,21 @@ class Shard:
         return n, first
 
 
-def dropped(docs: DataFrame, line_index: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_POINTS) -> DataFrame:
-    """(__id, __text_hash, __dropped): places of the lines to drop, for documents that have any."""
-    n_shards = shards(docs.sparkSession)
+def dropped(docs: DataFrame, line_index: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_POINTS, asked: int = ASKED) -> DataFrame:
+    """(__id, __text_hash, __dropped): places of the lines to drop, for documents that have any. One number for each much asked shard goes through the driver."""
+    copies = {s: n for s, n in line_index.select("shard", (F.col("asked") / asked).cast("int") + 1).where(F.col("asked") >= asked).toLocalIterator()}
 
     def probes(batches) -> Iterator[pa.RecordBatch]:
-        for rows, piece in in_pieces(batches, "text", fold=True):
+        for number, (rows, piece) in enumerate(in_pieces(batches, "text", fold=True)):
             doc, place, a, b = keys(piece, least)
             order = np.argsort(a % np.uint64(n_shards), kind="stable")
             doc, place, a, b = doc[order], place[order], a[order], b[order]
             shard = (a % np.uint64(n_shards)).astype(np.int32)
             cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)) if len(shard) else np.zeros(1, np.int64)
             ids, known = rows.column("id").fill_null(_LAST).to_numpy(zero_copy_only=False)[doc], rows.column("key").to_numpy()[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]]), *(_lists(v, cuts) for v in (a.view(np.int64), b.view(np.int64), ids, known, place.astype(np.int32)))], ["shard", "a", "b", "id", "key", "place"])
+            turn = number + rows.column("part")[0].as_py() * 7919
+            copy = pa.array([turn % copies.get(s, 1) for s in shard[cuts[:-1]].tolist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]]), copy, *(_lists(v, cuts) for v in (a.view(np.int64), b.view(np.int64), ids, known, place.astype(np.int32)))], ["shard", "copy", "a", "b", "id", "key", "place"])
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["__id", "__text_hash", "place"]
@@ -151,15 +158,17 @@ def dropped(docs: DataFrame, line_index: DataFrame, id_col: str = "doc_id", text
         out = (n >= 2) & (first < ids)
         return pa.table([pa.array(v[out]) for v in (ids, known, place)], names=names)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    dealt = texts.mapInArrow(probes, "shard int, a array<long>, b array<long>, id array<long>, key array<long>, place array<int>")
-    found = dealt.groupBy("shard").cogroup(line_index.groupBy("shard")).applyInArrow(answer, "__id long, __text_hash long, place int")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
+    dealt = texts.mapInArrow(probes, "shard int, copy int, a array<long>, b array<long>, id array<long>, key array<long>, place array<int>")
+    answering = line_index.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("asked") / asked).cast("int"))))
+    found = dealt.groupBy("shard", "copy").cogroup(answering.groupBy("shard", "copy")).applyInArrow(answer, "__id long, __text_hash long, place int")
     return found.groupBy("__id", "__text_hash").agg(F.collect_set("place").alias("__dropped"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_POINTS) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_POINTS, asked: int = ASKED) -> DataFrame:
     """The rows of docs, all columns kept, with the text that stays, and __n_lines, __n_dropped."""
-    found = dropped(docs, index(docs, id_col, text_col, least), id_col, text_col, least)
+    n_shards = shards(docs, text_col)
+    found = dropped(docs, index(docs, n_shards, id_col, text_col, least), n_shards, id_col, text_col, least, asked)
     keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST))), "__text_hash": F.xxhash64(text_col)})
     joined = keyed.join(found, ["__id", "__text_hash"], "left").drop("__id", "__text_hash")
 

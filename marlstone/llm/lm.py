@@ -44,7 +44,7 @@ from marlstone.llm.spans import in_pieces, mix
 
 FOLDS = 10
 #: Tokens a batch.
-HELD = 1_000_000
+HELD = 500_000
 BITS_PER_ENTRY = 8
 HASHES = 5
 #: Largest filter that is broadcast.
@@ -100,9 +100,14 @@ class Batch:
             return mix(before * np.uint64(3) + word) >> _CUT
 
 
-def batches_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> DataFrame:
+def _rows(batches) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def batches_of(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> DataFrame:
     """The tokenised documents, written to the shared folder."""
-    n_shards = shards(docs.sparkSession)
     names = [c.split()[0] for c in Batch.COLUMNS.split(", ")]
     kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
 
@@ -140,24 +145,22 @@ def batches_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _dealt_words(n_shards: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for row in rows.to_pylist():
-                b = Batch(row)
-                counts = np.bincount(b.places[b.trained], minlength=len(b.words)).astype("<u8")
-                cuts = np.searchsorted(b.words % np.uint64(n_shards), np.arange(n_shards + 1))
-                out = [(s, b.name, _sorted_out(b.words[x:y]), planes(counts[x:y])) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "batch", "words", "counts"])
+        for row in _rows(batches):
+            b = Batch(row)
+            counts = np.bincount(b.places[b.trained], minlength=len(b.words)).astype("<u8")
+            cuts = np.searchsorted(b.words % np.uint64(n_shards), np.arange(n_shards + 1))
+            out = [(s, b.name, _sorted_out(b.words[x:y]), planes(counts[x:y])) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "batch", "words", "counts"])
 
     return run
 
 
-def word_counts(batches: DataFrame) -> DataFrame:
+def word_counts(batches: DataFrame, n_shards: int) -> DataFrame:
     """(batch, shard, counts, levels) for every batch: its words' counts over all training documents and their levels in the filter, in its order; written.
 
     One more row a shard, with a null batch, has totals (all tokens, distinct words, words seen once) and the shard's
     segment of the filter of words.
     """
-    n_shards = shards(batches.sparkSession)
 
     def total(key: tuple, table: pa.Table) -> pa.Table:
         words = [_sorted_in(w) for w in table.column("words").to_pylist()]
@@ -228,21 +231,19 @@ class Segment:
         return out
 
 
-def pair_filter(batches: DataFrame) -> DataFrame:
+def pair_filter(batches: DataFrame, n_shards: int) -> DataFrame:
     """(shard, bits): the filter's segments, over the pairs of all training documents; written."""
-    n_shards = shards(batches.sparkSession)
-
-    def deal(rows) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for row in batch.to_pylist():
-                b = Batch(row)
-                keys, counts = np.unique(b.pairs()[b.trained], return_counts=True)
-                order = np.argsort(keys % np.uint64(n_shards), kind="stable")
-                keys, counts = keys[order], counts[order].astype("<u4")
-                cuts = np.searchsorted(keys % np.uint64(n_shards), np.arange(n_shards + 1))
-                out = [(s, _sorted_out(keys[x:y]), planes(counts[x:y])) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "pairs", "counts"])
+
+    def deal(batches) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            b = Batch(row)
+            keys, counts = np.unique(b.pairs()[b.trained], return_counts=True)
+            order = np.argsort(keys % np.uint64(n_shards), kind="stable")
+            keys, counts = keys[order], counts[order].astype("<u4")
+            cuts = np.searchsorted(keys % np.uint64(n_shards), np.arange(n_shards + 1))
+            out = [(s, _sorted_out(keys[x:y]), planes(counts[x:y])) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "pairs", "counts"])
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         pairs = np.concatenate([_sorted_in(p) for p in table.column("pairs").to_pylist()])
@@ -257,19 +258,17 @@ def pair_filter(batches: DataFrame) -> DataFrame:
     return written(dealt.groupBy("shard").applyInArrow(build, "shard int, bits binary"), "lm-filter")
 
 
-def _probed(batches: DataFrame, segments: DataFrame) -> DataFrame:
+def _probed(batches: DataFrame, segments: DataFrame, n_shards: int) -> DataFrame:
     """(batch, shard, levels), for a filter too large to broadcast: each batch's distinct pairs, sorted by shard and hash, asked for in the shards; written."""
-    n_shards = shards(batches.sparkSession)
-
-    def deal(rows) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for row in batch.to_pylist():
-                b = Batch(row)
-                keys = np.unique(b.pairs())
-                keys = keys[np.argsort(keys % np.uint64(n_shards), kind="stable")]
-                cuts = np.searchsorted(keys % np.uint64(n_shards), np.arange(n_shards + 1))
-                out = [(s, b.name, _sorted_out(keys[x:y])) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "batch", "pairs"])
+
+    def deal(batches) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            b = Batch(row)
+            keys = np.unique(b.pairs())
+            keys = keys[np.argsort(keys % np.uint64(n_shards), kind="stable")]
+            cuts = np.searchsorted(keys % np.uint64(n_shards), np.arange(n_shards + 1))
+            out = [(s, b.name, _sorted_out(keys[x:y])) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "batch", "pairs"])
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         segment = Segment(np.frombuffer(right.column("bits")[0].as_py(), np.uint8)) if right.num_rows else None
@@ -286,12 +285,12 @@ def _probed(batches: DataFrame, segments: DataFrame) -> DataFrame:
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     spark = docs.sparkSession
-    n_shards = shards(spark)
-    batches = batches_of(docs, id_col, text_col, folds)
-    counted = word_counts(batches)
+    n_shards = shards(docs, text_col)
+    batches = batches_of(docs, n_shards, id_col, text_col, folds)
+    counted = word_counts(batches, n_shards)
     sums = counted.where("batch is null").select(*(F.coalesce(F.sum(F.col("totals")[k]), F.lit(0)) for k in range(3))).first()
     n, v, once = (int(x) for x in sums)
-    segments = pair_filter(batches)
+    segments = pair_filter(batches, n_shards)
     word_segments = counted.where("batch is null").select("shard", "bits")
     both = word_segments.select("shard", F.lit(0).alias("kind"), "bits").unionByName(segments.select("shard", F.lit(1).alias("kind"), "bits"))
     size = both.select(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
@@ -300,13 +299,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     if size <= filter_bytes:
         shared = spark.sparkContext.broadcast({(r["kind"], r["shard"]): bytes(r["bits"]) for r in both.toLocalIterator()})
     else:
-        answers = answers.unionByName(_probed(batches, segments).select("batch", F.lit(1).alias("kind"), "shard", F.col("levels").alias("found")))
+        answers = answers.unionByName(_probed(batches, segments, n_shards).select("batch", F.lit(1).alias("kind"), "shard", F.col("levels").alias("found")))
         answers = answers.unionByName(counted.where("batch is not null").select("batch", F.lit(2).alias("kind"), "shard", F.col("levels").alias("found")))
-    # equal batches have one name and equal answers
-    gathered = answers.groupBy("batch").agg(F.array_sort(F.collect_set(F.struct("kind", "shard", "found"))).alias("answers"))
-    joined = batches.join(gathered, "batch")
-    if shared is None:
-        joined = written(joined, "lm-joined")
     train_docs = docs.select(F.col(id_col).cast("string").alias("i")).where(F.crc32(F.coalesce("i", F.lit("")).cast("binary")) % folds != 0).count()
     train_level = int(np.searchsorted(_THRESHOLDS, train_docs, "right"))
     opened: dict = {}
@@ -323,13 +317,16 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
                 out[order[x:y]] = opened["segments"][kind, s].levels(keys[order[x:y]])
         return out
 
-    def pair_levels(b: Batch, told: list[bytes]) -> np.ndarray:
+    def found(row: dict, kind: int) -> list[bytes]:
+        return [a["found"] for a in row.get("answers") or [] if a["kind"] == kind]
+
+    def pair_levels(b: Batch, row: dict) -> np.ndarray:
         pairs = b.pairs()
         if shared is not None:
             return ask(1, pairs)
         keys = np.unique(pairs)
         keys = keys[np.argsort(keys % np.uint64(n_shards), kind="stable")]
-        levels = np.frombuffer(b"".join(told), np.uint8)
+        levels = np.frombuffer(b"".join(found(row, 1)), np.uint8)
         order = np.argsort(keys)
         return levels[order][np.searchsorted(keys[order], pairs)]
 
@@ -340,44 +337,43 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
         out[b.begins] = of_begin
         return out
 
-    def exact_counts(row: dict) -> np.ndarray:
-        return np.concatenate([unplanes(a["found"], "<u8") for a in row["answers"] if a["kind"] == 0]).astype(np.int64)
+    def answered(answers: DataFrame) -> DataFrame:
+        # equal batches have one name and equal answers
+        return batches.join(answers.groupBy("batch").agg(F.array_sort(F.collect_set(F.struct("kind", "shard", "found"))).alias("answers")), "batch")
 
     def novelty(rows) -> Iterator[pa.RecordBatch]:
         kinds = len(_THRESHOLDS) + 1
-        seen, new = np.zeros(kinds, np.int64), np.zeros(kinds, np.int64)
-        for batch in rows:
-            for row in batch.to_pylist():
-                b = Batch(row)
-                told = {k: [a["found"] for a in row.get("answers") or [] if a["kind"] == k] for k in (1, 2)}
-                levels = ask(0, b.words) if shared is not None else np.frombuffer(b"".join(told[2]), np.uint8)
-                kind = before(b, levels.astype(np.int64), train_level)[b.trained]
-                pair = pair_levels(b, told[1])[b.trained]
-                seen += np.bincount(kind, minlength=kinds)
-                new += np.bincount(kind[pair <= 1], minlength=kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(kinds)), pa.array(seen), pa.array(new)], ["kind", "seen", "new"])
-
+        for row in _rows(rows):
+            b = Batch(row)
+            levels = ask(0, b.words) if shared is not None else np.frombuffer(b"".join(found(row, 2)), np.uint8)
+            kind = before(b, levels.astype(np.int64), train_level)[b.trained]
+            pair = pair_levels(b, row)
+            seen, new = np.bincount(kind, minlength=kinds), np.bincount(kind[pair[b.trained] <= 1], minlength=kinds)
+            yield pa.RecordBatch.from_arrays([pa.array([b.name]), pa.array([pair.tobytes()], pa.binary()), pa.array([seen.tolist()]), pa.array([new.tolist()])], ["batch", "levels", "seen", "new"])
+
+    # what every token's pair has, kept for the scores
+    asked = written((batches if shared is not None else answered(answers)).mapInArrow(novelty, "batch long, levels binary, seen array<long>, new array<long>"), "lm-pairs")
+    answers = answers.where("kind = 0").unionByName(asked.select("batch", F.lit(3).alias("kind"), F.lit(0).alias("shard"), F.col("levels").alias("found")))
     share = np.ones(len(_THRESHOLDS) + 1)
-    source = joined if shared is None else batches
-    for kind, seen, new in source.mapInArrow(novelty, "kind long, seen long, new long").groupBy("kind").agg(F.sum("seen"), F.sum("new")).collect():
+    by_kind = asked.select(F.posexplode(F.arrays_zip("seen", "new"))).groupBy("pos").agg(F.sum("col.seen"), F.sum("col.new"))
+    for kind, seen, new in by_kind.collect():
         share[kind] = min(1.0, (new + 1) / (seen + 2)) if seen else 1.0
     values = np.concatenate([[0], _THRESHOLDS]).astype(np.float64)
     unknown = min(0.5, (once + 1) / (n + 2))
 
     def score(rows) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for row in batch.to_pylist():
-                b = Batch(row)
-                counts = exact_counts(row)
-                c, context = counts[b.places], before(b, counts, train_docs)
-                level = pair_levels(b, [a["found"] for a in row["answers"] if a["kind"] == 1])
-                base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-                alone = np.where(c > 0, c / max(n, 1) * (1 - unknown), unknown) if n else np.ones(len(c))
-                u = np.where(context > 0, share[np.searchsorted(_THRESHOLDS, context, "right")], 1.0)
-                together = np.minimum(values[level], np.minimum(np.maximum(c, 1), np.maximum(context, 1))) / np.maximum(context, 1)
-                p = np.log10((1 - u) * np.where((c > 0) & (context > 0), together, 0) + u * alone)
-                add = lambda x: np.add.reduceat(x, b.begins)
-                columns = [pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.ends - b.begins), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(b.ids), n)), pa.array(add(base)), pa.array(add(p))]
-                yield pa.RecordBatch.from_arrays(columns, [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return joined.mapInArrow(score, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        for row in _rows(rows):
+            b = Batch(row)
+            counts = np.concatenate([unplanes(x, "<u8") for x in found(row, 0)]).astype(np.int64)
+            c, context = counts[b.places], before(b, counts, train_docs)
+            level = np.frombuffer(found(row, 3)[0], np.uint8)
+            base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+            alone = np.where(c > 0, c / max(n, 1) * (1 - unknown), unknown) if n else np.ones(len(c))
+            u = np.where(context > 0, share[np.searchsorted(_THRESHOLDS, context, "right")], 1.0)
+            together = np.minimum(values[level], np.minimum(np.maximum(c, 1), np.maximum(context, 1))) / np.maximum(context, 1)
+            p = np.log10((1 - u) * np.where((c > 0) & (context > 0), together, 0) + u * alone)
+            add = lambda x: np.add.reduceat(x, b.begins)
+            columns = [pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.ends - b.begins), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(b.ids), n)), pa.array(add(base)), pa.array(add(p))]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return answered(answers).mapInArrow(score, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -6,12 +6,18 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Text for a hash shard of its shingles, words or lines.
+SHARD_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Only where it is unset (tests, a laptop) a temporary folder is set."""
+    """spark.checkpoint.dir of the session. Where it is unset, a local session (tests, a laptop) gets a temporary folder; on a cluster that is an error."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -31,6 +37,10 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shards(spark: SparkSession) -> int:
-    """How many hash shards to deal to: the session's shuffle partitions, which grow with the input on a cluster set up for it."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def shards(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> int:
+    """How many hash shards to deal to: one for each ``SHARD_BYTES`` of text, but at least the session's shuffle partitions.
+
+    A shard is one Arrow table of one task, so its size must not grow with the input.
+    """
+    size = docs.select(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))

@@ -310,6 +310,8 @@ def test_line_dedup(spark):
         assert (got[i].text, got[i]["__n_lines"], got[i]["__n_dropped"]) == ("\n".join(kept), len(lines), len(lines) - len(kept)), i
     assert sum(r["__n_dropped"] for r in got.values()) > 10
     assert linededup.deduplicated(frame(spark, [])).count() == 0
+    copied = rows(linededup.deduplicated(frame(spark, values), asked=3))
+    assert {i: r.text for i, r in copied.items()} == {i: r.text for i, r in got.items()}
 
 
 def test_lines_of_rows_with_one_id_or_none(spark):
