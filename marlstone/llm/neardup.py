@@ -21,11 +21,17 @@ Shingles are 48-bit hashes, compared within pairs of documents and counted
 over the corpus; a false equality needs two of the shingles of one pair to
 collide.
 
+Nodes are shingle sets, numbered once, so ids need not be unique.  A shingle
+that very many documents of a batch have goes to its shard as one count; which
+documents have it stays with the batch.
+
 Defined cases: a null or empty text, or one without words, has an empty set
 and links with nothing; a text of fewer words than a shingle is one shingle of
-all its words; repeated rows are copies; a null id has its row, but never
-names a component, so a set of null ids only has a null one; an empty table gives no
-rows; other columns of the input play no part.
+all its words; repeated rows are copies; rows of one id with different texts are
+documents of their own; a null id has its row and links, but never names a
+component, so one of null ids only has a null name; an empty table gives no
+rows; other columns of the input play no part; a very long text is one piece,
+whose arrays take a small multiple of its bytes.
 """
 
 from __future__ import annotations
@@ -48,11 +54,15 @@ PERCENT = 75
 HELD = 2_000_000
 #: Documents of a dealt batch; their places take two bytes.
 BATCH_DOCS = 60_000
-#: Members of a verification group besides its pivot.
+#: Members of a verification group besides its pivot, and their shingles.
 GROUP = 1000
+GROUP_SHINGLES = 1_000_000
+#: A shingle of more documents of a batch goes to its shard as a count.
+COMMON = 500
 #: Rounds in which posting lists compare with one member.
 ROUNDS = 3
 _BITS = np.uint64(16)
+_LAST = np.iinfo(np.int64).max
 
 
 def shingles(piece: Piece, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -114,34 +124,44 @@ def adaptive_prefix(n: int, df: np.ndarray, percent: int) -> int:
     return max(0, min(len(df), shortest - 1 + l))
 
 
-_DEALT = "shard int, batch long, ids array<long>, sizes binary, digests binary, tokens binary, owners binary, df binary"
+#: A row of tokens has owners or, for what is common in the batch, counts; the row about documents has the common tokens' owners.
+_DEALT = "shard int, batch long, ids array<long>, carried array<long>, sizes binary, digests binary, tokens binary, owners binary, counts binary, df binary"
 
 
-def _dealt(docs: DataFrame, words: int) -> DataFrame:
-    """Batches of documents: a row of their ids, set sizes and set digests, and a row a shard of (shingle, place of the document)."""
-    n_shards = shards(docs.sparkSession)
+def _dealt(docs: DataFrame, words: int, common: int) -> DataFrame:
+    """Batches of documents: a row of their ids, set sizes and set digests, and rows for each shard of (shingle, place of the document)."""
+    n_shards = shards(docs)
     names = [c.split()[0] for c in _DEALT.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
+    kinds = [pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 2, *[pa.binary()] * 6]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         ids: list = []
+        carried: list = []
         digests: list[bytes] = []
         sizes: list[np.ndarray] = []
         many = 0
 
         def close() -> pa.RecordBatch:
             owner, token = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            name = hashlib.blake2b(repr(ids).encode() + b"".join(digests), digest_size=7).digest()
+            name = hashlib.blake2b(repr((ids, carried)).encode() + b"".join(digests), digest_size=7).digest()
             batch = int.from_bytes(name, "big")
             shard = (mix(token) % np.uint64(n_shards)).astype(np.int32)
             order = np.lexsort((token, shard))
             owner, token, shard = owner[order].astype("<u2"), token[order], shard[order]
+            starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+            n = np.diff(np.append(starts, len(token)))
+            often = np.repeat(n > common, n)
+            rows = [(-1 - batch % n_shards, batch, ids, carried, np.concatenate(sizes).astype("<u4").tobytes(), b"".join(digests), token[often].astype("<u8").tobytes(), owner[often].tobytes(), None, None)]
+            counted, counts = token[starts[n > common]], n[n > common].astype("<u4")
+            at = shard[starts[n > common]]
+            for s in np.unique(at):
+                rows.append((int(s), batch, *[None] * 4, _squeeze(counted[at == s]), None, counts[at == s].tobytes(), None))
+            owner, token, shard = owner[~often], token[~often], shard[~often]
             cuts = np.searchsorted(shard, np.arange(n_shards + 1))
-            rows = [(-1 - batch % n_shards, batch, ids, np.concatenate(sizes).astype("<u4").tobytes(), b"".join(digests), None, None, None)]
             for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if b > a:
-                    rows.append((s, batch, None, None, None, _squeeze(token[a:b]), owner[a:b].tobytes(), None))
+                    rows.append((s, batch, *[None] * 4, _squeeze(token[a:b]), owner[a:b].tobytes(), None, None))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for rows, piece in in_pieces(batches, "text", fold=True):
@@ -153,10 +173,11 @@ def _dealt(docs: DataFrame, words: int) -> DataFrame:
             sizes.append(n)
             digests += [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(edges[:-1], edges[1:], strict=True)]
             ids += rows.column("id").to_pylist()
+            carried += rows.column("carried").to_pylist()
             many += len(token)
             if many >= HELD or len(ids) >= BATCH_DOCS // 2:
                 yield close()
-                held, ids, digests, sizes, many = [], [], [], [], 0
+                held, ids, carried, digests, sizes, many = [], [], [], [], [], 0
         if ids:
             yield close()
 
@@ -168,19 +189,23 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     if key[0].as_py() < 0:
         return table
     parts = [_expand(t) for t in table.column("tokens").to_pylist()]
+    counts = [np.ones(len(p), np.int64) if c is None else np.frombuffer(c, "<u4").astype(np.int64) for p, c in zip(parts, table.column("counts").to_pylist(), strict=True)]
+    owners = [np.zeros(len(p), "<u2") if o is None else np.frombuffer(o, "<u2") for p, o in zip(parts, table.column("owners").to_pylist(), strict=True)]
+    listed = table.column("owners").is_valid().to_pylist()
     row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    token, owner = np.concatenate(parts), np.concatenate([np.frombuffer(o, "<u2") for o in table.column("owners").to_pylist()])
+    token, owner = np.concatenate(parts), np.concatenate(owners)
     order = np.argsort(token, kind="stable")
     token = token[order]
     starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-    df = np.repeat(np.diff(np.append(starts, len(token))), np.diff(np.append(starts, len(token))))
+    df = np.repeat(np.add.reduceat(np.concatenate(counts)[order], starts), np.diff(np.append(starts, len(token))))
     some = df >= 2
     token, owner, row, df = token[some], owner[order][some], row[order][some], df[some]
     order = np.argsort(row, kind="stable")  # within a row still by shingle
-    token, owner, row, df = token[order], owner[order], row[order], df[order]
+    token, owner, row, df = token[order], owner[order], row[order], np.minimum(df[order], 2**32 - 1)
     cuts = np.searchsorted(row, np.arange(len(parts) + 1))
     spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-    for name, values in (("tokens", [_squeeze(token[a:b]) for a, b in spans]), ("owners", [owner[a:b].tobytes() for a, b in spans]), ("df", [df[a:b].astype("<u4").tobytes() for a, b in spans])):
+    found = {"tokens": [_squeeze(token[a:b]) for a, b in spans], "owners": [owner[a:b].tobytes() if x else None for (a, b), x in zip(spans, listed, strict=True)], "df": [df[a:b].astype("<u4").tobytes() for a, b in spans]}
+    for name, values in found.items():
         table = table.set_column(table.column_names.index(name), name, pa.array(values, pa.binary()))
     return table
 
@@ -194,11 +219,13 @@ def _assembled(percent: int):
         about = next(i for i, x in enumerate(table.column("ids").is_valid().to_pylist()) if x)
         ids, digests = table.column("ids")[about].as_py(), table.column("digests")[about].as_py()
         sizes = np.frombuffer(table.column("sizes")[about].as_py(), "<u4").astype(np.int64)
-        raw = [(t, o, d) for t, o, d in zip(table.column("tokens").to_pylist(), table.column("owners").to_pylist(), table.column("df").to_pylist(), strict=True) if t]
+        raw = [(_expand(t), o, np.frombuffer(d, "<u4")) for t, o, d in zip(table.column("tokens").to_pylist(), table.column("owners").to_pylist(), table.column("df").to_pylist(), strict=True) if d]
         empty = np.zeros(0, np.uint64)
-        token = np.concatenate([_expand(t) for t, _, _ in raw] or [empty])
-        owner = np.concatenate([np.frombuffer(o, "<u2") for _, o, _ in raw] or [empty]).astype(np.int64)
-        df = np.concatenate([np.frombuffer(d, "<u4") for _, _, d in raw] or [empty]).astype(np.int64)
+        here = np.frombuffer(table.column("tokens")[about].as_py(), "<u8")
+        token = np.concatenate([*(t for t, o, _ in raw if o is not None), here, empty])
+        owner = np.concatenate([*(np.frombuffer(o, "<u2") for _, o, _ in raw if o is not None), np.frombuffer(table.column("owners")[about].as_py(), "<u2"), empty]).astype(np.int64)
+        common = {t: d for ts, o, ds in raw if o is None for t, d in zip(ts.tolist(), ds.tolist(), strict=True)}
+        df = np.concatenate([*(d for _, o, d in raw if o is not None), np.array([common[t] for t in here.tolist()]), empty]).astype(np.int64)
         enough = np.bincount(owner, minlength=len(sizes)) >= least_overlap(sizes, percent)
         some = enough[owner]
         token, owner, df = token[some], owner[some], df[some]
@@ -255,7 +282,7 @@ def explore(sizes: np.ndarray, sets: list[np.ndarray], percent: int, starts: np.
 
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that hold the linked members of each (pivot, cls) group together. Large groups are split, each part with the pivot."""
-    parts = pairs.groupBy("pivot").agg((F.count("*") / GROUP).cast("int").alias("parts"))
+    parts = pairs.groupBy("pivot").agg(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_SHINGLES).cast("int").alias("parts"))
     dealt = written(pairs.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("cls"), F.col("parts") + 1).alias("part"), "cls"), "dealt-pairs")
     heads = dealt.select("pivot", "part").distinct().withColumn("cls", F.col("pivot"))
     return _explored(dealt.unionByName(heads).withColumn("asks", F.lit(True)), ["pivot", "part"], classes, percent)
@@ -302,7 +329,7 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _round(postings: DataFrame, labels: DataFrame, percent: int, number: int) -> DataFrame:
-    """Pairs (pivot, cls) that share enough entries: each posting list compares its members with the one that this round's hash puts first.
+    """Pairs (pivot, cls, n) that share enough entries: each posting list compares its members with the one that this round's hash puts first.
 
     A pair that is similar enough shares at least its needed overlap less what lies behind the prefix that ends first.
     """
@@ -311,7 +338,7 @@ def _round(postings: DataFrame, labels: DataFrame, percent: int, number: int) ->
     pivots = listed.groupBy("token").agg(F.min_by(member, F.struct(F.xxhash64("cls", F.lit(number)), "cls")).alias("p"), F.min("label").alias("low"), F.max("label").alias("high"))
     met = listed.join(pivots.where("low <> high").select("token", "p.*"), "token").where("label <> pl").where(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
     needed = F.ceil(percent * (F.col("n") + F.col("pn")) / (100 + percent)) - F.greatest("behind", "pb")
-    return met.groupBy("pivot", "cls").agg(F.count("*").alias("common"), F.min(needed).alias("needed")).where("common >= needed").select("pivot", "cls")
+    return met.groupBy("pivot", "cls").agg(F.count("*").alias("common"), F.min(needed).alias("needed"), F.min("n").alias("n")).where("common >= needed").select("pivot", "cls", "n")
 
 
 def _rest(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -324,10 +351,10 @@ def _rest(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     size = labels.groupBy("label").agg(F.count("*").cast("int").alias("size"))
     listed = postings.join(labels.join(size, "label"), "cls")
     key = F.struct("size", "label")
-    mixed = listed.groupBy("token").agg(F.max(key).alias("top"), F.min(key).alias("least"), F.count("*").alias("many")).where("top <> least")
+    mixed = listed.groupBy("token").agg(F.max(key).alias("top"), F.min(key).alias("least"), F.count("*").alias("many"), F.sum("n").alias("weight")).where("top <> least")
     mixed = written(mixed, "mixed-lists")
-    longest = mixed.agg(F.max("many")).first()[0] or 0
-    chunks = 1 + longest // (2 * GROUP)
+    longest, heaviest = (int(x or 0) for x in mixed.agg(F.max("many"), F.max("weight")).first())
+    chunks = 1 + max(longest // (2 * GROUP), heaviest // (2 * GROUP_SHINGLES))
     listed = written(listed.join(mixed.select("token", "top", "many"), "token"), "mixed-postings")
     columns = ["cls", "n", "behind", "size", "label"]
     lists = listed.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.lit(chunks))).groupBy("token", "chunk").agg(*(F.collect_list(c).alias(f"{c}s") for c in columns))
@@ -359,24 +386,30 @@ def _rest(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("token", "chunk", "block").applyInArrow(united, "token long, chunk long, block long, cls long, asks boolean")
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """(id, n_shingles, component_id) of every document; component_id is the least id that links reach, its own included."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    dealt = written(_dealt(texts, words).groupBy("shard").applyInArrow(_shared, _DEALT), "shared-shingles")
+def linked(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS, carry: str | None = None, common: int = COMMON
+) -> DataFrame:
+    """(id, n_shingles, component_id, component, carried) of every document.
+
+    component_id is the least id that links reach, its own included; component is a number of just this component (null
+    for empty sets), also where ids repeat; carried is the long column ``carry`` of the row.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (F.col(carry) if carry else F.lit(None)).cast("long").alias("carried"))
+    dealt = written(_dealt(texts, words, common).groupBy("shard").applyInArrow(_shared, _DEALT), "shared-shingles")
 
     def about(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, sizes, digests in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "digests")), strict=True):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(np.frombuffer(sizes, "<u4").astype(np.int64)), pa.array([digests[k : k + 16] for k in range(0, len(digests), 16)], pa.binary())], ["id", "n", "digest"]
-                )
-
-    every = written(dealt.where("ids is not null").select("ids", "sizes", "digests").mapInArrow(about, "id long, n long, digest binary"), "set-digests")
-    # Written, so that the join below reads two exchanges and a digest of very many copies can be split.
-    names = written(every.where("n > 0").groupBy("digest").agg(F.min("id").alias("cls")).where("cls is not null"), "set-names")
-    rich = dealt.groupBy("batch").applyInArrow(_assembled(percent), _CLASS)
-    firsts = rich.join(names.toDF("digest", "id"), ["digest", "id"]).dropDuplicates(["digest", "id"])
-    classes = written(firsts.select(F.col("id").alias("cls"), "n", (F.size("tokens") - F.col("prefix")).alias("behind"), "prefix", "tokens"), "classes")
+            for ids, carried, sizes, digests in zip(*(batch.column(c).to_pylist() for c in ("ids", "carried", "sizes", "digests")), strict=True):
+                columns = [pa.array(ids, pa.int64()), pa.array(carried, pa.int64()), pa.array(np.frombuffer(sizes, "<u4").astype(np.int64)), pa.array([digests[k : k + 16] for k in range(0, len(digests), 16)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "carried", "n", "digest"])
+
+    every = written(dealt.where("ids is not null").select("ids", "carried", "sizes", "digests").mapInArrow(about, "id long, carried long, n long, digest binary"), "set-digests")
+    last = F.lit(int(_LAST))
+    # Written, so that numbers stay, and the join below reads two exchanges and a digest of very many copies can be split.
+    names = written(every.where("n > 0").groupBy("digest").agg(F.min(F.coalesce("id", last)).alias("low")).withColumn("cls", F.monotonically_increasing_id()), "set-names")
+    rich = dealt.groupBy("batch").applyInArrow(_assembled(percent), _CLASS).withColumn("low", F.coalesce("id", last))
+    firsts = rich.join(names, ["digest", "low"]).dropDuplicates(["cls"])
+    classes = written(firsts.select("cls", "n", (F.size("tokens") - F.col("prefix")).alias("behind"), "prefix", "tokens"), "classes")
     postings = classes.select("cls", "n", "behind", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token"))
     several = postings.groupBy("token").count().where("count > 1").select("token")
     postings = written(postings.join(several, "token"), "postings")
@@ -384,5 +417,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     for number in range(rounds):
         labels = components(labels, written(_verified(_round(postings, labels, percent, number), classes, percent), "links"))
     labels = components(labels, written(_explored(written(_rest(postings, labels, percent), "last-groups"), ["token", "chunk", "block"], classes, percent), "links"))
-    named = every.join(names, "digest", "left").join(labels, "cls", "left")
-    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "cls")).otherwise(F.col("id")).alias("component_id"))
+    of_set = names.join(labels, "cls", "left").select("digest", "low", F.coalesce("label", "cls").alias("component"))
+    least = of_set.groupBy("component").agg(F.min("low").alias("low"))
+    named = every.join(of_set.drop("low").join(least, "component"), "digest", "left")
+    component_id = F.when(F.col("n") > 0, F.nullif("low", last)).otherwise(F.col("id"))
+    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.when(F.col("n") > 0, F.col("component")).alias("component"), "carried")

@@ -30,7 +30,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm import neardup
 
-    return neardup.linked(table(spark, sf_dir, "documents"))
+    return neardup.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

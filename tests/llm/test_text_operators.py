@@ -134,8 +134,26 @@ def test_one_large_group_of_near_copies(spark):
 
 def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     assert neardup.linked(frame(spark, [])).count() == 0
-    again = frame(spark, ["a b c d e f g", "A b c d e f g", "a b c d e f g", None], ids=[5, 5, 9, None])
-    assert sorted((r.doc_id or -1, r.component_id) for r in neardup.linked(again).collect()) == [(-1, None), (5, 5), (5, 5), (9, 5)]
+    again = frame(spark, ["a b c d e f g", "A b c d e f g", "a b c d e f g", None, "a b c d e f g"], ids=[5, 5, 9, None, None])
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in neardup.linked(again).collect()) == [(-1, -1), (-1, 5), (5, 5), (5, 5), (9, 5)]
+    nameless = frame(spark, ["a b c d e f g"] * 3, ids=[None, None, None])
+    assert [r.component_id for r in neardup.linked(nameless).collect()] == [None] * 3
+
+
+def test_one_id_with_different_texts(spark):
+    """Rows in are rows out, and a text links as it would with an id of its own."""
+    other = "quite another text of some words here"
+    docs = frame(spark, ["a b c d e f g", other, "a b c d e f g", other, None], ids=[5, 5, 9, 3, 5])
+    got = neardup.linked(docs, carry="start").collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(3, 3, 3), (5, 0, 5), (5, 3, 3), (5, 3, 5), (9, 3, 5)]
+    assert len({r.component for r in got}) == 3 and {r.carried for r in got} == {2}
+
+
+def test_common_shingles_go_as_counts(spark):
+    values = texts()
+    want = rows(neardup.linked(frame(spark, values)))
+    got = rows(neardup.linked(frame(spark, values), common=1))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (r.n_shingles, r.component_id) for i, r in want.items()}
 
 
 def test_prefix_never_loses_a_link():
