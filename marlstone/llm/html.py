@@ -7,14 +7,20 @@ next, less and less beyond.  The element with the most points is the article's
 container (or the article or main element around it); a sibling of it is kept
 too if it scores a fair part as much or reads like prose.
 
-Elements that are no part of an article by their name, role or class (menus,
-page headers, footers, sidebars, notices, adverts, forms, reader comments) lend
-no points and never give text, and neither do lists that consist of links.
-Nothing else inside what is kept is dropped or cut.
+Elements that are no part of an article (menus, page headers, footers, sidebars,
+hidden parts, and those named as adverts, notices or reader comments) lend no
+points and never give text.  A name that says this in part only ("related-work")
+counts when links or brevity speak for it too, and no name counts against an
+element that holds most of the page below a main heading.  Forms and field sets
+go when they have little text for their controls: one around the whole page
+stays.  Lists of links go outside the container only; nothing else inside what
+is kept is dropped or cut.
 
 Defined cases: a null or empty page has the text ""; unclosed and stray tags
-end where HTML ends them; a page without containers gives all its text; other
-columns play no part, and repeated rows are read each.
+end where HTML ends them; a page without containers gives all its text; of
+elements with equal points the first is best; other columns play no part, and
+repeated rows are read each; a page of any length is read as a whole, in memory
+of a small multiple of its size; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,15 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Element names of HTML, and words in class and id names.
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
+_INLINE = frozenset("math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded mphantom semantics a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title xmp iframe noembed noframes template svg math noscript object canvas audio video select datalist".split())
-_NEVER = frozenset("nav footer aside form button dialog menu head fieldset".split())
+_RAW = frozenset("script style textarea title xmp iframe noembed noframes template svg annotation annotation-xml noscript object canvas audio video select datalist".split())
+_NEVER = frozenset("nav footer aside button dialog menu head".split())
+_FORMS = frozenset("form fieldset".split())
+_CONTROLS = frozenset("input select textarea button".split())
 _KEEPERS = frozenset("html body article main".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 _STRONG = re.compile("ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promos|promotion|comment|comments|commentlist|commentary|disqus|replies|respond|nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|footer|sidebar|share|sharing|social|related|recommended|newsletter|subscribe|subscription|cookie|cookies|consent|gdpr|popup|modal|overlay|pagination|pager|outbrain|taboola|skip|toolbar|login|signup|search")
 _WEAK = re.compile("header|masthead|banner|notice|notices|notification|alert|widget|tags|aside|side|rail|topbar|disclaimer|copyright|paywall|legal")
 _GOOD = frozenset("article body content entry main post story text page hentry column".split())
+#: What may stand beside such a word in a name without changing its sense.
+_FILLER = _GOOD | frozenset("area articles bar blog bottom box block button buttons center col container feed form global group icon icons inner item items js left like link links list may module more news outer panel posts primary right row secondary section site slot stories title top ui unit wrap wrapper you also".split())
 _WITHOUT = frozenset("has with no without".split())
 #: What ends an element left open: the names that close it, and the names that stop the search.
 _ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "option": ("option", "select")}
@@ -50,36 +60,43 @@ _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 _LEAST_SHARE = 0.2
 _LINKED = 0.6
+#: Link text from which on, and text up to which, a name that says it in part is believed.
+_NAMED_LINKED, _NAMED_SHORT = 0.4, 140
+#: Text for each control that a form has around an article.
+_FORM_TEXT = 200
+#: What an element's own tag says: nothing, no article part if links say so, if links or brevity do, by its name, always.
+_FINE, _IF_LINKED, _IF_SLIGHT, _NAMED, _ALWAYS = range(5)
 
 
-def _unwanted(name: str, attributes: str) -> bool:
+def _said(name: str, attributes: str, in_article: bool) -> int:
     if name in _NEVER:
-        return True
+        return _ALWAYS
     if not attributes.strip() or name in ("html", "body"):
-        return False
+        return _FINE
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or re.search(r"display\s*:\s*none", found.get("style", "")) or found.get("role", "").lower() in _ROLES:
-        return True
-    for value in (found.get("class", ""), found.get("id", "")):
-        for one in value.split():
-            parts = [p.lower() for p in _NAME_PART.findall(one)]
-            if _WITHOUT.intersection(parts):
-                continue
-            strong = any(_STRONG.fullmatch(p) for p in parts)
-            weak = not _GOOD.intersection(parts) and any(_WEAK.fullmatch(p) for p in parts)
-            if strong and not (name in _KEEPERS and _GOOD.intersection(parts)) or weak and name not in _KEEPERS:
-                return True
-    return False
+        return _ALWAYS
+    said = _FINE
+    for one in f"{found.get('class', '')} {found.get('id', '')}".split():
+        parts = [p.lower() for p in _NAME_PART.findall(one)]
+        if _WITHOUT.intersection(parts):
+            continue
+        strong = [p for p in parts if _STRONG.fullmatch(p)]
+        weak = [] if _GOOD.intersection(parts) else [p for p in parts if _WEAK.fullmatch(p)]
+        if strong and not (name in _KEEPERS and _GOOD.intersection(parts)) or weak and name not in _KEEPERS:
+            wholly = all(p in strong or p in weak or p in _FILLER or p.isdigit() for p in parts)
+            said = max(said, _IF_LINKED if in_article and not strong else _NAMED if wholly else _IF_SLIGHT)
+    return said
 
 
 class _Tree:
-    """Elements by number in page order: names, parents, and whether they or what is around them is unwanted."""
+    """Elements by number in page order: names, parents, what their tags say, and how many controls they hold themselves."""
 
     def __init__(self, page: str):
-        self.names, self.parents, self.unwanted = [""], [-1], [False]
+        self.names, self.parents, self.said, self.controls = [""], [-1], [_FINE], [0]
         #: Blocks: element, text, characters in links, links.
         self.blocks: list[tuple[int, str, int, int]] = []
-        self._stack, self._text, self._in_link, self._links, self._in_article = [0], [], False, [0, 0], 0
+        self._stack, self._text, self._in_link, self._links = [0], [], False, [0, 0]
         at, low = 0, None
         while at < len(page):
             found = _TAG.search(page, at)
@@ -90,6 +107,8 @@ class _Tree:
             name = (found[2] or "").lower()
             if not name:
                 continue
+            if name in _CONTROLS and not found[1] and "hidden" not in found[3]:
+                self.controls[self._stack[-1]] += 1
             if found[1]:
                 self._close(name)
             elif name in _RAW and not found[3].endswith("/"):
@@ -142,10 +161,11 @@ class _Tree:
                 if self.names[self._stack[k]] in fence:
                     break
         around = self._stack[-1]
-        own = _unwanted(name, attributes) or name == "header" and not any(self.names[s] in ("article", "main") for s in self._stack)
+        in_article = any(self.names[s] in ("article", "main") for s in self._stack)
         self.names.append(name)
         self.parents.append(around)
-        self.unwanted.append(self.unwanted[around] or own)
+        self.said.append(_ALWAYS if name == "header" and not in_article else _said(name, attributes, in_article))
+        self.controls.append(0)
         self._stack.append(len(self.names) - 1)
 
     def _close(self, name: str) -> None:
@@ -177,15 +197,26 @@ def main_text(page: str | None) -> str:
         return ""
     tree = _Tree(page)
     n = len(tree.names)
-    size, linked, links = [0] * n, [0] * n, [0] * n
-    blocks = [b for b in tree.blocks if not tree.unwanted[b[0]]]
-    for element, text, in_links, many in blocks:
-        for e in _around(tree, element):
-            size[e] += len(text)
-            linked[e] += in_links
-            links[e] += many
+    size, linked, links, controls, core = [0] * n, [0] * n, [0] * n, list(tree.controls), [x in ("main", "h1") for x in tree.names]
+    for element, text, in_links, many in tree.blocks:
+        size[element] += len(text)
+        linked[element] += in_links
+        links[element] += many
+    for e in range(n - 1, 0, -1):  # what is inside comes later in the page
+        around = tree.parents[e]
+        for sums in (size, linked, links, controls):
+            sums[around] += sums[e]
+        core[around] = core[around] or core[e]
+    unwanted = [False] * n
+    for e in range(1, n):
+        said, name = tree.said[e], tree.names[e]
+        many_links = linked[e] >= _NAMED_LINKED * size[e]
+        own = said == _ALWAYS or said == _IF_LINKED and many_links or said == _IF_SLIGHT and (many_links or size[e] < _NAMED_SHORT)
+        own = own or said == _NAMED and not (core[e] and 2 * size[e] >= size[0])
+        own = own or name == "form" and size[e] < _FORM_TEXT * max(1, controls[e]) or name == "fieldset" and size[e] < _FORM_TEXT * controls[e]
+        unwanted[e] = unwanted[tree.parents[e]] or own
     menus = {e for e in range(n) if tree.names[e] in ("ul", "ol", "dl", "table", "div", "section") and links[e] >= 2 and linked[e] >= _LINKED * size[e]}
-    blocks = [b for b in blocks if not any(e in menus for e in _around(tree, b[0]))]
+    blocks = [b for b in tree.blocks if not unwanted[b[0]]]
     points = [0.0] * n
     prose: dict[int, bool] = {}
     for element, text, in_links, _ in blocks:
@@ -195,9 +226,9 @@ def main_text(page: str | None) -> str:
         prose[element] = prose.get(element, False) or density < 0.25 and (len(text) > 80 or text[-1] in ".!?。…")
         for level, e in enumerate(_around(tree, holder)):
             points[e] += worth if level == 0 else worth / 2 if level == 1 else worth / (3 * level)
-    best = max(range(n), key=lambda e: points[e])
+    best = max(range(n), key=points.__getitem__)
     if not points[best]:
-        return "\n\n".join(b[1] for b in blocks)
+        return "\n\n".join(b[1] for b in blocks if not menus.intersection(_around(tree, b[0])))
     for wanted in ("article", "main"):
         outer = [e for e in _around(tree, best) if tree.names[e] == wanted]
         if outer:
@@ -206,10 +237,12 @@ def main_text(page: str | None) -> str:
     kept = {best}
     if tree.names[best] not in _KEEPERS:
         for e in range(n):
-            if tree.parents[e] == tree.parents[best] and not tree.unwanted[e]:
+            if tree.parents[e] == tree.parents[best] and not unwanted[e] and e not in menus:
                 if points[e] >= _LEAST_SHARE * points[best] or prose.get(e, False) or re.fullmatch("h[1-6]", tree.names[e]):
                     kept.add(e)
-    return "\n\n".join(b[1] for b in blocks if any(e in kept for e in _around(tree, b[0])))
+    if tree.names[best] in ("", "html", "body"):  # no container was found
+        blocks = [b for b in blocks if not menus.intersection(_around(tree, b[0]))]
+    return "\n\n".join(b[1] for b in blocks if kept.intersection(_around(tree, b[0])))
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
