@@ -1,7 +1,8 @@
 """A training corpus from raw documents: quality rules, line dedup, near-duplicate removal, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept, which ``run`` has written
-as Parquet and read again. All but the last return the columns of documents. Null texts are empty; an empty table stays empty.
+as Parquet and read again. All but the last return the columns of documents. Null texts are empty; an empty table stays empty;
+rows without an id or with another's id take part like any other.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from marlstone.llm import linededup, neardup, packing, quality
 from marlstone.llm.shared import written
 
+#: Stands for a null id, behind all others.
+LAST = 2**63 - 1
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the likelihood ratio reject go."""
@@ -26,10 +30,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of linked documents, the one of the least id stays. Documents without an id stay."""
-    ids = neardup.linked(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Of every component of linked documents one stays: of its least id (null comes last) and, among texts of that id, of the least hash.
+
+    Rows of one id and one text are copies. Texts without words are linked with nothing, so that all of them stay.
+    """
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__hash": F.xxhash64("text")})
+    found = neardup.linked(keyed, id_col="__id", carry="__hash").select("__id", F.col("carried").alias("__hash"), "component")
+    first = found.where("component is not null").groupBy("component").agg(F.min(F.struct("__id", "__hash")).alias("f")).select("f.__id", "f.__hash")
+    kept = keyed.join(first, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
+    empty = keyed.join(found.where("component is null").select("__id", "__hash").distinct(), ["__id", "__hash"], "left_semi")
+    return kept.unionByName(empty).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
