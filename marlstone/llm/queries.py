@@ -73,7 +73,9 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm import warc
 
-    done = warc.resolved(warc.captures_of(table(spark, sf_dir, "pages")))
+    captures = warc.captures_of(table(spark, sf_dir, "pages"))
+    records = captures.select(warc.record(*(F.col(c) for c in ("record_id", "url", "captured_at", "record_type", "headers"))).alias("record"))
+    done = warc.resolved(warc.parsed(records).withColumn("record_id", F.col("record_id").cast("long")))
     return done.withColumn("headers", F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n"))
 
 

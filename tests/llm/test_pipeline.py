@@ -6,8 +6,10 @@ import zlib
 
 import numpy as np
 
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from marlstone.llm import quality, tokens
+from marlstone.llm import quality
 from tests.llm.test_text_operators import FOLD, components, public_tokenizers, shingle_set, texts
 
 
@@ -38,12 +40,33 @@ def test_stages(spark, tmp_path):
     comps = components({i: shingle_set(r.text) for i, r in by_stage[2].items()})
     assert set(by_stage[3]) == set(comps.values())
 
-    encoder = tokens.library_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     out = kept[-1].collect()
     for i, r in by_stage[3].items():
-        ids = np.append(encoder.ids(encoder.encode([r.text])[0]), 0).astype("<u4")
+        ids = np.array([*library.encode(r.text, add_special_tokens=False).ids, 0], "<u4")
         mine = sorted((p for p in out if p.doc_id == i), key=lambda p: p.start)
         assert sum(p.length for p in mine) == len(ids)
         assert all(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in mine)
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, out))
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    """Null and repeated ids, texts without words, columns of their own names, and nothing at all."""
+    text, other = "one two three four five six seven", "quite another text of some words"
+    rows = [(5, text, 1), (5, other, 1), (5, text, 1), (9, text, 2), (None, text.upper(), 1), (None, "no other has these words at all", 1), (None, "no other has these words at all", 1), (1, None, 1), (1, None, 1), (2, "", 1)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), c, "x") for i, t, c in rows], "doc_id long, text string, lang string, source string, n_chars long, component long, component_id string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(0, rows[5][1]), (1, ""), (1, ""), (2, ""), (5, text), (5, other)])
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_all_stages_of_nulls_and_of_nothing(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, sequence_id string, shard int"
+    long = " ".join(f"word{i} and{i % 17}" for i in range(80))
+    for name, rows in (("odd", [(None, long, None, None, None, "x", 1), (7, long + " more", None, None, 3, "x", 1), (7, None, "en", "a", 0, None, None)]), ("none", [])):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(7, 1, 0), (None, 0, None)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert {r.doc_id for r in out} == ({7} if rows else set())
