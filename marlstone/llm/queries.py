@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm.shared import written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -75,7 +77,8 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     captures = warc.captures_of(table(spark, sf_dir, "pages"))
     records = captures.select(warc.record(*(F.col(c) for c in ("record_id", "url", "captured_at", "record_type", "headers"))).alias("record"))
-    done = warc.resolved(warc.parsed(records).withColumn("record_id", F.col("record_id").cast("long")))
+    read = written(warc.parsed(records).withColumn("record_id", F.col("record_id").cast("long")), "captures")
+    done = warc.resolved(read)
     return done.withColumn("headers", F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n"))
 
 

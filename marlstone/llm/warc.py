@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -55,11 +55,20 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, however often it occurs."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _last_by_name(pairs: Column) -> Column:
+    """A map of (key, value) pairs; of equal keys the last counts."""
+    last = lambda ps, name: F.element_at(F.filter(ps, lambda e: e["key"] == name), -1)["value"]
+    return _let(pairs, lambda ps: _let(F.array_distinct(F.transform(ps, lambda e: e["key"])), lambda names: F.map_from_arrays(names, F.transform(names, lambda name: last(ps, name)))))
+
+
 def _lowered(headers: Column) -> Column:
     entries = F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>")))
-    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
-    last = lambda name: F.element_at(F.filter(entries, lambda e: F.lower(e["key"]) == name), -1)["value"]
-    return F.map_from_arrays(names, F.transform(names, last))
+    return _last_by_name(F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
 
 
 def merged_headers(stored: Column, fresh: Column) -> Column:
@@ -136,9 +145,7 @@ def parsed(records: DataFrame, column: str = "record") -> DataFrame:
 
     def fields(block: Column) -> Column:
         lines = F.filter(F.slice(F.split(block, "\r?\n"), 2, 1_000_000), lambda x: F.instr(x, ":") > 1)
-        pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("key"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("value")))
-        names = F.array_distinct(F.transform(pairs, lambda e: e["key"]))
-        return F.map_from_arrays(names, F.transform(names, lambda name: F.element_at(F.filter(pairs, lambda e: e["key"] == name), -1)["value"]))
+        return _last_by_name(F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("key"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("value"))))
 
     head, block = F.get("p", F.lit(0)), F.get("p", F.lit(1))
     ok = head.startswith("WARC/")
