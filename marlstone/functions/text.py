@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -231,3 +231,55 @@ def feature_label(name: Column | str) -> Column:
 def impact_level(score: Column | str) -> Column:
     s = F.abs(F.coalesce(_c(score), F.lit(0.0)))
     return F.when(s >= 0.04, "mạnh").when(s >= 0.02, "vừa").otherwise("nhẹ")
+
+
+# Phrases for readers in place of technical ones, and phrases that ask back.
+_PLAINER = (("tác động ngược chiều", "tạo áp lực lên"), ("tác động cùng chiều", "hỗ trợ"), ("tác động trung tính", "ảnh hưởng chưa rõ"), ("tác động tiêu cực", "gây áp lực"), ("tác động tích cực", "hỗ trợ"))
+_ASKING = ("bạn muốn", "bạn có thể cho", "vui lòng cho tôi biết", "mã cổ phiếu nào", "bạn đang hỏi về")
+GENERIC_FEATURE = "một số chỉ tiêu tài chính"
+
+
+def for_readers(message: Column | str) -> Column:
+    """A message without feature names, technical phrases and Markdown marks; line breaks stay."""
+    name = "\\b[a-zA-Z]+(?:_[a-zA-Z0-9]+)+\\b"
+    label = lambda x: F.when(feature_label(x).contains("một số chỉ tiêu"), GENERIC_FEATURE).otherwise(feature_label(x))
+    labels = F.transform(F.regexp_extract_all(_c(message), F.lit(name), 0), label)
+    out = F.array_join(F.zip_with(F.split(_c(message), name), labels, lambda rest, found: F.concat(rest, F.coalesce(found, F.lit("")))), "")
+    for phrase, plain in _PLAINER:
+        out = F.regexp_replace(out, f"(?iu)(?U)\\b{phrase}\\b", plain)
+    for marked in ("\\*\\*(.+?)\\*\\*", "\\*(.+?)\\*", "__(.+?)__", "(?U)(?<!\\w)_(.+?)_(?!\\w)"):
+        out = F.regexp_replace(out, marked, "$1")
+    out = F.regexp_replace(out, "(?m)^#{1,6}\\s+", "")
+    out = F.regexp_replace(out, f"\\(\\s*{GENERIC_FEATURE}\\s*\\)", "")
+    return strip(F.regexp_replace(out, "[ \\t]{2,}", " "))
+
+
+def asks_back(message: Column | str) -> Column:
+    """Whether a reply asks for more instead of answering."""
+    m = strip(F.coalesce(_c(message), F.lit("")))
+    return m.endswith("?") | F.lower(m).rlike("|".join(_ASKING))
+
+
+def raw_input(x: Column | str, most: int = 4000) -> Column:
+    """Text of a user without NUL and carriage returns, trimmed and cut."""
+    return F.substring(strip(F.translate(_c(x), "\x00\r", "  ")), 1, most)
+
+
+def safe_file_name(name: Column | str, fallback: Column | str) -> Column:
+    """A PDF's file name of letters, digits, dots, dashes and single underscores."""
+    plain = F.regexp_replace(F.try_url_decode(F.regexp_replace(F.coalesce(_c(name), F.lit("")), "\\+", "%2B")), "[?#].*$", "")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(strip(plain), "[^A-Za-z0-9._-]+", "_"), "_+", "_"), "^[._]+|[._]+$", "")
+    found = F.coalesce(F.nullif(plain, F.lit("")), _c(fallback))
+    return F.when(F.lower(found).endswith(".pdf"), found).otherwise(F.concat(found, F.lit(".pdf")))
+
+
+def file_name_of_url(url: Column | str, fallback: Column | str) -> Column:
+    path = F.regexp_replace(F.regexp_replace(_c(url), "[?#].*$", ""), "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", "")
+    return safe_file_name(F.regexp_extract(path, "([^/]*)/*$", 1), fallback)
+
+
+def with_unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
+    """Of equal names in ``order``, the second and later ones get _1, _2 and so on before their suffix."""
+    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    numbered = F.concat(F.regexp_replace(name, "\\.[^.]*$", ""), F.lit("_"), F.col("__n").cast("string"), F.regexp_extract(name, "(\\.[^.]*)$", 1))
+    return df.withColumn("__n", n).withColumn(name, F.when(F.col("__n") == 0, F.col(name)).otherwise(numbered)).drop("__n")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,3 +115,75 @@ def pick_year(rows: DataFrame, year: int | Column, year_col: str = "target_year"
     rest = [c for c in rows.columns if c != "symbol"]
     key = F.struct(F.coalesce(F.col(year_col) == wanted, F.lit(False)), F.col(year_col), F.col(order))
     return rows.groupBy("symbol").agg(F.max_by(F.struct(*rest), key).alias("row")).select("symbol", "row.*")
+
+
+@dataclass
+class Bundle:
+    """A fitted model with what its rows must go through first."""
+
+    model: object
+    features: list[str]
+    clip_bounds: dict[str, tuple[float, float]] = field(default_factory=dict)
+    debt: dict[str, float] | None = None
+
+    def prepared(self, rows: DataFrame, debt: tuple[str, str] | None = None) -> DataFrame:
+        """Clipped and, for the (interest, debt) columns given, adjusted."""
+        out = panel.clipped(rows, {c: b for c, b in self.clip_bounds.items() if c in rows.columns})
+        return panel.debt_adjusted(out, debt[0], F.col(debt[1]), self.debt) if self.debt and debt else out
+
+    def save(self, path: str) -> None:
+        from pyspark.sql import SparkSession
+
+        self.model.write().overwrite().save(f"{path}/model")
+        about = json.dumps({"features": self.features, "clip_bounds": self.clip_bounds, "debt": self.debt})
+        SparkSession.getActiveSession().createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+    @classmethod
+    def load(cls, path: str) -> Bundle:
+        from pyspark.ml import PipelineModel
+        from pyspark.sql import SparkSession
+
+        about = json.loads(SparkSession.getActiveSession().read.text(f"{path}/about", wholetext=True).first()[0])
+        return cls(PipelineModel.load(f"{path}/model"), about["features"], {c: tuple(b) for c, b in about["clip_bounds"].items()}, about["debt"])
+
+
+#: (target, current value, whether the loss is absolute) of each model of a data set.
+TARGETS = (("revenue_next", "revenue_current", False), ("profit_after_tax_next", "profit_after_tax", True))
+
+
+def batch(
+    datasets: dict[str, tuple[DataFrame, Sequence[str]]], train_until: int, predict: int, clip: Sequence[str] = panel.PERCENT_LIKE, recency: str = "exp", debt: dict[str, tuple[str, str]] | None = None,
+    budget: dict[str, int] | None = None, mandatory: Sequence[str] = (), trees: int = 450,
+) -> tuple[DataFrame, dict[str, Bundle]]:
+    """(dataset, target, symbol, feature_year, target_year, actual, predicted) of all data sets and targets, and their bundles.
+
+    datasets: panels (symbol, year, values, next values) and their features.  A row's target year is the year after its
+    own; rows up to ``train_until`` train, with recency weights, those of ``predict`` are scored.  debt: (interest, debt)
+    columns to adjust; budget: how many features elimination leaves.
+    """
+    out: DataFrame | None = None
+    bundles: dict[str, Bundle] = {}
+    for name, (rows, features) in datasets.items():
+        rows = rows.withColumn("target_year", F.col("year") + 1)
+        bundle_debt, columns = None, (debt or {}).get(name)
+        if columns:
+            bundle_debt = panel.debt_parameters(rows.where(F.col("target_year") <= train_until), F.col(columns[1]))
+        for target, current, absolute in TARGETS:
+            usable = targets(rows, current, target)
+            seen = usable.where(F.col("target_year") <= train_until)
+            bounds = panel.clip_bounds(seen, [c for c in clip if c in rows.columns])
+            first, last = seen.agg(F.min("target_year"), F.max("target_year")).first()
+            if last is None:
+                continue
+            bundle = Bundle(None, list(features), bounds, bundle_debt)
+            train = bundle.prepared(seen, columns).withColumn("weight", panel.recency_weight(F.col("target_year"), first, last, recency))
+            if budget and name in budget:
+                bundle.features = eliminated(train, features, budget[name], mandatory, weight="weight", trees=min(trees, 220))
+            bundle.model = regressor(bundle.features, absolute, "weight", trees).fit(train)
+            test = bundle.prepared(usable.where(F.col("target_year") == predict), columns)
+            scored = predicted(bundle.model, test, current).select(F.lit(name).alias("dataset"), F.lit(target).alias("target"), F.upper("symbol").alias("symbol"), F.col("year").alias("feature_year"), "target_year", F.col(target).cast("double").alias("actual"), "predicted")
+            out = scored if out is None else out.unionByName(scored)
+            bundles[f"{name}_{target}"] = bundle
+    if out is None:
+        raise ValueError("no data set has rows to train on")
+    return out.where(num.finite("actual").isNotNull() & num.finite("predicted").isNotNull()), bundles

@@ -104,3 +104,16 @@ def usage(raw: Column) -> dict[str, Column]:
 def cost(tokens_in: Column, tokens_out: Column, price_in: float = 0.10, price_out: float = 0.40) -> Column:
     """Of a million tokens each way, rounded to eight places."""
     return F.bround(tokens_in * price_in / 1e6 + tokens_out * price_out / 1e6, 8)
+
+
+_CALLS = "array<struct<id:string,function:struct<name:string,arguments:string>>>"
+
+
+def tool_calls(df: DataFrame, body: str = "body") -> DataFrame:
+    """df with content, finish_reason and calls (id, name, arguments) of a model's reply; arguments that are no JSON object are {}."""
+    message = lambda key: F.get_json_object(body, f"$.choices[0].{key}")
+    raw = F.coalesce(F.from_json(message("message.tool_calls"), _CALLS), F.array().cast(_CALLS))
+    arguments = lambda a: F.when(F.coalesce(F.schema_of_variant(F.try_parse_json(a)).startswith("OBJECT"), F.lit(False)), a).otherwise("{}")
+    calls = F.transform(raw, lambda c: F.struct(F.coalesce(c["id"], F.lit("")).alias("id"), F.coalesce(c["function"]["name"], F.lit("")).alias("name"), arguments(c["function"]["arguments"]).alias("arguments")))
+    finish = F.coalesce(message("finish_reason"), F.when(message("message").isNotNull() | F.get_json_object(body, "$.choices[0]").isNotNull(), "stop"))
+    return df.withColumns({"content": F.coalesce(message("message.content"), F.when(F.get_json_object(body, "$.choices[0]").isNull(), "")), "finish_reason": finish, "calls": calls})

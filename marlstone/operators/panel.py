@@ -7,12 +7,14 @@ one lazy plan but for the few numbers that a later column needs as constants
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions import num
+from marlstone.functions import checks, num
 
 # Macro series that matter to each industry group, and ratio columns that may come as fractions.
 SECTOR_MACROS = {
@@ -27,6 +29,44 @@ SECTOR_MACROS = {
     "NG_N_H_NG": ("interest_deposit_12m_pct", "interest_loan_short_pct"),
     "C_NG_TY_CH_NG_KHO_N": ("vnindex_daily_return_mean_pct", "vnindex_growth_yoy_pct", "vnindex_trading_volume_avg", "vnindex_trading_value_avg"),
 }
+#: Series of each industry group of the finer grouping.
+INDUSTRY_MACROS = {
+    "X_Y_D_NG_V_V_T_LI_U_X_Y_D_NG": ("hrc_log", "interest_loan_midlong_pct", "cpi_inflation_yoy_pp"),
+    "V_N_T_I_KHO_B_I": ("oil_brent_log", "bdry_shipping_etf_log", "usd_vnd_log"),
+    "U_T_B_T_NG_S_N_V_D_CH_V": ("cpi_inflation_yoy_pp", "gdp_ty_dong_log", "interest_loan_short_pct", "interest_loan_midlong_pct"),
+    "S_N_XU_T_TH_C_PH_M": ("sugar_log", "rice_log", "cpi_inflation_yoy_pp"),
+    "GA_N_C_V_C_C_TI_N_CH_KH_C": ("nat_gas_log", "oil_brent_log"),
+    "H_A_CH_T": ("rubber_log", "oil_brent_log", "usd_vnd_log"),
+    "I_N": ("coal_log", "nat_gas_log", "oil_brent_log"),
+    "D_NG_C_NH_N": ("cpi_inflation_yoy_pp", "usd_vnd_log"),
+    "D_C_PH_M_V_C_NG_NGH_SINH_H_C": ("usd_vnd_log", "cpi_inflation_yoy_pp"),
+    "KHAI_KHO_NG": ("coal_log", "iron_ore_log", "oil_brent_log"),
+    "C_NG_TY_CH_NG_KHO_N": ("interest_deposit_12m_pct", "gdp_ty_dong_log", "vnindex_daily_return_mean_pct", "vnindex_growth_yoy_pct", "vnindex_trading_volume_avg", "vnindex_trading_value_avg"),
+    "D_CH_V_H_TR_T_V_N_THI_T_K": ("gdp_ty_dong_log", "interest_loan_short_pct"),
+    "KIM_LO_I_C_NG_NGHI_P_KHAI_KHO_NG": ("hrc_log", "iron_ore_log", "coal_log"),
+    "DU_L_CH_V_GI_I_TR": ("gdp_ty_dong_log", "oil_brent_log", "usd_vnd_log"),
+    "U_NG": ("sugar_log", "cpi_inflation_yoy_pp", "coffee_log"),
+    "TRUY_N_TH_NG": ("gdp_ty_dong_log",),
+    "B_N_L_CHUNG": ("cpi_inflation_yoy_pp", "gdp_ty_dong_log"),
+    "NG_N_H_NG": ("interest_deposit_12m_pct", "interest_loan_midlong_pct", "usd_vnd_log"),
+    "C_KH_CH_T_O_M_Y": ("hrc_log", "usd_vnd_log", "iron_ore_log"),
+    "H_NG_GIA_D_NG_X_Y_D_NG_NH_C_A": ("interest_loan_midlong_pct", "hrc_log"),
+    "C_NG_NGHI_P_CHUNG": ("gdp_ty_dong_log", "interest_loan_short_pct"),
+    "C_NG_NGH_PH_N_C_NG_V_THI_T_B": ("usd_vnd_log", "gdp_ty_dong_log"),
+    "THI_T_B_I_N_I_N_T": ("hrc_log", "usd_vnd_log"),
+    "L_M_NGHI_P_V_GI_Y": ("usd_vnd_log", "gdp_ty_dong_log"),
+    "PH_N_M_M_V_D_CH_V_I_N_TO_N": ("gdp_ty_dong_log", "usd_vnd_log"),
+    "T_V_LINH_KI_N_T": ("usd_vnd_log", "hrc_log", "interest_loan_midlong_pct"),
+    "B_O_HI_M_PHI_NH_N_TH": ("interest_deposit_12m_pct", "cpi_inflation_yoy_pp"),
+    "THI_T_B_V_D_CH_V_Y_T": ("usd_vnd_log", "cpi_inflation_yoy_pp"),
+    "T_I_CH_NH_T_NG_H_P": ("interest_deposit_12m_pct", "gdp_ty_dong_log"),
+    "B_N_L_TH_C_PH_M_V_D_C_PH_M": ("cpi_inflation_yoy_pp", "gdp_ty_dong_log"),
+    "H_NG_TI_U_KHI_N": ("gdp_ty_dong_log", "cpi_inflation_yoy_pp"),
+    "THU_C_L": ("cpi_inflation_yoy_pp", "gdp_ty_dong_log"),
+    "VI_N_TH_NG_C_NH": ("gdp_ty_dong_log", "interest_loan_midlong_pct"),
+    "B_O_HI_M_NH_N_TH": ("interest_deposit_12m_pct", "gdp_ty_dong_log"),
+    "VI_N_TH_NG_DI_NG": ("gdp_ty_dong_log", "usd_vnd_log"),
+}
 PERCENT_LIKE = ("roe", "roa", "nim_pct", "gross_margin", "net_margin", "profit_margin_calc_pct", "net_debt_to_equity_pct", "receivable_ratio_pct", "revenue_yoy_pct", "profit_yoy_pct", "revenue_momentum_pct", "profit_momentum_pct", "asset_growth_yoy", "profit_margin_change", "interest_deposit_12m_pct", "interest_loan_short_pct", "interest_loan_midlong_pct")
 
 
@@ -40,13 +80,13 @@ def annual(df: DataFrame) -> DataFrame:
     return df.where("quarter = 0") if "quarter" in df.columns else df
 
 
-def with_macro(panel: DataFrame, macro: DataFrame, lag: int = 0, small: bool = True) -> DataFrame:
+def with_macro(panel: DataFrame, macro: DataFrame, lag: int = 0) -> DataFrame:
     """Left join on the year, the series shifted by lag; a year that occurs twice in the series multiplies rows.
 
-    A series of years is a few rows and is broadcast; say small=False for one that isn't.
+    Whether the series is broadcast is Spark's choice, by its size.
     """
     shifted = macro.where("year is not null").withColumn("year", (F.col("year") + lag).cast(panel.schema["year"].dataType))
-    return panel.join(F.broadcast(shifted) if small else shifted, "year", "left")
+    return panel.join(shifted, "year", "left")
 
 
 def macro_as_of(panel: DataFrame, macro: DataFrame, values: Sequence[str], order: str) -> DataFrame:
@@ -61,7 +101,7 @@ def macro_as_of(panel: DataFrame, macro: DataFrame, values: Sequence[str], order
     back = Window.orderBy("year", "side").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.orderBy("year", "side").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = both.select("year", "side", F.coalesce(F.last("row", ignorenulls=True).over(back), F.first("row", ignorenulls=True).over(ahead)).alias("row")).where("side = 1")
-    return panel.join(F.broadcast(found.select("year", *(F.col(f"row.{v}").alias(v) for v in values))), "year", "left")
+    return panel.join(found.select("year", *(F.col(f"row.{v}").alias(v) for v in values)), "year", "left")
 
 
 def coalescing_merge(base: DataFrame, new: DataFrame, key: str, from_key: int | None = None) -> DataFrame:
@@ -131,13 +171,50 @@ def growth(current: Column, before: Column) -> Column:
     return F.coalesce((F.try_divide(current.cast("double"), F.nullif(before.cast("double"), F.lit(0.0))) - 1) * 100, F.lit(0.0))
 
 
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], shares: Sequence[float]) -> dict[str, list[float] | None]:
+    """Interpolated quantiles of every column, without all its values in one task: NULL values don't count, and a column of none has none.
+
+    Values are counted, and put in order by a range exchange; the few that the quantiles lie between are then found by
+    their place, from the counts of earlier partitions. One number a column and partition goes through the driver.
+    """
+    rows = df.select(*(c.cast("double").alias(n) for n, c in columns.items()))
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(n).alias("c"), F.col(f"`{n}`").alias("v")) for n in columns))).alias("x")).select("x.*").where("v is not null")
+    counted = long.groupBy("c", "v").agg(F.count("*").alias("n"))
+    dealt = counted.repartitionByRange("c", "v").sortWithinPartitions("c", "v").withColumn("part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sums = sorted(map(tuple, dealt.groupBy("c", "part").agg(F.sum("n")).collect()))
+        totals: dict[str, int] = {}
+        before = []
+        for name, part, n in sums:
+            before.append((name, part, totals.get(name, 0)))
+            totals[name] = totals.get(name, 0) + n
+        if not totals:
+            return dict.fromkeys(columns)
+        places = sorted({(c, int(p)) for c, n in totals.items() for s in shares for p in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))})
+        spark = df.sparkSession
+        inside = Window.partitionBy("c", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # only partitions that hold a wanted place
+        ends = {(c, p): b for c, p, b in before}
+        held = {(c, p): n for c, p, n in sums}
+        wanted = [(c, p, place - b) for (c, p), b in ends.items() for k, place in places if k == c and b <= place < b + held[c, p]]
+        ask = F.broadcast(spark.createDataFrame(wanted, "c string, part int, place long"))
+        ranked = dealt.join(F.broadcast(spark.createDataFrame(sorted({(c, p) for c, p, _ in wanted}), "c string, part int")), ["c", "part"]).withColumn("upto", F.sum("n").over(inside))
+        found = {(r["c"], r["part"], r["place"]): r["v"] for r in ranked.join(ask, ["c", "part"]).where("place >= upto - n and place < upto").collect()}
+    finally:
+        dealt.unpersist()
+    at = {(c, place + ends[c, p]): found[c, p, place] for c, p, place in wanted}
+    out: dict[str, list[float] | None] = {}
+    for c in columns:
+        n = totals.get(c, 0)
+        pairs = [(at[c, math.floor(s * (n - 1))], at[c, math.ceil(s * (n - 1))], s * (n - 1) % 1) for s in shares] if n else []
+        out[c] = [lo + (hi - lo) * part for lo, hi, part in pairs] if n else None
+    return out
+
+
 def percent_columns(df: DataFrame, columns: Iterable[str] = PERCENT_LIKE) -> list[str]:
-    """Columns whose 5th and 95th percentiles are both within 1.5: they hold fractions. One pass for all."""
-    some = [c for c in columns if c in df.columns]
-    if not some:
-        return []
-    row = df.agg(*(F.percentile(num.finite(c), F.array(F.lit(0.05), F.lit(0.95))).alias(c) for c in some)).first()
-    return [c for c in some if row[c] and None not in row[c] and max(map(abs, row[c])) <= 1.5]
+    """Columns whose 5th and 95th percentiles are both within 1.5: they hold fractions."""
+    found = exact_quantiles(df, {c: num.finite(c) for c in columns if c in df.columns}, (0.05, 0.95))
+    return [c for c, q in found.items() if q and max(map(abs, q)) <= 1.5]
 
 
 def scaled_percent(df: DataFrame, columns: Iterable[str] = PERCENT_LIKE) -> DataFrame:
@@ -145,9 +222,9 @@ def scaled_percent(df: DataFrame, columns: Iterable[str] = PERCENT_LIKE) -> Data
 
 
 def clip_bounds(train: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99) -> dict[str, tuple[float, float]]:
-    """Exact quantiles of the training rows, in one pass; columns without values have none."""
-    row = train.agg(*(F.percentile(num.finite(c), F.array(F.lit(low), F.lit(high))).alias(c) for c in columns)).first()
-    return {c: (min(row[c]), max(row[c])) for c in columns if row[c] and None not in row[c]}
+    """Exact quantiles of the training rows; columns without values have none."""
+    found = exact_quantiles(train, {c: num.finite(c) for c in columns}, checks.quantile_range(low, high))
+    return {c: (min(q), max(q)) for c, q in found.items() if q}
 
 
 def clipped(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
@@ -156,8 +233,8 @@ def clipped(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
 
 def median_imputed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """NULL as the column's exact median, or 0 where it has no values."""
-    row = df.agg(*(F.median(num.finite(c)).alias(c) for c in columns)).first()
-    return df.withColumns({c: F.coalesce(num.finite(c), F.lit(row[c] if row[c] is not None else 0.0)) for c in columns})
+    found = exact_quantiles(df, {c: num.finite(c) for c in columns}, (0.5,))
+    return df.withColumns({c: F.coalesce(num.finite(c), F.lit(found[c][0] if found[c] else 0.0)) for c in columns})
 
 
 def target_encoded(df: DataFrame, group: str, target: str, train: Column, name: str) -> DataFrame:
@@ -191,6 +268,13 @@ def sector_interactions(df: DataFrame, group: str, mapping: dict[str, Sequence[s
     return df.withColumns({f"{prefix}_{g}_{m}": F.when(F.col(group) == g, F.col(m) * boost).otherwise(0.0) for g, series in mapping.items() for m in series if m in df.columns})
 
 
+def industry_interactions(df: DataFrame, boost: float = 1.0, mapping: dict[str, Sequence[str]] = INDUSTRY_MACROS, prefix: str = "ind") -> DataFrame:
+    """For each group whose one-hot column is there, and each of its series: their product, missing values as 0. A boost that isn't positive is 1."""
+    factor = boost if boost > 0 else 1.0
+    value = lambda c: F.coalesce(num.finite(c), F.lit(0.0))
+    return df.withColumns({f"ix_{m}__{g}": value(m) * value(f"{prefix}_{g}") * factor for g, series in mapping.items() if f"{prefix}_{g}" in df.columns for m in series if m in df.columns})
+
+
 def steel_features(df: DataFrame, group: str, steel: str, boost: float = 1.0) -> DataFrame:
     """Spread of steel over ore, membership in the steel group, and their product."""
     spread = F.col("hrc_log") - F.col("iron_ore_log") if {"hrc_log", "iron_ore_log"} <= set(df.columns) else F.lit(0.0)
@@ -199,11 +283,11 @@ def steel_features(df: DataFrame, group: str, steel: str, boost: float = 1.0) ->
 
 def debt_parameters(train: DataFrame, debt: Column, low: float = 0.01, high: float = 0.99, threshold: float = 0.8) -> dict[str, float] | None:
     """Bounds of the debt ratio, and the high quantile of the ratio within these bounds."""
-    row = train.agg(F.percentile(debt, F.array(F.lit(low), F.lit(high))).alias("b")).first()
-    if not row["b"] or None in row["b"]:
+    bounds = exact_quantiles(train, {"debt": debt}, (low, high))["debt"]
+    if not bounds:
         return None
-    lower, upper = sorted(row["b"])
-    cut = train.agg(F.percentile(num.clip(debt, lower, upper), F.lit(threshold))).first()[0]
+    lower, upper = sorted(bounds)
+    cut = exact_quantiles(train, {"debt": num.clip(debt, lower, upper)}, (threshold,))["debt"][0]
     return {"lower": lower, "upper": upper, "threshold": cut}
 
 

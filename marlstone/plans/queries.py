@@ -384,7 +384,96 @@ def heading_flags(spark, sf_dir):
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(text.is_heading("line")).alias("n_headings"))
 
 
-@query()
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _normalized(x: str) -> str:
+    return f"regexp_replace(lower({_strip(f'strip_accents({x})')}), '\\s+', ' ', 'g')"
+
+
+def _noise(x: str) -> str:
+    n = _normalized(x)
+    return f"({n} = '' or {_strip(x)} in (':', '-', '--') or regexp_matches({n}, '^\\d{{1,3}}$') or regexp_matches({n}, '^\\d{{1,3}}\\s*/\\s*\\d{{1,3}}$') or (regexp_matches({n}, '^\\d+(\\.\\d+){{1,3}}$') and length({n}) <= 7))"
+
+
+def _is_heading(x: str) -> str:
+    n, raw = _normalized(x), f"regexp_replace({x}, '[^A-Za-z]', '', 'g')"
+    return f"""(length({n}) between 1 and 160 and (regexp_matches({n}, '^(chuong|phan|muc)\\b') or regexp_matches({n}, '^\\d{{1,2}}(\\.\\d{{1,2}}){{0,3}}\\b') or regexp_matches({n}, '^(i|ii|iii|iv|v|vi|vii|viii|ix|x)\\b')
+        or (length({raw}) between 4 and 80 and {raw} = upper({raw})) or (ends_with({_strip(x)}, ':') and length({_strip(x)}) <= 120)))"""
+
+
+def _garbled(table: str, keep: str, text: str) -> str:
+    """SQL of a query (keep, garbled, contents) over a table's text."""
+    edge = """^[.,;:!?()\\[\\]{}"''`]+|[.,;:!?()\\[\\]{}"''`]+$"""
+    return f"""
+        select {keep}, n > 0 and (lost >= 0.01 * size or (lost >= 3 and lost >= 0.002 * size) or (odd >= 8 and odd >= 0.12 * n) or case
+            when n >= 20 then odd >= 0.10 * n or (odd >= 0.07 * n and weird >= 0.03 * n) or (len(mixed) >= 0.40 * n and odd >= 5)
+            when n >= 8 then odd >= 3 or (odd >= 0.20 * n and weird >= 1) else odd >= 2 or (weird >= 2 and lost >= 1) end) as garbled,
+            len(lines) >= 6 and ((len(list_filter(lines, lambda x: length(x) <= 45)) >= 0.70 * len(lines) and len(list_filter(lines, lambda x: regexp_matches({_normalized('x')}, '^(\\d+|[ivx]+|[-•])'))) >= 0.45 * len(lines))
+                or len(list_filter(lines, lambda x: regexp_matches(x, '\\.{{3,}}'))) >= 3) as contents
+        from (select *, len(list_filter(mixed, lambda w: not (regexp_matches(w, '^[Qq][1-4](?:[/-]?\\d{{2,4}})?$') or regexp_matches(w, '^(?:FY|fy)\\d{{2,4}}$') or regexp_matches(w, '^[A-Z]{{2,8}}\\d{{2,4}}$') or regexp_matches(w, '^\\d+(?:[.,]\\d+)?[xX]$'))
+                and (len(regexp_extract_all(w, '[A-Za-z]+|\\d+')) >= 3 or regexp_matches(w, '[A-Za-z]\\d[A-Za-z]') or regexp_matches(w, '\\d[A-Za-z]\\d')
+                or (length(w) >= 6 and len(regexp_extract_all(w, '\\d')) >= 0.30 * (len(regexp_extract_all(w, '\\d')) + len(regexp_extract_all(w, '\\p{{L}}'))))))) as odd,
+                len(list_filter(words, lambda w: regexp_matches(w, '[\\^~`|{{}}<>]'))) as weird, len(words) as n
+            from (select *, list_filter(list_transform(words, lambda w: regexp_replace(w, '{edge}', '', 'g')), lambda w: regexp_matches(w, '[A-Za-z]') and regexp_matches(w, '\\d')) as mixed
+                from (select *, regexp_extract_all({_strip(text)}, '\\S+') as words, length({_strip(text)}) as size, length({_strip(text)}) - length(replace({_strip(text)}, chr(65533), '')) as lost,
+                    list_filter(list_transform(string_split({text}, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') as lines from {table})))
+    """
+
+
+def _pieces(text: str, least: int, most: int, overlap: int) -> str:
+    """SQL of the list of a text's pieces before they get the end of the one before."""
+    windows = f"list_transform(range(0, length(x.held), {most - overlap}), lambda k: {_strip(f'substr(x.held, cast(k as integer) + 1, {most})')})"
+    flushed = "a.done || case when a.held <> '' then [a.held] else cast([] as varchar[]) end"
+    parts = f"list_transform(list_filter(list_transform(regexp_split_to_array({text}, '\\n{{2,}}'), lambda x: {_strip('x')}), lambda x: x <> ''), lambda x: {{'held': x, 'done': cast([] as varchar[])}})"
+    step = f"""case when a.held <> '' and length(a.held) + 2 + length(x.held) <= {most} then {{'held': a.held || chr(10) || chr(10) || x.held, 'done': a.done}}
+        when length(x.held) <= {most} then {{'held': x.held, 'done': {flushed}}} else {{'held': '', 'done': {flushed} || {windows}}} end"""
+    packed = f"list_reduce([{{'held': '', 'done': cast([] as varchar[])}}] || {parts}, lambda a, x: {step})"
+    return f"list_filter(list_transform([{packed}], lambda s: s.done || case when s.held <> '' then [s.held] else cast([] as varchar[]) end)[1], lambda p: length(p) >= {least})"
+
+
+def _split(table: str, keep: str, text: str, least: int = 100, most: int = 500, overlap: int = 50) -> str:
+    """SQL of (keep, piece_index, text) of a table's split texts."""
+    tail = _strip(f"right(before, {overlap})")
+    prefix = f"case when regexp_matches({tail}, '[.!?;:]\\s') then regexp_extract({tail}, '(?s)^.*[.!?;:]\\s+(.*)$', 1) when regexp_matches({tail}, '\\s') then regexp_extract({tail}, '(?s)^\\S*?\\s+(.*)$', 1) else {tail} end"
+    return f"""
+        select {keep}, piece_index, case when piece_index = 0 or cut = '' then piece else cut || chr(10) || piece end as text from (
+            select *, case when length(prefix) > room then case when room > 0 then regexp_replace(right(prefix, cast(room as bigint)), '^\\s+', '') else '' end else prefix end as cut from (
+                select *, {prefix} as prefix, {most} - length(piece) - 1 as room from (
+                    select {keep}, i - 1 as piece_index, pieces[i] as piece, coalesce(pieces[i - 1], '') as before from (
+                        select *, unnest(range(1, len(pieces) + 1)) as i from (select {keep}, {_pieces(text, least, most, overlap)} as pieces from {table})))))
+    """
+
+
+def _category_case(s: str) -> str:
+    has = lambda *w: f"regexp_matches({s}, '{'|'.join(w)}')"
+    rules = [(f"regexp_matches({s}, '\\b1\\.7(\\.\\d+)?\\b')", "strategy"), (f"regexp_matches({s}, '\\b1\\.8(\\.\\d+)?\\b')", "risk"), (f"regexp_matches({s}, '\\b1\\.10(\\.\\d+)?\\b') and {has('rui ro')}", "risk")]
+    rules += [(f"{has('chuong 3')} and {has('ban dieu hanh', 'danh gia')}", "mdna"), (f"{has('chuong 5', 'phan 4')} and {has('quan tri')}", "governance"), (f"{has('chuong 6', 'phan 6')} and {has('ben vung', 'esg')}", "sustainability")]
+    rules += [(f"{has('chuong 1', 'phan 1')} and {has('ve chung toi', 'tong quan', 'thong tin chung')}", "business_overview"), (has("bao cao ban giam doc", "ban dieu hanh", "danh gia ket qua hoat dong"), "mdna")]
+    rules += [(has(*words), name) for name, words in text.CATEGORIES.items()]
+    return "case " + " ".join(f"when {rule} then '{name}'" for rule, name in rules) + " else 'other' end"
+
+
+def _section_chunks_sql() -> str:
+    s = f"trim({_normalized('heading')} || ' ' || {_normalized('preview')})"
+    found = _normalized("heading || ' ' || text")
+    return f"""
+        with l as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents), t as (select doc_id, line_no, {_strip('raw')} as line from l),
+        h as (select *, {_is_heading('line')} as heading from t where line <> ''), m as (select *, count(*) filter (where heading) over (partition by doc_id order by line_no) as section from h),
+        e as (select doc_id as file, section, coalesce(max(case when heading then line end), '{documents.FIRST_HEADING}') as heading, string_agg(line, chr(10) order by line_no) as text from m group by 1, 2),
+        p as (select *, array_to_string(list_transform(string_split(text, chr(10))[1:3], lambda x: {_strip('x')}), ' ') as preview from e where length(text) >= 100),
+        c as (select *, {_category_case(s)} as category from p where not {_noise('heading')} and not regexp_matches({found}, '{"|".join(documents.DISCLOSURES)}')),
+        k as ({_split('c', 'file, section, category', 'text')}), g as ({_garbled('k', 'file, section, category, piece_index, text', 'text')}),
+        n as (select *, row_number() over (partition by file order by section, piece_index) as chunk_index from g where not garbled and not contents)
+        select file, section, cast(piece_index as integer) as piece_index, cast(chunk_index as integer) as chunk_index, 'D' || file || '_2025_' || lpad(cast(chunk_index as varchar), 4, '0') as chunk_id, category, length(text) as n_chars from n
+    """
+
+
+@query(f"""
+    with g as ({_garbled('documents', 'doc_id, text', 'text')})
+    select doc_id, garbled, contents, {_noise('string_split(text, chr(10))[1]')} as noise, len(list_filter(string_split(text, chr(10)), lambda y: {_noise('y')})) as n_noise from g
+""")
 def text_flags(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
@@ -392,14 +481,14 @@ def text_flags(spark, sf_dir):
     return d.select("doc_id", text.is_garbled("text").alias("garbled"), text.looks_like_contents("text").alias("contents"), *noise)
 
 
-@query()
+@query(_section_chunks_sql())
 def section_chunks(spark, sf_dir):
     pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.lit(1).alias("page"), "text")
     made = documents.chunks(documents.sections(pages), F.concat(F.lit("D"), F.col("file").cast("string")), F.lit(2025), 100, 500, 50, focus=False)
     return made.select("file", "section", "piece_index", "chunk_index", "chunk_id", "category", F.length("text").alias("n_chars"))
 
 
-@query()
+@query(f"select doc_id, cast(piece_index as integer) as piece_index, length(text) as n_chars, md5(text) as digest from ({_split('documents', 'doc_id', 'text')})")
 def split_overlap(spark, sf_dir):
     pieces = documents.split_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 100, 500, 50)
     return pieces.select("doc_id", "piece_index", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
@@ -427,7 +516,11 @@ def page_links(spark, sf_dir):
     return documents.links(table(spark, sf_dir, "pages"), wanted="a")
 
 
-@query()
+@query(f"""
+    with l as (select page_id, list_filter(list_transform(string_split(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') as l from pages), d as (select page_id, l, list_transform(l, lambda x: regexp_replace(x, '\\.+$', '')) as d from l),
+    j as (select page_id, len(l) as n_lines, array_to_string(list_filter(d, lambda x, i: list_position(list_transform(d, lambda y: lower(y)), lower(x)) = i), '; ') as j from d)
+    select page_id, n_lines, md5(case when length(j) > 2000 then rtrim(substr(j, 1, 1999)) || '…' else j end) as digest from j
+""")
 def html_text(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", F.size(documents.html_lines(F.col("html"))).alias("n_lines"), F.md5(documents.business_areas(F.col("html"))).alias("digest"))
