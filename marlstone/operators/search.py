@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import num, text
@@ -24,7 +25,7 @@ def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(token, df, idf) with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); N counts all documents."""
     n = docs.count()
-    counted = postings(docs, id_col, text_col).groupBy("token").agg(F.count("*").alias("df"))
+    counted = docs.select(F.explode(F.array_distinct(text.tokens(text_col))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     return counted.withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
@@ -51,6 +52,38 @@ def bm25(docs: DataFrame, query: Sequence[str], id_col: str, text_col: str, k1:
     return rows.where(" or ".join(f"tf{i} > 0" for i in range(len(words))) or "false").select(id_col, score.alias("score"))
 
 
+class TermIndex:
+    """Postings with document lengths, dealt to folders by token, and the corpus's numbers: a query reads its tokens' folders only."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        about = spark.read.parquet(f"{path}/about").first()
+        self.buckets, self.n, self.mean, self.id_col = about["buckets"], about["n"], about["mean"], about["id_col"]
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, id_col: str, text_col: str, buckets: int = 256) -> TermIndex:
+        """Texts are tokenised once, for the postings; documents without tokens have none but count."""
+        tokens = docs.select(F.col(id_col).alias("id"), text.tokens(text_col).alias("t")).withColumn("len", F.size("t").cast("long"))
+        found = tokens.select("id", "len", F.explode("t").alias("token")).groupBy("token", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+        dealt = found.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)))
+        dealt.repartitionByRange("bucket", "token").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        spark = docs.sparkSession
+        lengths = spark.read.parquet(f"{path}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+        about = lengths.select(F.lit(buckets).alias("buckets"), F.lit(docs.count()).alias("n"), "total", F.lit(id_col).alias("id_col")).withColumn("mean", F.coalesce(F.try_divide("total", "n"), F.lit(0.0)))
+        about.coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+        return cls(spark, path)
+
+    def bm25(self, query: Sequence[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
+        """(id, score) of the documents with any of the query's tokens."""
+        words = list(dict.fromkeys(query))
+        wanted = self.spark.createDataFrame([(w,) for w in words], "token string").select(F.pmod(F.xxhash64("token"), F.lit(self.buckets))).collect() if words else []
+        rows = self.spark.read.parquet(f"{self.path}/postings").where(F.col("bucket").isin([r[0] for r in wanted]) & F.col("token").isin(words))
+        df = {r["token"]: r["n"] for r in rows.groupBy("token").agg(F.count("*").alias("n")).collect()}
+        idf = F.create_map(*(F.lit(x) for w, n in df.items() for x in (w, math.log(1 + (self.n - n + 0.5) / (n + 0.5))))) if df else F.create_map().cast("map<string,double>")
+        one = F.element_at(idf, F.col("token")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(self.mean or 1.0)))
+        return rows.groupBy(F.col("id").alias(self.id_col)).agg(F.sum(one).alias("score"))
+
+
 def keyword(docs: DataFrame, query: Sequence[str], id_col: str, text_col: str) -> DataFrame:
     """(id, score) of documents in which a keyword occurs."""
     return docs.select(id_col, text.keyword_score(text_col, list(query)).alias("score")).where("score > 0")

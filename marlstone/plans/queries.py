@@ -111,12 +111,12 @@ def macro_lagged_join(spark, sf_dir):
 
 
 @query(f"""
-    with p as ({PANEL}), m as (select * from ({MACRO}) where year % 2 = 0), y as (select distinct year from p),
+    with p as ({PANEL}), m as (select * from ({MACRO}) where year not in (1995, 1997, 2000)), y as (select distinct year from p),
     f as (select y.year, coalesce((select max(m.year) from m where m.year <= y.year), (select min(m.year) from m)) as found from y)
     select p.symbol, p.year, m.price_mean from p join f on p.year = f.year left join m on m.year = f.found
 """)
 def macro_asof_lookup(spark, sf_dir):
-    series = macro_series(spark, sf_dir).where("year % 2 = 0").withColumn("ord", F.col("year"))
+    series = macro_series(spark, sf_dir).where("year not in (1995, 1997, 2000)").withColumn("ord", F.col("year"))
     return panel.macro_as_of(company_panel(spark, sf_dir), series, ["price_mean"], "ord").select("symbol", "year", "price_mean")
 
 
@@ -136,15 +136,13 @@ SLUG = "coalesce(nullif(upper(regexp_replace(regexp_replace(%s, '[^a-zA-Z0-9]+',
 
 
 @query(f"""
-    with i as (select 'C' || cast(c_custkey %% 100 as varchar) as symbol, {SLUG % 'c_mktsegment'} as industry_group, c_custkey from customer where c_custkey %% 3 <> 0),
-    l as (select symbol, arg_max(industry_group, c_custkey) as industry_group from i group by 1), p as (select c_custkey, 'C' || cast(c_custkey %% 130 as varchar) as symbol from customer)
-    select p.c_custkey, p.symbol, coalesce(l.industry_group, 'UNKNOWN') as industry_group from p left join l on p.symbol = l.symbol
-""".replace("%%", "%"))
+    with i as (select 'C' || c_custkey as symbol, {SLUG % 'c_mktsegment'} as industry_group from customer where c_acctbal > 0)
+    select o.o_orderkey, 'C' || o.o_custkey as symbol, coalesce(i.industry_group, 'UNKNOWN') as industry_group from orders o left join i on i.symbol = 'C' || o.o_custkey
+""")
 def industry_join_unknown(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    code = lambda n: F.concat(F.lit("C"), (F.col("c_custkey") % n).cast("string"))
-    industries = c.where("c_custkey % 3 <> 0").select(code(100).alias("symbol"), text.slug("c_mktsegment").alias("industry_group"), F.col("c_custkey").alias("ord"))
-    return panel.with_industry(c.select("c_custkey", code(130).alias("symbol")), industries, "ord").select("c_custkey", "symbol", "industry_group")
+    industries = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.concat(F.lit("C"), "c_custkey").alias("symbol"), text.slug("c_mktsegment").alias("industry_group"), F.col("c_custkey").alias("ord"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("C"), "o_custkey").alias("symbol"))
+    return panel.with_industry(orders, industries, "ord").select("o_orderkey", "symbol", "industry_group")
 
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -168,12 +166,12 @@ def sector_macro_interactions(spark, sf_dir):
 
 
 @query("""
-    with m as (select p_brand, avg(p_retailprice) as v from part where p_partkey % 2 = 0 and p_size < 40 group by 1)
+    with m as (select p_brand, avg(p_retailprice) as v from part where p_size < 40 group by 1)
     select p.p_partkey, round(coalesce(m.v, (select avg(v) from m)), 4) as brand_mean from part p left join m on p.p_brand = m.p_brand
 """)
 def target_encoding(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice", "p_size")
-    return panel.target_encoded(p, "p_brand", "p_retailprice", F.expr("p_partkey % 2 = 0 and p_size < 40"), "brand_mean").select("p_partkey", r("brand_mean"))
+    return panel.target_encoded(p, "p_brand", "p_retailprice", F.col("p_size") < 40, "brand_mean").select("p_partkey", r("brand_mean"))
 
 
 @query("""
@@ -685,7 +683,7 @@ def dividend_events(spark, sf_dir):
 
 
 @query("""
-    with i as (select conv_id, turn as place, case when turn % 3 = 0 then 'warning' when turn % 3 = 1 then 'TIP' else 'note' end as type, trim(substr(text, 1, 80)) as title, trim(text) as message, turn / 4.0 as c from conversations where turn < 5),
+    with i as (select conv_id, turn as place, case when turn % 3 = 0 then 'warning' when turn % 3 = 1 then 'TIP' else 'note' end as type, trim(text) as title, trim(text) as message, turn / 4.0 as c from conversations where turn < 5),
     g as (select conv_id, upper(type) as type, place, trim(substr(title, 1, 60)) as title, substr(message, 1, 180) as message, least(greatest(c, 0), 1) as confidence from i where upper(type) in ('WARNING', 'TIP') and title <> '' and message <> ''),
     l as (select conv_id, type, max(place) as place from g group by 1, 2), k as (select distinct conv_id, unnest(['WARNING', 'TIP']) as type from conversations)
     select k.conv_id, k.type, case when g.place is not null then 'insight-' || g.place when k.type = 'WARNING' then 'fallback-warning' else 'fallback-tip' end as id, round(coalesce(g.confidence, 0.7), 4)::double as confidence
@@ -693,7 +691,7 @@ def dividend_events(spark, sf_dir):
 """)
 def insight_normalise(spark, sf_dir):
     turn = F.col("turn")
-    items = table(spark, sf_dir, "conversations").select("conv_id", turn.alias("place"), F.lit(None).cast("string").alias("id"), F.when(turn % 3 == 0, "warning").when(turn % 3 == 1, "TIP").otherwise("note").alias("type"), F.trim(F.substring("text", 1, 80)).alias("title"), F.trim("text").alias("message"), (turn / 4.0).alias("confidence"))
+    items = table(spark, sf_dir, "conversations").select("conv_id", turn.alias("place"), F.lit(None).cast("string").alias("id"), F.when(turn % 3 == 0, "warning").when(turn % 3 == 1, "TIP").otherwise("note").alias("type"), F.trim("text").alias("title"), F.trim("text").alias("message"), (turn / 4.0).alias("confidence"))
     return insights.insights(items, "conv_id").select("conv_id", "type", "id", r("confidence"))
 
 
@@ -756,13 +754,13 @@ def recursive_forecast(spark, sf_dir):
 
 
 @query("""
-    with n as (select event_id % 500 as k, arg_max(value, event_id) as v, 'new' as source from events where event_id % 2 = 0 group by 1), o as (select event_id % 700 as k, arg_max(value, event_id) as v, 'old' as source from events where event_id % 2 = 1 group by 1)
+    with n as (select o_custkey as k, arg_max(o_totalprice, o_orderkey) as v, 'new' as source from orders where o_orderstatus = 'F' group by 1), o as (select o_custkey as k, arg_max(o_totalprice, o_orderkey) as v, 'old' as source from orders where o_orderstatus <> 'F' group by 1)
     select * from n union all select * from o where k not in (select k from n)
 """)
 def merge_shards(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    shard = lambda odd, m, s: panel.keep_last(e.where(f"event_id % 2 = {odd}").select((F.col("event_id") % m).alias("k"), F.col("value").alias("v"), F.lit(s).alias("source"), "event_id"), ["k"], "event_id").drop("event_id")
-    return store.merged([shard(1, 700, "old"), shard(0, 500, "new")], ["k"])
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), "o_orderkey", (F.col("o_orderstatus") == "F").alias("late"))
+    shard = lambda late, name: panel.keep_last(o.where(F.col("late") == late).withColumn("source", F.lit(name)).drop("late"), ["k"], "o_orderkey").drop("o_orderkey")
+    return store.merged([shard(False, "old"), shard(True, "new")], ["k"])
 
 
 @query("""
@@ -776,12 +774,15 @@ def vector_points(spark, sf_dir):
 
 
 @query("""
-    with d as (select p_partkey, p_brand, p_type, row_number() over (order by p_partkey) as ord, p_retailprice as v from part), k as (select upper('s' || cast(p_partkey % 50 as varchar)) as symbol, 2020 + p_partkey % 3 as target_year, case when p_partkey % 2 = 0 then 'revenue_next' else 'Profit_next' end as target, v, ord from d)
-    select symbol, cast(target_year as integer) as target_year, arg_max(v, ord) filter (where target = 'revenue_next') as revenue_pred, arg_max(v, ord) filter (where target = 'Profit_next') as profit_pred from k group by 1, 2
+    with k as (select 'S' || l_partkey as symbol, cast(year(l_shipdate) as integer) as target_year, l_returnflag = 'N' as revenue, l_extendedprice as v, l_orderkey * 10 + l_linenumber as ord from lineitem)
+    select symbol, target_year, arg_max(v, ord) filter (where revenue) as revenue_pred, arg_max(v, ord) filter (where not revenue) as profit_pred from k group by 1, 2
 """)
 def wide_predictions(spark, sf_dir):
-    k = F.col("p_partkey")
-    detail = table(spark, sf_dir, "part").select(F.concat(F.lit("s"), (k % 50).cast("string")).alias("symbol"), (2020 + k % 3).cast("int").alias("target_year"), F.when(k % 2 == 0, "revenue_next").otherwise("Profit_next").alias("target"), F.col("p_retailprice").alias("predicted"), F.lit(None).cast("double").alias("actual"), k.alias("ord"))
+    lines = table(spark, sf_dir, "lineitem")
+    detail = lines.select(
+        F.concat(F.lit(" s"), "l_partkey").alias("symbol"), F.year("l_shipdate").alias("target_year"), F.when(F.col("l_returnflag") == "N", "revenue_next").otherwise("Profit_next").alias("target"), F.col("l_extendedprice").alias("predicted"),
+        F.lit(None).cast("double").alias("actual"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
+    )
     return forecast.wide_predictions(detail, "ord").select("symbol", "target_year", "revenue_pred", "profit_pred")
 
 
