@@ -51,7 +51,7 @@ WORDS = 5
 #: Similarity in hundredths.
 PERCENT = 75
 #: Shingles that a task holds before it deals them out.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Documents of a dealt batch; their places take two bytes.
 BATCH_DOCS = 60_000
 #: Members of a verification group besides its pivot, and their shingles.
@@ -124,7 +124,7 @@ def adaptive_prefix(n: int, df: np.ndarray, percent: int) -> int:
     return max(0, min(len(df), shortest - 1 + l))
 
 
-#: A row of tokens has owners or, for what is common in the batch, counts; the row about documents has the common tokens' owners.
+#: A row of tokens has owners or, for what is common in the batch, counts; the row about documents has the common tokens, their counts and owners.
 _DEALT = "shard int, batch long, ids array<long>, carried array<long>, sizes binary, digests binary, tokens binary, owners binary, counts binary, df binary"
 
 
@@ -152,8 +152,8 @@ def _dealt(docs: DataFrame, words: int, common: int) -> DataFrame:
             starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
             n = np.diff(np.append(starts, len(token)))
             often = np.repeat(n > common, n)
-            rows = [(-1 - batch % n_shards, batch, ids, carried, np.concatenate(sizes).astype("<u4").tobytes(), b"".join(digests), token[often].astype("<u8").tobytes(), owner[often].tobytes(), None, None)]
             counted, counts = token[starts[n > common]], n[n > common].astype("<u4")
+            rows = [(-1 - batch % n_shards, batch, ids, carried, np.concatenate(sizes).astype("<u4").tobytes(), b"".join(digests), counted.astype("<u8").tobytes(), owner[often].tobytes(), counts.tobytes(), None)]
             at = shard[starts[n > common]]
             for s in np.unique(at):
                 rows.append((int(s), batch, *[None] * 4, _squeeze(counted[at == s]), None, counts[at == s].tobytes(), None))
@@ -189,7 +189,7 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     if key[0].as_py() < 0:
         return table
     parts = [_expand(t) for t in table.column("tokens").to_pylist()]
-    counts = [np.ones(len(p), np.int64) if c is None else np.frombuffer(c, "<u4").astype(np.int64) for p, c in zip(parts, table.column("counts").to_pylist(), strict=True)]
+    counts = [np.ones(len(p), np.uint32) if c is None else np.frombuffer(c, "<u4") for p, c in zip(parts, table.column("counts").to_pylist(), strict=True)]
     owners = [np.zeros(len(p), "<u2") if o is None else np.frombuffer(o, "<u2") for p, o in zip(parts, table.column("owners").to_pylist(), strict=True)]
     listed = table.column("owners").is_valid().to_pylist()
     row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -197,7 +197,7 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     order = np.argsort(token, kind="stable")
     token = token[order]
     starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-    df = np.repeat(np.add.reduceat(np.concatenate(counts)[order], starts), np.diff(np.append(starts, len(token))))
+    df = np.repeat(np.add.reduceat(np.concatenate(counts)[order], starts, dtype=np.int64), np.diff(np.append(starts, len(token))))
     some = df >= 2
     token, owner, row, df = token[some], owner[order][some], row[order][some], df[some]
     order = np.argsort(row, kind="stable")  # within a row still by shingle
@@ -221,7 +221,7 @@ def _assembled(percent: int):
         sizes = np.frombuffer(table.column("sizes")[about].as_py(), "<u4").astype(np.int64)
         raw = [(_expand(t), o, np.frombuffer(d, "<u4")) for t, o, d in zip(table.column("tokens").to_pylist(), table.column("owners").to_pylist(), table.column("df").to_pylist(), strict=True) if d]
         empty = np.zeros(0, np.uint64)
-        here = np.frombuffer(table.column("tokens")[about].as_py(), "<u8")
+        here = np.repeat(np.frombuffer(table.column("tokens")[about].as_py(), "<u8"), np.frombuffer(table.column("counts")[about].as_py(), "<u4"))
         token = np.concatenate([*(t for t, o, _ in raw if o is not None), here, empty])
         owner = np.concatenate([*(np.frombuffer(o, "<u2") for _, o, _ in raw if o is not None), np.frombuffer(table.column("owners")[about].as_py(), "<u2"), empty]).astype(np.int64)
         common = {t: d for ts, o, ds in raw if o is None for t, d in zip(ts.tolist(), ds.tolist(), strict=True)}
