@@ -53,20 +53,21 @@ def recursive(base: DataFrame, step: Callable[[DataFrame, int], DataFrame], firs
     """(symbol, year, revenue, profit_after_tax, source) for all symbols at once, one step a year.
 
     base: symbol, revenue_current, revenue_lag1, revenue_lag2 and the same of profit, at year ``first``.  ``step`` adds
-    revenue_next and profit_next.  Where actual (symbol, year, revenue, profit_after_tax) has a row, it is the next state.
+    revenue_next and profit_next and keeps the other columns.  Where actual (symbol, year, revenue, profit_after_tax) has a row, it is the next state.
     """
     if last < first:
         raise ValueError("the last year is before the first")
-    state = base
-    out = base.select("symbol", F.lit(first).alias("year"), F.col("revenue_current").alias("revenue"), F.col("profit_after_tax"), F.lit("base").alias("source"))
+    at = lambda year, revenue, profit, source: F.struct(F.lit(year).alias("year"), F.col(revenue).alias("revenue"), F.col(profit).alias("profit_after_tax"), F.lit(source).alias("source"))
+    # The years travel with the state: one pass, where a union of all steps would compute each year anew for every later one.
+    state = base.withColumn("__years", F.array(at(first, "revenue_current", "profit_after_tax", "base")))
     for year in range(first + 1, last + 1):
         moved = step(derived_state(state), year - 1)
-        out = out.unionByName(moved.select("symbol", F.lit(year).alias("year"), F.col("revenue_next").alias("revenue"), F.col("profit_next").alias("profit_after_tax"), F.lit("predicted").alias("source")))
+        moved = moved.withColumn("__years", F.array_append("__years", at(year, "revenue_next", "profit_next", "predicted")))
         if actual is not None:
             known = actual.where(F.col("year") == year).select("symbol", F.col("revenue").alias("__r"), F.col("profit_after_tax").alias("__p"))
             moved = moved.join(known, "symbol", "left").withColumns({"revenue_next": F.coalesce("__r", "revenue_next"), "profit_next": F.coalesce("__p", "profit_next")})
-        state = moved.select("symbol", F.col("revenue_next").alias("revenue_current"), F.col("revenue_current").alias("revenue_lag1"), F.col("revenue_lag1").alias("revenue_lag2"), F.col("profit_next").alias("profit_after_tax"), F.col("profit_after_tax").alias("profit_lag1"), F.col("profit_lag1").alias("profit_lag2"))
-    return out
+        state = moved.select("symbol", F.col("revenue_next").alias("revenue_current"), F.col("revenue_current").alias("revenue_lag1"), F.col("revenue_lag1").alias("revenue_lag2"), F.col("profit_next").alias("profit_after_tax"), F.col("profit_after_tax").alias("profit_lag1"), F.col("profit_lag1").alias("profit_lag2"), "__years")
+    return state.select("symbol", F.inline("__years"))
 
 
 def derived_state(state: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -14,45 +15,95 @@ from marlstone.operators import panel
 
 
 class KeyedTable:
-    """A table of versions. A write makes a new version beside the old and then moves the pointer, so readers see one or the other."""
+    """A table in buckets of its keys' hash. A write makes new folders for the buckets that it touches, and then a new version.
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], schema: StructType | str):
-        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+    A version is a small file that names the folder of each bucket, so readers see all of a write or nothing, and a write
+    costs what its buckets hold, not the table. The file is renamed into place: of two writers that start from one version
+    the second gets an error and can repeat, where renaming doesn't replace files (HDFS); elsewhere let one write at a time.
+
+    buckets: chosen for the size that the table will have, some 100 MB a bucket; an existing table keeps its number.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], schema: StructType | str, buckets: int = 32):
+        self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), list(keys), buckets
         self.schema = spark.createDataFrame([], schema).schema
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[str]:
-        if not self._fs.exists(self._path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        return sorted(n for n in names if n.startswith("v-") and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS")))
+    def _listed(self, folder: str, start: str) -> list[str]:
+        where = self._path(folder)
+        names = [f.getPath().getName() for f in self._fs.listStatus(where)] if self._fs.exists(where) else []
+        return sorted(n for n in names if n.startswith(start))
+
+    def _folders(self, version: str) -> dict[int, str]:
+        """Folder of each bucket in a version, and the number of buckets."""
+        found = json.loads(self.spark.read.text(f"{self.path}/{version}", wholetext=True).first()[0])
+        self.buckets = found["buckets"]
+        return {int(k): v for k, v in found["folders"].items()}
+
+    def _current(self) -> tuple[int, dict[int, str]]:
+        found = self._listed(self.path, "v-")
+        return (int(found[-1].split("-")[1]), self._folders(found[-1])) if found else (-1, {})
+
+    def _rows(self, folders: Sequence[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{f}" for f in folders)) if folders else self.spark.createDataFrame([], self.schema)
+
+    def _typed(self, df: DataFrame, *more: str) -> DataFrame:
+        """The table's columns in its types, on which the hash depends."""
+        return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema), *(c for c in more if c not in self.schema.fieldNames()))
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _touched(self, rows: DataFrame) -> set[int]:
+        return {r[0] for r in rows.select(self._bucket()).distinct().collect()}
+
+    def _write(self, df: DataFrame, base: int, kept: dict[int, str]) -> None:
+        """The version after base: buckets of df, which get new folders, and those kept. Folders that only older versions name go."""
+        folder = f"data-{uuid.uuid4().hex}"
+        df.withColumn("__bucket", self._bucket()).hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
+        named = kept | {int(n.split("=")[1]): f"{folder}/{n}" for n in self._listed(f"{self.path}/{folder}", "__bucket=")}
+        made, wanted = self._path(f"{self.path}/.{folder}"), self._path(f"{self.path}/v-{base + 1:012d}")
+        out = self._fs.create(made, False)
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "folders": named}).encode()))
+        out.close()
+        if self._fs.exists(wanted) or not self._fs.rename(made, wanted):
+            self._fs.delete(made, False)
+            self._fs.delete(self._path(f"{self.path}/{folder}"), True)
+            raise RuntimeError(f"another writer has changed {self.path}; repeat this write")
+        *old, before, last = ["", *self._listed(self.path, "v-")]
+        used = {f for v in (before, last) if v for f in self._folders(v).values()}
+        for version in filter(None, old):
+            for gone in set(self._folders(version).values()) - used:
+                self._fs.delete(self._path(f"{self.path}/{gone}"), True)
+            self._fs.delete(self._path(f"{self.path}/{version}"), False)
 
     def read(self) -> DataFrame:
-        found = self._versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
+        return self._rows(list(self._current()[1].values()))
 
     def replace(self, df: DataFrame) -> None:
-        """A new version; older ones but the last go."""
-        found = self._versions()
-        number = int(found[-1].split("-")[1]) + 1 if found else 0
-        df.select(*self.schema.fieldNames()).write.parquet(f"{self.path}/v-{number:012d}-{uuid.uuid4().hex[:8]}")
-        for name in found[:-1]:
-            self._fs.delete(self._path(f"{self.path}/{name}"), True)
+        """A new version of just these rows."""
+        self._write(self._typed(df), self._current()[0], {})
 
     def upsert(self, rows: DataFrame, order: str, kept: Sequence[str] = ("created_at",)) -> None:
         """New rows by key: the last of several in ``order`` wins over what is stored, but for the columns that keep their first value."""
-        new = panel.keep_last(rows.select(*dict.fromkeys([*self.schema.fieldNames(), order])), self.keys, order).select(*self.schema.fieldNames())
-        old = self.read()
+        base, folders = self._current()
+        typed = self._typed(rows, order)
+        touched = self._touched(typed)
+        new = panel.keep_last(typed, self.keys, order).select(*self.schema.fieldNames())
+        old = self._rows([f for k, f in folders.items() if k in touched])
         some = [c for c in kept if c in self.schema.fieldNames()]
         if some:
             first = old.select(*self.keys, *(F.col(c).alias(f"__{c}") for c in some))
             new = new.join(first, self.keys, "left").withColumns({c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in some}).select(*self.schema.fieldNames())
-        self.replace(old.join(new.select(*self.keys), self.keys, "left_anti").unionByName(new))
+        self._write(old.join(new.select(*self.keys), self.keys, "left_anti").unionByName(new), base, {k: f for k, f in folders.items() if k not in touched})
 
     def delete(self, condition: str) -> None:
-        self.replace(self.read().where(f"not coalesce({condition}, false)"))
+        base, folders = self._current()
+        touched = self._touched(self._rows(list(folders.values())).where(condition))
+        left = self._rows([f for k, f in folders.items() if k in touched]).where(f"not coalesce({condition}, false)")
+        self._write(left, base, {k: f for k, f in folders.items() if k not in touched})
 
     def pending(self, wanted: DataFrame, condition: str | None = None) -> DataFrame:
         """Wanted keys that the table hasn't, such as chunks without an embedding of a model."""

@@ -184,6 +184,25 @@ def test_keyed_table(spark, tmp_path):
     assert rows(t.pending(spark.createDataFrame([("a",), ("z",)], "id string"))) == [("z",)]
     t.delete("v = 1")
     assert rows(t.read()) == [("a", 5, 2)]
+    t.replace(make(("c", 1, 1, 1)))
+    assert rows(t.read()) == [("c", 1, 1)]
+
+
+def test_upsert_writes_touched_buckets_only(spark, tmp_path):
+    schema = "id long, v int, created_at int"
+    t = store.KeyedTable(spark, str(tmp_path / "t"), ["id"], schema, buckets=8)
+    t.upsert(spark.range(100).selectExpr("id", "0 as v", "1 as created_at", "1 as ord"), "ord")
+    base, before = t._current()
+    reader = t.read()
+    t.upsert(spark.createDataFrame([(7, 1, 5, 1)], "id int, v int, created_at int, ord int"), "ord")  # int keys are cast before they are hashed
+    _, after = t._current()
+    assert len(before) == 8 and sum(before[k] != after[k] for k in before) == 1
+    assert reader.count() == 100 and rows(t.read().where("v = 1")) == [(7, 1, 1)] and t.read().count() == 100
+    with pytest.raises(RuntimeError):
+        t._write(t.read(), base, {})
+    t.delete("id <> 7")
+    assert rows(store.KeyedTable(spark, str(tmp_path / "t"), ["id"], schema).read()) == [(7, 1, 1)]
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) == 2
 
 
 def test_vectors_of_two_sizes_are_an_error(spark):
