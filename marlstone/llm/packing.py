@@ -19,7 +19,9 @@ leaves its share to the others.
 Defined cases: a null or empty text has only its end id; a null source is the
 source "", repeated rows are packed each; an empty table gives no rows.  Every
 source has its own queue, however many there are; a target without a source of
-its name is an error.
+its name is an error.  A queue has its documents in the order in which their rows
+are read; where an exchange comes before, Spark doesn't fix that order, and
+another run may put a document into another window.
 """
 
 from __future__ import annotations
