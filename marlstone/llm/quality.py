@@ -21,7 +21,8 @@ Defined cases: a null or empty text has no words and fails the base rules; a
 null id keeps its row; repeated rows are scored each on its own and counted
 each; without trusted documents the ratio is 0 for all and only the base rules
 speak; without bad ones the threshold is the trusted ones' lowest score but for
-``MOST_LOST``; other columns of the input are ignored or, in ``filtered``, kept.
+``MOST_LOST``; a labelled id of several rows has its least score there, so that
+the driver gets one for each id of the samples; other columns of the input are ignored or, in ``filtered``, kept.
 """
 
 from __future__ import annotations
@@ -172,10 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             ratio = log_ratio(target[bucket] - own * good[doc], (total - n * good)[doc], p_raw[bucket])
             scores = np.bincount(doc, ratio * own, minlength=piece.n) / np.maximum(n, 1)
             passed = ~base_failed(statistics(piece))
-            yield pa.RecordBatch.from_arrays([pa.array(good[passed]), pa.array(scores[passed])], ["good", "score"])
+            yield pa.RecordBatch.from_arrays([rows.column("id").filter(pa.array(passed)), pa.array(good[passed]), pa.array(scores[passed])], ["id", "good", "score"])
 
     asked = spark.createDataFrame([(int(i),) for i in np.concatenate([chosen, bad])], "id long")
-    scores = texts.join(F.broadcast(asked), "id", "left_semi").select("id", "text").mapInArrow(held_out, "good boolean, score double").collect()
+    scores = texts.join(F.broadcast(asked), "id", "left_semi").select("id", "text").mapInArrow(held_out, "id long, good boolean, score double").groupBy("id", "good").agg(F.min("score").alias("score")).collect()
     of = lambda good: np.array([r["score"] for r in scores if r["good"] == good])
     return Model(log_ratio(target, total, p_raw), threshold(of(True), of(False)))
 

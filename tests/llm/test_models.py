@@ -58,9 +58,13 @@ def test_quality_model_by_plain_counts(spark):
     words = lambda share: " ".join(rng.choice(good_words if rng.random() < share else bad_words) for _ in range(rng.randint(40, 120)))
     values = [None, "", *(words(rng.random()) for _ in range(120))]
     labels = [(i, int(len(WORD.findall(values[i] or "")) > 0 and (values[i] or "").count("g") > (values[i] or "").count("b"))) for i in range(0, len(values), 2)] + [(4, None), (None, 1), (10**6, 1)]
-    docs = frame(spark, values)
+    ids = [*range(len(values)), 8, 8, 8, 10, 10]  # rows of one id: all count, the least score of each label's id is asked
+    values += [words(0.5) for _ in range(5)]
+    docs = frame(spark, values, ids)
     model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
-    got = rows(quality.annotated(docs, model))
+    got = collections.defaultdict(list)
+    for r in quality.annotated(docs, model).collect():
+        got[r.doc_id].append(r)
 
     verdicts: dict[int, int] = {}
     for i, q in labels:
@@ -79,7 +83,7 @@ def test_quality_model_by_plain_counts(spark):
     raw = collections.Counter(b for bs in of for b in bs)
     n_raw = sum(raw.values())
     p_raw = lambda b: (raw[b] + 1) / (n_raw + quality.BUCKETS)
-    target = collections.Counter(b for i, bs in enumerate(of) if verdicts.get(i) == 1 for b in bs)
+    target = collections.Counter(b for i, bs in zip(ids, of, strict=True) if verdicts.get(i) == 1 for b in bs)
     n_target = sum(target.values())
 
     def score(bs: list[int], less: collections.Counter, n_less: int) -> float:
@@ -87,9 +91,15 @@ def test_quality_model_by_plain_counts(spark):
         return sum(math.log((target[b] - less[b] + quality.PRIOR * n * p_raw(b)) / ((1 + quality.PRIOR) * n)) - math.log(p_raw(b)) for b in bs) / max(len(bs), 1)
 
     nothing = collections.Counter()
-    passed = [i for i in verdicts if i < len(values) and not got[i].base_failed]
-    good = sorted(score(of[i], collections.Counter(of[i]), len(of[i])) for i in passed if verdicts[i])
-    bad = sorted(score(of[i], nothing, 0) for i in passed if not verdicts[i])
+    least_of: dict[int, float] = {}
+    for i, text, bs in zip(ids, values, of, strict=True):
+        w = WORD.findall(text or "")
+        windows = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {k + j for k in range(len(w) - 2) if windows[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        if i in verdicts and len(w) >= quality.LEAST_WORDS and 100 * len(covered) <= quality.MOST_REPEATED * len(w):
+            own = collections.Counter(bs) if verdicts[i] else nothing
+            least_of[i] = min(least_of.get(i, math.inf), score(bs, own, sum(own.values())))
+    good, bad = (sorted(x for i, x in least_of.items() if verdicts[i] == v) for v in (1, 0))
     assert good and bad
     most = good[int(quality.MOST_LOST * len(good))]
     cuts = [s for s in sorted({*good, *bad}) if s <= most]
@@ -97,11 +107,12 @@ def test_quality_model_by_plain_counts(spark):
     k = costs.index(min(costs))
     least = (cuts[k] + cuts[k - 1]) / 2 if k else cuts[k]
     assert model.least_score == pytest.approx(least)
-    for i, bs in enumerate(of):
-        want = score(bs, nothing, 0)
-        assert got[i].score == pytest.approx(want, abs=1e-9)
-        assert got[i].kept == (not got[i].base_failed and want >= least)
-    assert len({r.kept for r in got.values() if not r.base_failed}) == 2
+    for i in set(ids):
+        want = sorted(score(bs, nothing, 0) for k, bs in zip(ids, of, strict=True) if k == i)
+        mine = sorted(got[i], key=lambda r: r.score)
+        assert [r.score for r in mine] == pytest.approx(want, abs=1e-9)
+        assert all(r.kept == (not r.base_failed and r.score >= model.least_score) for r in mine)
+    assert len({r.kept for rs in got.values() for r in rs if not r.base_failed}) == 2
 
 
 def test_media_features_from_the_payload(spark):
