@@ -3,9 +3,10 @@
 A chunk is a word with the space before it, or white space, so that no token of
 the tokenizers used here crosses a chunk's border; the ids of a text are those
 of its chunks in a row.  A piece of a column is cut into chunks at once, every
-chunk is hashed to 64 bits, and a worker keeps the ids of the hashes it has met
-in arrays of at most ``CACHE_BYTES``.  New chunks go to the library: plain words
-straight to its model, others through its whole chain.
+chunk is hashed twice to 64 bits, and a worker keeps the ids of the chunks it has
+met, by both hashes, in arrays of at most ``CACHE_BYTES``.  New chunks go to the
+library: plain words straight to its model, others through its whole chain.  A
+text with a chunk that shares just its first hash with another one is seen whole.
 
 Texts with white space beyond ASCII, or with the string of an added token, go to
 the library as they are.  A text of several ``PIECE_BYTES`` is cut between two
@@ -33,7 +34,7 @@ from marlstone.llm.spans import Piece, in_pieces
 CACHE_BYTES = 48 << 20
 #: Longer chunks (in bytes) are not kept.
 CACHED_LENGTH = 64
-_ENTRY_BYTES = 20
+_ENTRY_BYTES = 28
 #: Punctuation that ends many words; after a letter or digit it is a token boundary of every pattern used here.
 _TAIL = np.zeros(256, bool)
 _TAIL[list(b".,;:!?*%$#&")] = True
@@ -72,7 +73,7 @@ class ChunkEncoder:
         raise NotImplementedError
 
     def _forget(self) -> None:
-        self._keys, self._starts, self._lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self._keys, self._seconds, self._starts, self._lengths = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self._ids, self._used = np.zeros(1 << 16, self.kind), 1  # the first place is for the end id
 
     def _chunks(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
@@ -95,14 +96,16 @@ class ChunkEncoder:
         at = np.flatnonzero(mark[:-1])
         return at, np.append(at[1:], len(data))
 
-    def _hashes(self, piece: Piece, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        found = piece.hash(starts, ends)
+    def _hashes(self, piece: Piece, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [piece.hash(starts, ends, which) for which in (0, 1)]
         if self.folds:
             high = spans._before(piece.data >= 0x80)
             wide = high[ends] > high[starts]
             if wide.any():
-                found[wide] = Piece(piece.first, piece.data, piece.offsets).hash(starts[wide], ends[wide]) ^ np.uint64(1)
-        return found
+                plain = Piece(piece.first, piece.data, piece.offsets)
+                for which in (0, 1):
+                    found[which][wide] = plain.hash(starts[wide], ends[wide], which) ^ np.uint64(1)
+        return found[0], found[1]
 
     def _odd(self, piece: Piece) -> np.ndarray:
         """Documents that the library must see whole."""
@@ -120,7 +123,7 @@ class ChunkEncoder:
                     found = lowered.find(content, found + 1)
         return np.unique(np.searchsorted(piece.offsets, np.array(places, np.int64), "right") - 1)
 
-    def _learn(self, piece: Piece, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, piece: Piece, keys: np.ndarray, seconds: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and lengths of the ids of new chunks. Short ones stay."""
         order = np.argsort(ends - starts > CACHED_LENGTH, kind="stable")
         data = piece.data.tobytes()
@@ -129,7 +132,7 @@ class ChunkEncoder:
         kept = int((ends - starts <= CACHED_LENGTH).sum())
         at = np.searchsorted(self._keys, keys[order[:kept]])
         by_key = np.argsort(keys[order[:kept]], kind="stable")
-        for name, values in (("_keys", keys[order[:kept]]), ("_starts", places[:kept]), ("_lengths", lengths[:kept].astype(np.int32))):
+        for name, values in (("_keys", keys[order[:kept]]), ("_seconds", seconds[order[:kept]]), ("_starts", places[:kept]), ("_lengths", lengths[:kept].astype(np.int32))):
             setattr(self, name, np.insert(getattr(self, name), at[by_key], values[by_key]))
         self._used += int(lengths[:kept].sum())
         self._beyond -= int(lengths[:kept].sum())
@@ -153,17 +156,25 @@ class ChunkEncoder:
         self._beyond = 0
         starts, ends = self._chunks(piece)
         doc = np.searchsorted(piece.offsets, starts, "right") - 1
+        key, second = self._hashes(piece, starts, ends)
         odd = self._odd(piece)
-        if len(odd):
-            usual = ~np.isin(doc, odd)
-            starts, ends, doc = starts[usual], ends[usual], doc[usual]
-        distinct, first, at = np.unique(self._hashes(piece, starts, ends), return_index=True, return_inverse=True)
-        near = np.minimum(np.searchsorted(self._keys, distinct), max(0, len(self._keys) - 1))
-        new = self._keys[near] != distinct if len(self._keys) else np.ones(len(distinct), bool)
+        while True:
+            if len(odd):
+                usual = ~np.isin(doc, odd)
+                starts, ends, doc, key, second = starts[usual], ends[usual], doc[usual], key[usual], second[usual]
+            distinct, first, at = np.unique(key, return_index=True, return_inverse=True)
+            near = np.minimum(np.searchsorted(self._keys, distinct), max(0, len(self._keys) - 1))
+            new = self._keys[near] != distinct if len(self._keys) else np.ones(len(distinct), bool)
+            other = second != second[first][at]
+            if len(self._keys):
+                other |= (~new & (self._seconds[near] != second[first]))[at]
+            if not other.any():
+                break
+            odd = np.union1d(odd, doc[other])
         places, lengths = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
         places[~new], lengths[~new] = self._starts[near[~new]], self._lengths[near[~new]]
         if new.any():
-            places[new], lengths[new] = self._learn(piece, distinct[new], starts[first[new]], ends[first[new]])
+            places[new], lengths[new] = self._learn(piece, distinct[new], second[first[new]], starts[first[new]], ends[first[new]])
         places, lengths = places[at], lengths[at]
         bounds = np.searchsorted(doc, np.arange(piece.n + 1))
         if len(odd):

@@ -455,3 +455,72 @@ def test_main_text(spark):
     assert html.main_text("<nav>only menus</nav>") == "" == html.main_text("") == html.main_text(None)
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 5)], "page_id long, url string, html string, n_chars int")
     assert {r.page_id: r.n_chars for r in html.extracted(pages).collect()} == {1: len(html.main_text(PAGE)), 2: 0}
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """A word over two letters and its complement, which polynomial hashes modulo a power of two confuse."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_span_hashes_of_regular_texts():
+    rng = np.random.default_rng(4)
+    values = [w for n in (1, 2, 4, 8, 16, 64, 256, 1024, 2048, 8192) for w in thue_morse(n)]
+    values += ["a" * n for n in range(2, 40)] + ["ab" * n for n in range(2, 40)]
+    for n in (9, 16, 17, 64, 200):  # one byte changed, words of eight bytes exchanged
+        base = bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+        values += [base] + [base[:k] + "_" + base[k + 1 :] for k in range(n)] + ([base[8:16] + base[:8] + base[16:]] if n > 16 else [])
+    values = sorted(set(values))
+    piece = next(pieces(pa.array(values)))
+    both = [piece.hash(piece.offsets[:-1], piece.offsets[1:], which) for which in (0, 1)]
+    assert len(set(both[0].tolist())) == len(set(both[1].tolist())) == len(values)
+    assert len(set(both[0].tolist()) & set(both[1].tolist())) == 0
+    shifted = next(pieces(pa.array(["x", "yz", *values])))
+    assert (shifted.hash(shifted.offsets[2:-1], shifted.offsets[3:]) == both[0]).all()
+
+
+def test_regular_words_in_every_operator(spark):
+    words = [w for n in (256, 1024, 2048, 8192) for w in thue_morse(n)]
+    docs = frame(spark, words)
+    assert {d: (r.n_shingles, r.component_id) for d, r in rows(neardup.linked(docs)).items()} == {i: (1, i) for i in range(len(words))}
+    assert {r.doc_id: (r.text, r["__n_dropped"]) for r in linededup.deduplicated(docs).collect()} == {i: (w, 0) for i, w in enumerate(words)}
+    table, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    assert {r.doc_id: bytes(r.decoded).decode() for r in bpe.decoded(bpe.encoded(docs, table, pattern), table, pattern).collect()} == dict(enumerate(words))
+    from tokenizers import Tokenizer
+
+    for name, end in (("word_bpe_49k.json", 1), ("byte_bpe_50k.json", 0)):
+        library, path = Tokenizer.from_file(public_tokenizers.path(name)), public_tokenizers.path(name)
+        ids = [library.encode(w, add_special_tokens=False).ids + [end] for w in words]
+        want = {i: zlib.crc32(np.array(x, "<u4").tobytes()) for i, x in enumerate(ids)}
+        if end:
+            assert {r.doc_id: r.ids_crc32 for r in dac.read(dac.files(docs, path, end_id=end)).collect()} == want
+        else:
+            got = collections.Counter()
+            for r in packing.packed(packing.encoded(docs, path, end_id=end)).collect():
+                assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+                got[r.doc_id] += r.length
+            assert got == {i: len(x) for i, x in enumerate(ids)}
+    lines = frame(spark, ["\n".join(words)])
+    found = quality.annotated(lines, quality.Model(np.zeros(quality.BUCKETS))).first()
+    assert (found.n_words, found.n_dup_lines, found.n_repeat_words) == (len(words), 0, 0)
+    known = {i for i in range(len(words)) if zlib.crc32(str(i).encode()) % 10}
+    n, v = 2 * len(known), len(known) + 1
+    for i, r in rows(lm.scored(docs)).items():
+        c = 1 if i in known else 0
+        assert r.base_score == pytest.approx(math.log10((c + 0.1) / (n + 0.1 * (v + 1))) + math.log10((len(known) + 0.1) / (n + 0.1 * (v + 1))))
+
+
+def test_a_first_hash_shared_by_chunks_is_told_apart(monkeypatch):
+    """With a first hash of four values only, ids still come out as the library's."""
+    from marlstone.llm import spans, tokens
+
+    plain = spans.Piece.hash
+    monkeypatch.setattr(spans.Piece, "hash", lambda self, a, b, which=0: plain(self, a, b, which) % np.uint64(4) if which == 0 else plain(self, a, b, which))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = tokens.LibraryEncoder(path)
+    values = [t or "" for t in texts(n=10)]
+    for p in pieces(pa.array(values)):
+        ids, bounds = encoder.encode(p)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == encoder.of_texts(values[p.first : p.first + p.n])
