@@ -88,10 +88,67 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.described(media.stored(table(spark, sf_dir, "documents"))).drop("thumbnail")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_lm_scoring, op3_byte_bpe, op4_packing, op5_html_extraction, op6_line_dedup, op7_warc_revisits, op8_media_columns, op9_quality_rules, op10_token_ids)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm import lexical
+
+    return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm import topk
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm import resample
+
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_lm_scoring, op3_byte_bpe, op4_packing, op5_html_extraction, op6_line_dedup, op7_warc_revisits, op8_media_columns, op9_quality_rules, op10_token_ids, op11_lexical_search, op12_exact_topk, op13_importance_resampling)}
 
 _SPACE = r"[\x20\x09-\x0D]"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE_SQL: dict[str, str] = {
+    "op11_lexical_search": f"""
+        with found as (
+            select doc_id, unnest(regexp_extract_all({_FOLDED}, '{_TERM}')) as term from documents
+        ), counted as (
+            select doc_id, term, count(*) as tf from found group by all
+        ), lengths as (
+            select doc_id, cast(sum(tf) as bigint) as n from counted group by doc_id
+        ), totals as (
+            select count(*) as n_docs, cast(sum(n) as bigint) as n_terms from lengths
+        ), df as (
+            select term, count(*) as df from counted group by term
+        ), asked as (
+            select item_id, unnest(regexp_extract_all({_FOLDED}, '{_TERM}')) as term from benchmark
+        ), weights as (
+            select item_id, term, count(*) * any_value(cast(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) as bigint)) as w
+            from asked join df using (term) cross join totals group by item_id, term
+        ), scores as (
+            select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + ((75 * n * n_docs) // n_terms))))) as bigint) as score
+            from weights join counted using (term) join lengths using (doc_id) cross join totals group by item_id, doc_id
+        ), ranks as (
+            select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from scores where score > 0
+        )
+        select * from ranks where rank <= 10
+    """,
+    "op12_exact_topk": """
+        with vectors as (
+            select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as v from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scores as (
+            select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+            from vectors q join vectors c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id
+        ), ranks as (
+            select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scores
+        )
+        select * from ranks where rank <= 10
+    """,
     "op7_warc_revisits": r"""
         with page as (
             select page_id, url, 1704067200 + 60 * page_id as ts, cast(length(html) as varchar) as size, '"' || substr(md5(html), 1, 16) || '"' as tag,

@@ -18,7 +18,7 @@ to a small multiple of the piece, or of the longest single document.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
@@ -36,6 +36,10 @@ _LOWER[65:91] += 32
 #: White space of the contracts: U+0020 and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+_SOLID = ~SPACE
+#: Bytes of terms: digits, letters, and all of what lies beyond ASCII.
+TERM = np.arange(256) >= 128
+TERM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (splitmix64's finaliser)."""
@@ -57,6 +61,8 @@ class Piece:
     data: np.ndarray
     offsets: np.ndarray
     fold: bool = False
+    #: Bytes that words consist of; the rest is between them.
+    inside: np.ndarray = field(default_factory=lambda: _SOLID)
 
     @property
     def n(self) -> int:
@@ -68,8 +74,8 @@ class Piece:
 
     @cached_property
     def solid(self) -> np.ndarray:
-        """True at bytes that are not white space."""
-        return ~SPACE[self.data]
+        """True at bytes of words."""
+        return self.inside[self.data]
 
     @cached_property
     def solid_before(self) -> np.ndarray:
@@ -149,7 +155,7 @@ def _before(flags: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces(column: pa.Array, fold: bool = False) -> Iterator[Piece]:
+def pieces(column: pa.Array, fold: bool = False, inside: np.ndarray = _SOLID) -> Iterator[Piece]:
     """The documents of an Arrow string column in pieces of at most PIECE_BYTES, or of one document."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -162,12 +168,12 @@ def pieces(column: pa.Array, fold: bool = False) -> Iterator[Piece]:
     at = 0
     while at < len(column):
         to = min(at + PIECE_DOCS, max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, "right")) - 1), len(column))
-        yield Piece(at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], fold)
+        yield Piece(at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], fold, inside)
         at = to
 
 
-def in_pieces(batches, column: str, fold: bool = False) -> Iterator[tuple[pa.RecordBatch, Piece]]:
+def in_pieces(batches, column: str, fold: bool = False, inside: np.ndarray = _SOLID) -> Iterator[tuple[pa.RecordBatch, Piece]]:
     """Every piece of every batch, with the rows of the batch that it covers."""
     for batch in batches:
-        for piece in pieces(batch.column(column), fold):
+        for piece in pieces(batch.column(column), fold, inside):
             yield batch.slice(piece.first, piece.n), piece
