@@ -35,7 +35,8 @@ LEAST_WORDS = 20
 PERCENT = 5
 SEED = 42
 SCALE = 1000
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between words.
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,10 +46,9 @@ def positions(docs: DataFrame, id_col: str, text_col: str, orders: int = ORDERS,
     A document without words has one row without a word.
     """
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartition("row")
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_WORD), F.lit(0))
-    table = texts.select("row", "id", F.posexplode_outer(words).alias("pos", "raw"))
-    folded = F.when(F.col("raw").rlike("[A-Z]"), F.translate("raw", _UPPER, _LOWER)).otherwise(F.col("raw"))
-    table = table.select("row", "id", "pos", folded.alias("word"))
+    # Extracting all matches copies the text for each of them; splitting doesn't.
+    words = F.array_remove(F.split(F.translate("text", _UPPER, _LOWER), _BETWEEN), "")
+    table = texts.select("row", "id", F.posexplode_outer(words).alias("pos", "word"))
     order = Window.partitionBy("row").orderBy("pos")
     following = [F.lead("word", k).over(order).alias(f"w{k}") for k in range(1, orders)]
     table = table.select("row", "id", "word", *following)
