@@ -5,16 +5,20 @@ blocks.  Every block passes points, for its length and its commas and less its
 share of link text, to the elements around it: all to the nearest, half to the
 next, less and less beyond.  The element with the most points is the article's
 container (or the article or main element around it); a sibling of it is kept
-too if it scores a fair part as much or reads like prose.
+too if all that is inside it is worth a fair part as much, or most of it reads
+like prose (beside an article or main element: if it is another such).
 
 Elements that are no part of an article (menus, page headers, footers, sidebars,
 hidden parts, and those named as adverts, notices or reader comments) lend no
 points and never give text.  A name that says this in part only ("related-work")
-counts when links or brevity speak for it too, and no name counts against an
-element that holds most of the page below a main heading.  Forms and field sets
-go when they have little text for their controls: one around the whole page
-stays.  Lists of links go outside the container only; nothing else inside what
-is kept is dropped or cut.
+counts when links speak for it too, or, in the absence of prose, brevity; one
+that stands for links or controls ("social") doesn't count against prose without
+links in an article.  No name counts against an element that holds most of the
+page below a main heading.  Forms and field sets go when they have little text
+for their controls: one around the whole page stays.  Lists of links go outside
+the container only; nothing else inside what is kept is dropped or cut.  Blocks
+end where block elements begin or end: drawings, scripts, buttons and the like
+inside a paragraph leave it whole, and a button without an end is nothing.
 
 Defined cases: a null or empty page has the text ""; unclosed and stray tags
 end where HTML ends them; a page without containers gives all its text; of
@@ -37,14 +41,18 @@ from pyspark.sql import functions as F
 # Element names of HTML, and words in class and id names.
 _INLINE = frozenset("math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded mphantom semantics a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title xmp iframe noembed noframes template svg annotation annotation-xml noscript object canvas audio video select datalist".split())
-_NEVER = frozenset("nav footer aside button dialog menu head".split())
+_RAW = frozenset("script style textarea title xmp iframe noembed noframes template svg annotation annotation-xml noscript object canvas audio video select datalist button".split())
+_NEVER = frozenset("nav footer aside dialog menu head".split())
+#: Of the elements passed over, those that hold others; the rest end at the first end tag.
+_NESTED = frozenset("template svg noscript object canvas audio video select".split())
 _FORMS = frozenset("form fieldset".split())
 _CONTROLS = frozenset("input select textarea button".split())
 _KEEPERS = frozenset("html body article main".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
-_STRONG = re.compile("ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promos|promotion|comment|comments|commentlist|commentary|disqus|replies|respond|nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|footer|sidebar|share|sharing|social|related|recommended|newsletter|subscribe|subscription|cookie|cookies|consent|gdpr|popup|modal|overlay|pagination|pager|outbrain|taboola|skip|toolbar|login|signup|search")
-_WEAK = re.compile("header|masthead|banner|notice|notices|notification|alert|widget|tags|aside|side|rail|topbar|disclaimer|copyright|paywall|legal")
+_STRONG = re.compile("ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promos|promotion|comment|comments|commentlist|commentary|disqus|replies|respond|nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|footer|sidebar|share|sharing|social|related|recommended|newsletter|subscribe|subscription|cookie|cookies|consent|gdpr|popup|modal|overlay|pagination|pager|outbrain|taboola|skip|toolbar|login|signup|search|notice|notices|notification|alert|paywall|disclaimer|copyright")
+#: Of these, what stands for links and controls, not for prose.
+_LINKS = frozenset("nav navbar navigation menu menus breadcrumb breadcrumbs share sharing social related recommended pagination pager skip toolbar login signup search".split())
+_WEAK = re.compile("header|masthead|banner|widget|tags|aside|side|rail|topbar|legal")
 _GOOD = frozenset("article body content entry main post story text page hentry column".split())
 #: What may stand beside such a word in a name without changing its sense.
 _FILLER = _GOOD | frozenset("area articles bar blog bottom box block button buttons center col container feed form global group icon icons inner item items js left like link links list may module more news outer panel posts primary right row secondary section site slot stories title top ui unit wrap wrapper you also".split())
@@ -64,8 +72,8 @@ _LINKED = 0.6
 _NAMED_LINKED, _NAMED_SHORT = 0.4, 140
 #: Text for each control that a form has around an article.
 _FORM_TEXT = 200
-#: What an element's own tag says: nothing, no article part if links say so, if links or brevity do, by its name, always.
-_FINE, _IF_LINKED, _IF_SLIGHT, _NAMED, _ALWAYS = range(5)
+#: What an element's own tag says: nothing, no article part if links say so, if links or brevity do, if it isn't all prose, by its name, always.
+_FINE, _IF_LINKED, _IF_SLIGHT, _UNLESS_PROSE, _NAMED, _ALWAYS = range(6)
 
 
 def _said(name: str, attributes: str, in_article: bool) -> int:
@@ -85,7 +93,8 @@ def _said(name: str, attributes: str, in_article: bool) -> int:
         weak = [] if _GOOD.intersection(parts) else [p for p in parts if _WEAK.fullmatch(p)]
         if strong and not (name in _KEEPERS and _GOOD.intersection(parts)) or weak and name not in _KEEPERS:
             wholly = all(p in strong or p in weak or p in _FILLER or p.isdigit() for p in parts)
-            said = max(said, _IF_LINKED if in_article and not strong else _NAMED if wholly else _IF_SLIGHT)
+            named = _UNLESS_PROSE if in_article and _LINKS.issuperset(strong) else _NAMED
+            said = max(said, _IF_LINKED if in_article and not strong else named if wholly else _IF_SLIGHT)
     return said
 
 
@@ -97,6 +106,8 @@ class _Tree:
         #: Blocks: element, text, characters in links, links.
         self.blocks: list[tuple[int, str, int, int]] = []
         self._stack, self._text, self._in_link, self._links = [0], [], False, [0, 0]
+        #: Elements passed over that end nowhere after here.
+        self._endless: set[str] = set()
         at, low = 0, None
         while at < len(page):
             found = _TAG.search(page, at)
@@ -113,8 +124,10 @@ class _Tree:
                 self._close(name)
             elif name in _RAW and not found[3].endswith("/"):
                 low = low if low is not None else page.lower()
-                end = low.find(f"</{name}", at)
-                at = len(page) if end < 0 else end
+                end = len(page) if name in self._endless else _end(low, name, at)
+                if end == len(page):
+                    self._endless.add(name)
+                at = at if end == len(page) and name == "button" else end
             else:
                 self._open(name, found[3])
         self._flush()
@@ -182,7 +195,28 @@ class _Tree:
                     del self._stack[k:]
                     break
             else:
-                self._flush()
+                if name == "p":  # a paragraph of its own; other stray end tags are nothing
+                    self._flush()
+
+
+def _end(page: str, name: str, at: int) -> int:
+    """Where the end tag of an element that is passed over begins; the page's end if there is none."""
+    if name in _NESTED:
+        depth = 1
+        for found in re.compile(f"<(/?){name}(?=[\\s/>])[^>]*").finditer(page, at):
+            depth += -1 if found[1] else not found[0].endswith("/")
+            if not depth:
+                return found.start()
+    else:
+        end = page.find(f"</{name}", at)
+        if end >= 0:
+            return end
+    return len(page)
+
+
+def _reads(text: str, in_links: int) -> bool:
+    """Whether a block is prose: hardly any links, and long or ended like a sentence."""
+    return in_links < 0.25 * len(text) and (len(text) > 80 or text[-1] in ".!?。…")
 
 
 def _around(tree: _Tree, element: int) -> Iterator[int]:
@@ -198,34 +232,38 @@ def main_text(page: str | None) -> str:
     tree = _Tree(page)
     n = len(tree.names)
     size, linked, links, controls, core = [0] * n, [0] * n, [0] * n, list(tree.controls), [x in ("main", "h1") for x in tree.names]
+    prose = [0] * n
     for element, text, in_links, many in tree.blocks:
         size[element] += len(text)
+        prose[element] += len(text) if _reads(text, in_links) else 0
         linked[element] += in_links
         links[element] += many
     for e in range(n - 1, 0, -1):  # what is inside comes later in the page
         around = tree.parents[e]
-        for sums in (size, linked, links, controls):
+        for sums in (size, linked, links, controls, prose):
             sums[around] += sums[e]
         core[around] = core[around] or core[e]
     unwanted = [False] * n
     for e in range(1, n):
         said, name = tree.said[e], tree.names[e]
         many_links = linked[e] >= _NAMED_LINKED * size[e]
-        own = said == _ALWAYS or said == _IF_LINKED and many_links or said == _IF_SLIGHT and (many_links or size[e] < _NAMED_SHORT)
-        own = own or said == _NAMED and not (core[e] and 2 * size[e] >= size[0])
+        own = said == _NAMED or said == _UNLESS_PROSE and not (not links[e] and 2 * prose[e] >= size[e]) or said == _IF_SLIGHT and (many_links or not prose[e] and size[e] < _NAMED_SHORT)
+        own = said == _ALWAYS or said == _IF_LINKED and many_links or own and not (core[e] and 2 * size[e] >= size[0])
         own = own or name == "form" and size[e] < _FORM_TEXT * max(1, controls[e]) or name == "fieldset" and size[e] < _FORM_TEXT * controls[e]
         unwanted[e] = unwanted[tree.parents[e]] or own
     menus = {e for e in range(n) if tree.names[e] in ("ul", "ol", "dl", "table", "div", "section") and links[e] >= 2 and linked[e] >= _LINKED * size[e]}
     blocks = [b for b in tree.blocks if not unwanted[b[0]]]
-    points = [0.0] * n
-    prose: dict[int, bool] = {}
+    points, inside, kept_size, kept_prose = [0.0] * n, [0.0] * n, [0] * n, [0] * n
     for element, text, in_links, _ in blocks:
         density = in_links / len(text)
         worth = (1 + text.count(",") + text.count("，") + min(3.0, len(text) / 100)) * (1 - density) * (1 if len(text) >= 25 else len(text) / 50)
         holder = tree.parents[element] if tree.names[element] in ("p", "pre", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "dd", "dt", "figcaption") else element
-        prose[element] = prose.get(element, False) or density < 0.25 and (len(text) > 80 or text[-1] in ".!?。…")
         for level, e in enumerate(_around(tree, holder)):
             points[e] += worth if level == 0 else worth / 2 if level == 1 else worth / (3 * level)
+        for e in _around(tree, element):
+            inside[e] += worth
+            kept_size[e] += len(text)
+            kept_prose[e] += len(text) if _reads(text, in_links) else 0
     best = max(range(n), key=points.__getitem__)
     if not points[best]:
         return "\n\n".join(b[1] for b in blocks if not menus.intersection(_around(tree, b[0])))
@@ -235,10 +273,15 @@ def main_text(page: str | None) -> str:
             best = outer[-1]
             break
     kept = {best}
-    if tree.names[best] not in _KEEPERS:
+    if tree.names[best] not in ("", "html", "body"):
         for e in range(n):
-            if tree.parents[e] == tree.parents[best] and not unwanted[e] and e not in menus:
-                if points[e] >= _LEAST_SHARE * points[best] or prose.get(e, False) or re.fullmatch("h[1-6]", tree.names[e]):
+            if tree.parents[e] == tree.parents[best] and not unwanted[e] and e not in menus and kept_size[e]:
+                fair = inside[e] >= _LEAST_SHARE * inside[best]
+                if tree.names[best] in _KEEPERS:
+                    fair = tree.names[e] in _KEEPERS and (fair or 2 * kept_prose[e] >= kept_size[e])
+                else:
+                    fair = fair or 2 * kept_prose[e] >= kept_size[e] or re.fullmatch("h[1-6]", tree.names[e])
+                if fair:
                     kept.add(e)
     if tree.names[best] in ("", "html", "body"):  # no container was found
         blocks = [b for b in blocks if not menus.intersection(_around(tree, b[0]))]

@@ -83,3 +83,136 @@ def test_odd_tables_of_pages(spark):
     assert html.extracted(pages.limit(0)).count() == 0
     tied = "<div><p>One text, of a certain length, with commas.</p></div><section><p>Two text, of a certain length, with commas.</p></section>"
     assert html.main_text(f"<body>{tied}</body>") == "One text, of a certain length, with commas.\n\nTwo text, of a certain length, with commas."
+
+
+LONG = "This paragraph is long, has commas, and says, at some length, what there is to say about its matter, so that it counts."
+
+
+@pytest.mark.parametrize(
+    "inside",
+    ["<svg><path d='x'/></svg>", "<svg><svg></svg>no</svg>", "<script>no</script>", "<style>no</style>", "<noscript><img src=no></noscript>", "<button>no</button>", "<button>", "</svg>", "</div>", "<select><option>no</select>"],
+)
+def test_a_paragraph_with_inline_elements_is_one_block(inside):
+    page = f"<body><article><h1>T</h1>{P}<p>Before the icon {inside} after the icon.</p></article></body>"
+    assert html.main_text(page) == f"T\n\n{TEXT}\n\nBefore the icon after the icon."
+
+
+def test_parts_of_a_container_at_any_depth():
+    page = f"<body><div id=main><section><h2>One</h2>{P}</section><section><h2>Two</h2><div><div>{P}</div></div></section></div></body>"
+    assert html.main_text(page) == f"One\n\n{TEXT}\n\nTwo\n\n{TEXT}"
+    assert html.main_text(f"<body><article>{P}</article><article><div>{P}</div></article></body>") == f"{TEXT}\n\n{TEXT}"
+    assert html.main_text(f"<body><main>{P}</main><div><p>{LONG}</p></div></body>") == TEXT
+
+
+def test_names_that_say_it_in_part():
+    assert html.main_text("<body><div class='search-engine-history'><h1>History</h1><p>A short article.</p></div></body>") == "History\n\nA short article."
+    assert html.main_text("<body><div class='menu-of-the-day'><h1>Menu</h1><p>Soup and bread.</p></div></body>") == "Menu\n\nSoup and bread."
+    assert html.main_text(f"<body><article>{P}<div class='related-work'><h2>Related work</h2><p>Others did it.</p></div></article></body>") == f"{TEXT}\n\nRelated work\n\nOthers did it."
+    social = "Social matters are of great weight to all people, and to each. " * 4
+    assert html.main_text(f"<body><article>{P}<div class=social><p>{social}</p></div></article></body>") == f"{TEXT}\n\n{social.strip()}"
+    assert html.main_text(f"<body><article>{P}<div class=social><a href=/1>Share</a> <a href=/2>Send</a></div></article></body>") == TEXT
+    for name in ("notice", "alert", "site-notice", "disclaimer"):
+        assert html.main_text(f"<body><article>{P}<div class='{name}'><p>This site, as all others do, uses cookies.</p></div></article></body>") == TEXT
+    assert html.main_text(f"<body><article>{P}<div class='post-share-count'>12 shares</div></article></body>") == TEXT
+
+
+class Plain:
+    """A second scorer for pages of nested div and section elements with p and a: by recursion, from the rules' wording."""
+
+    def __init__(self, page):
+        from html.parser import HTMLParser
+
+        root, stack = {"name": "", "kids": []}, []
+        stack.append(root)
+
+        class Reader(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                node = {"name": tag, "kids": []}
+                stack[-1]["kids"].append(node)
+                stack.append(node)
+
+            def handle_endtag(self, tag):
+                stack.pop()
+
+            def handle_data(self, data):
+                stack[-1]["kids"].append(data)
+
+        Reader().feed(page)
+        self.root, self.points = root, {}
+
+    def text(self, node, links=False):
+        out = ""
+        for kid in node["kids"]:
+            out += kid if isinstance(kid, str) and (not links or node["name"] == "a") else self.text(kid, links) if isinstance(kid, dict) else ""
+        return out
+
+    def blocks(self, node, around=()):
+        if node["name"] == "p":
+            words = " ".join(self.text(node).split())
+            return [(words, min(len(words), len(self.text(node, True))), around)] if words else []
+        return [b for kid in node["kids"] if isinstance(kid, dict) for b in self.blocks(kid, (*around, node))]
+
+    def main_text(self):
+        points, inside, size, linked, prose, links = ({} for _ in range(6))
+        blocks = self.blocks(self.root)
+        for words, in_links, around in blocks:
+            worth = (1 + words.count(",") + min(3, len(words) / 100)) * (1 - in_links / len(words)) * min(1, len(words) / 50 if len(words) < 25 else 1)
+            for level, node in enumerate(reversed(around)):
+                key = id(node)
+                points[key] = points.get(key, 0) + worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
+                inside[key], size[key], linked[key] = inside.get(key, 0) + worth, size.get(key, 0) + len(words), linked.get(key, 0) + in_links
+                links[key] = links.get(key, 0) + (in_links > 0)
+                prose[key] = prose.get(key, 0) + (len(words) if in_links < 0.25 * len(words) and (len(words) > 80 or words[-1] == ".") else 0)
+        order = [self.root]
+        for node in order:
+            node.setdefault("up", None)
+            for kid in node["kids"]:
+                if isinstance(kid, dict):
+                    kid["up"] = node
+        walk = lambda node: [node, *(x for kid in node["kids"] if isinstance(kid, dict) and kid["name"] not in ("p", "a") for x in walk(kid))]
+        nodes = walk(self.root)
+        for node in nodes:
+            for kid in node["kids"]:
+                if isinstance(kid, dict):
+                    kid["up"] = node
+        best = max(nodes, key=lambda x: points.get(id(x), 0))
+        menu = lambda x: links.get(id(x), 0) >= 2 and linked[id(x)] >= 0.6 * size[id(x)]
+        if best["name"] in ("", "body"):
+            return "\n\n".join(w for w, _, around in blocks if not any(menu(a) for a in around if a["name"] in ("div", "section")))
+        kept = {id(best)}
+        for kid in best["up"]["kids"]:
+            if isinstance(kid, dict):
+                found = self.blocks(kid, ())
+                of = sum(len(b[0]) for b in found)
+                reads = sum(len(w) for w, n, _ in found if n < 0.25 * len(w) and (len(w) > 80 or w[-1] == "."))
+                if of and not (kid["name"] != "p" and menu(kid)) and (inside.get(id(kid), 0) >= 0.2 * inside[id(best)] and kid["name"] != "p" or 2 * reads >= of or kid["name"] == "p" and self.worth(found) >= 0.2 * inside[id(best)]):
+                    kept.add(id(kid))
+        self.kept = kept
+        return "\n\n".join(self.chosen(self.root, False))
+
+    def worth(self, found):
+        return sum((1 + w.count(",") + min(3, len(w) / 100)) * (1 - n / len(w)) * min(1, len(w) / 50 if len(w) < 25 else 1) for w, n, _ in found)
+
+    def chosen(self, node, inside):
+        inside = inside or id(node) in self.kept
+        if node["name"] == "p":
+            words = " ".join(self.text(node).split())
+            return [words] if inside and words else []
+        return [w for kid in node["kids"] if isinstance(kid, dict) for w in self.chosen(kid, inside)]
+
+
+def test_random_pages_against_a_second_scorer():
+    rng = random.Random(11)
+
+    def block():
+        words = " ".join(rng.choice(["word", "other,", "thing", "and", "longer", "so,"]) for _ in range(rng.randint(1, 30)))
+        kind = rng.random()
+        return f"<p><a>{words}</a></p>" if kind < 0.25 else f"<p>{words} <a>see</a> it.</p>" if kind < 0.4 else f"<p>{words}.</p>"
+
+    def element(depth):
+        name = rng.choice(["div", "section"])
+        return f"<{name}>" + "".join(element(depth + 1) if depth < 3 and rng.random() < 0.5 else block() for _ in range(rng.randint(1, 4))) + f"</{name}>"
+
+    for _ in range(400):
+        page = "<body>" + "".join(element(0) for _ in range(rng.randint(1, 4))) + "</body>"
+        assert html.main_text(page) == Plain(page).main_text(), page
