@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,42 +15,92 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _fold_map() -> tuple[str, str]:
-    """Characters whose decomposition is one base character and marks, and those characters."""
-    pairs = []
-    for code in range(0xC0, 0x2000):
-        base = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x))
-        if len(base) == 1 and base != chr(code):
-            pairs.append((chr(code), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-_FROM, _TO = _fold_map()
-_MARKS = "[\\u0300-\\u036F]"
+def _ranges(codes: list[int]) -> str:
+    """A regular expression's class of code points, which ascend. What is below the first is turned down at once, as ranges are tried one by one."""
+    out, first = [], 0
+    for k, code in enumerate(codes):
+        if k + 1 == len(codes) or codes[k + 1] != code + 1:
+            out.append(f"\\x{{{codes[first]:x}}}-\\x{{{code:x}}}")
+            first = k + 1
+    return f"[\\x{{{codes[0]:x}}}-\\x{{10ffff}}&&[{''.join(out)}]]"
+
+
+def _folds() -> tuple[dict[str, str], list[int]]:
+    """Of the planes that have decompositions: characters whose compatible decomposition without marks differs from them, and the marks."""
+    found, marks = {}, []
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x30000)):
+        c = chr(code)
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if not base:
+            marks.append(code)
+        elif base != c:
+            found[c] = base
+    return found, marks
+
+
+_FOLDS, _MARK_CODES = _folds()
+_FROM, _TO = ("".join(x[k] for x in _FOLDS.items() if len(x[1]) == 1) for k in (0, 1))
+_FROM += "".join(map(chr, _MARK_CODES))  # what has no counterpart goes
+#: Ligatures, fractions, syllables and the like, which become several characters.
+_SEVERAL = {c: base for c, base in _FOLDS.items() if len(base) > 1}
+_SEVERAL_CLASS = _ranges([ord(c) for c in _SEVERAL])
+
+
+def _spelt(c: Column) -> Column:
+    """What one character of _SEVERAL becomes, place by place."""
+    places = []
+    for k in range(max(map(len, _SEVERAL.values()))):
+        some = {x: base for x, base in _SEVERAL.items() if len(base) > k}
+        place = F.translate(c, "".join(some), "".join(base[k] for base in some.values()))
+        places.append(place if k < 2 else F.when(c.rlike(_ranges([ord(x) for x in some])), place).otherwise(""))
+    return F.concat(*places)
+
+
+def folded(x: Column | str) -> Column:
+    """Compatible decomposition (NFKD) without combining marks."""
+    def several(t: Column) -> Column:
+        parts = F.split(t, f"(?={_SEVERAL_CLASS})")
+        spelt = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(f"^{_SEVERAL_CLASS}"), F.concat(_spelt(F.left(p, F.lit(1))), F.substr(p, F.lit(2)))).otherwise(p)), "")
+        return F.when(t.rlike(_SEVERAL_CLASS), spelt).otherwise(t)
+
+    plain = F.translate(_c(x), _FROM, _TO)
+    return F.when(F.octet_length(_c(x)) == F.char_length(_c(x)), _c(x)).otherwise(let(plain, several))
+
+
+#: All of Unicode's white space, and the four separators of ASCII that Python counts as such.
+_WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def strip(x: Column | str) -> Column:
     """Trimmed of all of Unicode's white space, not only U+0020."""
-    return F.regexp_replace(_c(x), "(?U)^\\s+|\\s+$", "")
+    return F.btrim(_c(x), F.lit(_WHITE))
 
 
 def normalized(x: Column | str, fold_dj: bool = False) -> Column:
     """Without accents, trimmed, lower case, white space as one space. The letter dj has no decomposition; fold_dj maps it to d."""
-    folded = F.regexp_replace(F.translate(_c(x), _FROM, _TO), _MARKS, "")
+    t = folded(x)
     if fold_dj:
-        folded = F.translate(folded, "đĐ", "dD")
-    return F.regexp_replace(F.lower(strip(folded)), "(?U)\\s+", " ")
+        t = F.translate(t, "đĐ", "dD")
+    return F.regexp_replace(F.lower(strip(t)), "(?U)\\s+", " ")
+
+
+#: Letters of Latin scripts that are one base letter with accents, and these letters.
+_ACCENTED, _PLAIN = ("".join(x[k] for x in _FOLDS.items() if len(x[1]) == 1 and "À" <= x[0] < "\u2000") for k in (0, 1))
 
 
 def ascii_lower(x: Column | str) -> Column:
     """Lower case with Vietnamese accents, and dj, folded."""
-    return F.translate(F.translate(F.lower(_c(x)), _FROM, _TO), "đ", "d")
+    return F.translate(F.translate(F.lower(_c(x)), _ACCENTED, _PLAIN), "đ", "d")
 
 
 def match_key(x: Column | str) -> Column:
     """ASCII only, upper case, without spaces and underscores; letters without a decomposition are gone."""
-    folded = F.regexp_replace(F.translate(_c(x), _FROM, _TO), "[^\\x00-\\x7F]", "")
-    return F.regexp_replace(F.upper(folded), "[\\s_]+", "")
+    return F.regexp_replace(F.upper(F.regexp_replace(folded(x), "[^\\x00-\\x7F]", "")), "[\\s_]+", "")
 
 
 def slug(x: Column | str) -> Column:
@@ -58,7 +111,8 @@ def slug(x: Column | str) -> Column:
 
 def tokens(x: Column | str) -> Column:
     """Runs of two or more ASCII letters and digits of the folded text; white space needs no folding for that."""
-    return F.regexp_extract_all(F.lower(F.regexp_replace(F.translate(_c(x), _FROM, _TO), _MARKS, "")), F.lit("[a-z0-9]{2,}"), 0)
+    # Extracting all matches would copy the text for each of them.
+    return F.filter(F.split(F.lower(folded(x)), "[^a-z0-9]+"), lambda t: F.length(t) > 1)
 
 
 #: Words that are no keywords.
@@ -67,8 +121,8 @@ STOPWORDS = ("la", "là", "cua", "của", "the", "va", "và", "cho", "nhung", "n
 
 def keywords(x: Column | str, most: int = 12) -> Column:
     """The first distinct words of two or more characters that are no stopwords."""
-    words = F.regexp_extract_all(F.lower(_c(x)), F.lit("(?U)\\w{2,}"), 0)
-    return F.slice(F.array_distinct(F.filter(words, lambda w: ~w.isin(*STOPWORDS))), 1, most)
+    words = F.split(F.lower(_c(x)), "(?U)\\W+")
+    return F.slice(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOPWORDS))), 1, most)
 
 
 def keyword_score(text: Column | str, words: list[str]) -> Column:
@@ -110,7 +164,7 @@ _EDGE = "^[.,;:!?()\\[\\]{}\"'`]+|[.,;:!?()\\[\\]{}\"'`]+$"
 def is_garbled(text: Column | str) -> Column:
     """Text that a broken font or scan has left: words mixed of letters and digits, odd symbols, replacement characters."""
     t = strip(F.coalesce(_c(text), F.lit("")))
-    words = F.regexp_extract_all(t, F.lit("(?U)\\S+"), 0)
+    words = F.array_remove(F.split(t, "(?U)\\s+"), "")
     clean = F.transform(words, lambda w: F.regexp_replace(w, _EDGE, ""))
     mixed = F.filter(clean, lambda w: w.rlike("[A-Za-z]") & w.rlike("\\d"))
     odd = F.filter(mixed, _suspicious)
@@ -146,12 +200,17 @@ def category(heading: Column | str, text: Column | str | None = None, fold_dj: b
     """The section's category from its heading and first three lines: numbered chapters, then strong phrases, then keywords."""
     lines = F.transform(F.slice(F.split(_c(text), "\n"), 1, 3), strip) if text is not None else F.array()
     preview = normalized(F.array_join(lines, " "), fold_dj) if text is not None else F.lit("")
-    s = F.trim(F.concat_ws(" ", normalized(F.coalesce(_c(heading), F.lit("")), fold_dj), preview))
-    any_of = lambda *w: s.rlike("|".join(w))
+    said = F.trim(F.concat_ws(" ", normalized(F.coalesce(_c(heading), F.lit("")), fold_dj), preview))
+    return let(said, _category_of)
+
+
+def _category_of(s: Column) -> Column:
+    any_of = lambda *w: reduce(or_, (s.contains(x) for x in w))
+    numbered = lambda n: s.contains(n) & s.rlike(f"\\b{n.replace('.', chr(92) + '.')}(\\.\\d+)?\\b")
     out = (
-        F.when(s.rlike("\\b1\\.7(\\.\\d+)?\\b"), "strategy")
-        .when(s.rlike("\\b1\\.8(\\.\\d+)?\\b"), "risk")
-        .when(s.rlike("\\b1\\.10(\\.\\d+)?\\b") & any_of("rui ro"), "risk")
+        F.when(numbered("1.7"), "strategy")
+        .when(numbered("1.8"), "risk")
+        .when(numbered("1.10") & any_of("rui ro"), "risk")
         .when(any_of("chuong 3") & any_of("ban dieu hanh", "danh gia"), "mdna")
         .when(any_of("chuong 5", "phan 4") & any_of("quan tri"), "governance")
         .when(any_of("chuong 6", "phan 6") & any_of("ben vung", "esg"), "sustainability")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -42,34 +42,35 @@ def _filled(df: DataFrame, names: Sequence[str]) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
+def _nodes(document: object) -> Iterator[object]:
+    """All objects and arrays of a JSON value, each before what it holds, in the order of the text."""
+    waiting = [document]
+    while waiting:
+        node = waiting.pop()
+        held = list(node.values()) if isinstance(node, dict) else node if isinstance(node, list) else None
+        if held is not None:
+            yield node
+            waiting.extend(reversed(held))
+
+
 def key_search(wanted: Sequence[str]):
-    """A function of (JSON, text to pass over): the first wanted key with a value, a level's own keys before what lies below, else NULL.
+    """A function of (JSON, text to pass over): the first wanted key with a scalar value that isn't blank, an object's own keys before what lies below, else NULL.
 
     Keys have no known path, so a batch of texts is parsed in Python; call it for the rows that need it.
     """
     names = {w.lower() for w in wanted}
 
-    def first(node: object, besides: str) -> str | None:
-        below = []
-        if isinstance(node, dict):
-            for key, value in node.items():
-                scalar = None if value is None or isinstance(value, (dict, list)) else str(value).strip()
-                if key.lower() in names and scalar and scalar.lower() != besides:
-                    return scalar
-            below = list(node.values())
-        elif isinstance(node, list):
-            below = node
-        return next((x for x in (first(b, besides) for b in below) if x), None)
+    def first(raw: str | None, besides: str | None) -> str | None:
+        try:
+            objects = (node for node in _nodes(json.loads(raw or "null")) if isinstance(node, dict))
+            fields = (str(v).strip() for node in objects for k, v in node.items() if k.lower() in names and isinstance(v, (str, int, float)))
+            return next((v for v in fields if v and v.lower() != (besides or "").lower()), None)
+        except (ValueError, RecursionError):
+            return None
 
     @F.pandas_udf("string")
     def search(raw: pd.Series, besides: pd.Series) -> pd.Series:
-        def one(doc: str | None, other: str | None) -> str | None:
-            try:
-                return first(json.loads(doc), (other or "").lower()) if doc else None
-            except (ValueError, RecursionError):
-                return None
-
-        return pd.Series([one(d, o) for d, o in zip(raw, besides, strict=True)], dtype=object)
+        return pd.Series(list(map(first, raw, besides)), dtype=object)
 
     return search
 

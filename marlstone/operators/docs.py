@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from urllib.parse import urljoin, urlsplit
 
@@ -40,55 +39,52 @@ def sections(pages: DataFrame, file_col: str = "file", page_col: str = "page", t
     return ended.join(last, "file").withColumn("page_end", F.coalesce(after, "last_page")).drop("last_page")
 
 
-def overlap_prefix(before: str, overlap: int) -> str:
-    """The end of a piece from its last sentence border, else from its first white space."""
-    tail = before[-overlap:].strip() if overlap > 0 else ""
-    borders = list(re.finditer(r"[.!?;:]\s+", tail))
-    if borders:
-        return tail[borders[-1].end() :].strip()
-    space = re.search(r"\s+", tail)
-    return tail[space.end() :].strip() if space else tail
+def _windows(part: Column, most: int, overlap: int) -> Column:
+    """A long paragraph's windows, each ``overlap`` into the one before; the last is the first that reaches the end."""
+    step = most - overlap
+    last = F.ceil((F.length(part) - most) / step).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: text.strip(F.substring(part, k * step + 1, F.lit(most))))
 
 
-def split_text(body: str, least: int = MIN_CHARS, most: int = MAX_CHARS, overlap: int = OVERLAP) -> list[str]:
-    """Paragraphs packed up to a length, longer ones cut with overlap; short pieces go, then each gets the end of the one before."""
-    if overlap >= most:
-        raise ValueError("overlap must be below the largest length")
-    pieces: list[str] = []
-    held = ""
-    for part in (p.strip() for p in re.split(r"\n{2,}", body)):
-        if not part:
-            continue
-        joined = f"{held}\n\n{part}" if held else part
-        if len(joined) <= most:
-            held = joined
-            continue
-        if held:
-            pieces.append(held)
-        held = part if len(part) <= most else ""
-        if not held:
-            pieces += [part[k : k + most].strip() for k in range(0, len(part), most - overlap)]
-    if held:
-        pieces.append(held)
-    pieces = [p for p in pieces if len(p) >= least]
-    out = pieces[:1]
-    for before, piece in zip(pieces, pieces[1:], strict=False):
-        prefix = overlap_prefix(before, overlap)
-        room = most - len(piece) - 1
-        if len(prefix) > room:
-            prefix = prefix[len(prefix) - room :].lstrip() if room > 0 else ""
-        out.append(f"{prefix}\n{piece}" if prefix else piece)
-    return out
+def _packed(body: Column, most: int, overlap: int) -> Column:
+    """Paragraphs joined as long as they fit, in order; one fold over the paragraphs of one text."""
+    state = lambda open_, done: F.struct(open_.alias("open"), done.alias("done"))
+    closed = lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], s["open"]))
 
+    def take(s: Column, part: Column) -> Column:
+        fits = (s["open"] != "") & (F.length(s["open"]) + 2 + F.length(part) <= most)
+        return F.when(fits, state(F.concat(s["open"], F.lit("\n\n"), part), s["done"])).when(F.length(part) <= most, state(part, closed(s))).otherwise(state(F.lit(""), F.concat(closed(s), _windows(part, most, overlap))))
 
-def split_chunks(rows: DataFrame, text_col: str = "text", least: int = MIN_CHARS, most: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """A row a piece, with piece_index; packing is sequential inside one text only, so texts are split in parallel."""
+    parts = F.filter(F.transform(F.split(body, "\n{2,}"), text.strip), lambda p: p != "")
+    return F.aggregate(parts, state(F.lit(""), F.array().cast("array<string>")), take, closed)
+
+
+def _lead_in(before: Column, piece: Column, most: int, overlap: int) -> Column:
+    """The piece after the end of the one before it: from the last sentence border in its tail, else the first white space, else all of it, cut at the left to fit."""
+    tail = F.right(before, F.lit(overlap))
+    after = lambda pattern: F.nullif(text.strip(F.regexp_extract(tail, f"(?Us)^{pattern}\\s+(.*)$", 1)), F.lit(""))
+    prefix = F.coalesce(after(".*[.!?;:]"), after("\\S*?"), text.strip(tail))
+    room = most - F.length(piece) - 1
+    fitted = lambda p: F.when(F.length(p) <= room, p).when(room > 0, F.regexp_replace(F.right(p, room), "(?U)^\\s+", "")).otherwise("")
+    return text.let(prefix, lambda p: F.concat_ws("\n", F.nullif(fitted(p), F.lit("")), piece))
 
-    @F.pandas_udf("array<string>")
-    def split(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: split_text(b, least, most, overlap) if b else [])
 
-    return rows.select(*(c for c in rows.columns if c != text_col), F.posexplode(split(text_col)).alias("piece_index", text_col))
+def split_chunks(rows: DataFrame, text_col: str = "text", least: int = MIN_CHARS, most: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """A row a piece, with piece_index: paragraphs packed up to ``most`` characters, longer ones cut with overlap; pieces below ``least`` go, then each gets the end of the one before.
+
+    A null or blank text has no pieces.
+    """
+    if overlap >= most:
+        raise ValueError("overlap must be below the largest length")
+    others = [F.col(f"`{c}`") for c in rows.columns if c != text_col]
+    pieces = F.filter(_packed(F.coalesce(text_col, F.lit("")), most, overlap), lambda p: F.length(p) >= least)
+    found = rows.select(*others, pieces.alias("__pieces"))
+    if overlap > 0:
+        pairs = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), "__pieces").alias("before"), F.col("__pieces").alias("piece"))
+        led = F.transform(F.filter(pairs, lambda x: x["piece"].isNotNull()), lambda x: F.when(x["before"].isNull(), x["piece"]).otherwise(_lead_in(x["before"], x["piece"], most, overlap)))
+        found = found.withColumn("__pieces", led)
+    # An inner posexplode would add a filter on the pieces' number, which works the pieces out once more.
+    return found.select(*others, F.posexplode_outer("__pieces").alias("piece_index", text_col)).where(F.col(text_col).isNotNull())
 
 
 def chunks(section_rows: DataFrame, stock: Column, year: Column, least: int = MIN_CHARS, most: int = MAX_CHARS, overlap: int = OVERLAP, focus: bool = True) -> DataFrame:

@@ -13,9 +13,14 @@ from marlstone.functions import num, text
 METRICS = {"cosine": (num.cosine, True), "dot": (num.dot, True), "euclid": (num.euclidean, False), "manhattan": (num.manhattan, False)}
 
 
+def _exploded(docs: DataFrame, *more: Column | str, tokens: Column) -> DataFrame:
+    """A row a token. An inner explode would add a filter on the tokens' number, which works them out once more."""
+    return docs.select(*more, F.explode_outer(tokens).alias("token")).where("token is not null")
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(token, id, tf)."""
-    return docs.select(id_col, F.explode(text.tokens(text_col)).alias("token")).groupBy("token", id_col).agg(F.count("*").alias("tf"))
+    return _exploded(docs, id_col, tokens=text.tokens(text_col)).groupBy("token", id_col).agg(F.count("*").alias("tf"))
 
 
 def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -25,7 +30,7 @@ def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(token, df, idf) with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); N counts all documents."""
     n = docs.count()
-    counted = docs.select(F.explode(F.array_distinct(text.tokens(text_col))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    counted = _exploded(docs, tokens=F.array_distinct(text.tokens(text_col))).groupBy("token").agg(F.count("*").alias("df"))
     return counted.withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
@@ -49,7 +54,9 @@ def bm25(docs: DataFrame, query: Sequence[str], id_col: str, text_col: str, k1:
         tf, df = F.col(f"tf{i}"), stats[f"df{i}"]
         idf = F.log(F.lit(1 + (stats["n"] - df + 0.5) / (df + 0.5)))
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.lit(stats["avg"] or 1.0)))
-    return rows.where(" or ".join(f"tf{i} > 0" for i in range(len(words))) or "false").select(id_col, score.alias("score"))
+    # A filter isn't pushed below inline, which would work the tokens out once more for each of them.
+    one = F.array(F.struct("len", *(F.col(f"tf{i}") for i in range(len(words)))))
+    return rows.select(id_col, F.inline_outer(one)).where(" or ".join(f"tf{i} > 0" for i in range(len(words))) or "false").select(id_col, score.alias("score"))
 
 
 class TermIndex:
@@ -64,7 +71,7 @@ class TermIndex:
     def build(cls, docs: DataFrame, path: str, id_col: str, text_col: str, buckets: int = 256) -> TermIndex:
         """Texts are tokenised once, for the postings; documents without tokens have none but count."""
         tokens = docs.select(F.col(id_col).alias("id"), text.tokens(text_col).alias("t")).withColumn("len", F.size("t").cast("long"))
-        found = tokens.select("id", "len", F.explode("t").alias("token")).groupBy("token", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+        found = _exploded(tokens, "id", "len", tokens=F.col("t")).groupBy("token", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
         dealt = found.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)))
         dealt.repartitionByRange("bucket", "token").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         spark = docs.sparkSession

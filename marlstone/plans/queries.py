@@ -422,7 +422,7 @@ def _garbled(table: str, keep: str, text: str) -> str:
 
 def _pieces(text: str, least: int, most: int, overlap: int) -> str:
     """SQL of the list of a text's pieces before they get the end of the one before."""
-    windows = f"list_transform(range(0, length(x.held), {most - overlap}), lambda k: {_strip(f'substr(x.held, cast(k as integer) + 1, {most})')})"
+    windows = f"list_transform(range(0, greatest(length(x.held) - {overlap}, 1), {most - overlap}), lambda k: {_strip(f'substr(x.held, cast(k as integer) + 1, {most})')})"
     flushed = "a.done || case when a.held <> '' then [a.held] else cast([] as varchar[]) end"
     parts = f"list_transform(list_filter(list_transform(regexp_split_to_array({text}, '\\n{{2,}}'), lambda x: {_strip('x')}), lambda x: x <> ''), lambda x: {{'held': x, 'done': cast([] as varchar[])}})"
     step = f"""case when a.held <> '' and length(a.held) + 2 + length(x.held) <= {most} then {{'held': a.held || chr(10) || chr(10) || x.held, 'done': a.done}}
@@ -433,8 +433,9 @@ def _pieces(text: str, least: int, most: int, overlap: int) -> str:
 
 def _split(table: str, keep: str, text: str, least: int = 100, most: int = 500, overlap: int = 50) -> str:
     """SQL of (keep, piece_index, text) of a table's split texts."""
-    tail = _strip(f"right(before, {overlap})")
-    prefix = f"case when regexp_matches({tail}, '[.!?;:]\\s') then regexp_extract({tail}, '(?s)^.*[.!?;:]\\s+(.*)$', 1) when regexp_matches({tail}, '\\s') then regexp_extract({tail}, '(?s)^\\S*?\\s+(.*)$', 1) else {tail} end"
+    tail = f"right(before, {overlap})"
+    after = lambda pattern: f"nullif({_strip(f"regexp_extract({tail}, '(?s)^{pattern}\\s+(.*)$', 1)")}, '')"
+    prefix = f"coalesce({after('.*[.!?;:]')}, {after('\\S*?')}, {_strip(tail)})"
     return f"""
         select {keep}, piece_index, case when piece_index = 0 or cut = '' then piece else cut || chr(10) || piece end as text from (
             select *, case when length(prefix) > room then case when room > 0 then regexp_replace(right(prefix, cast(room as bigint)), '^\\s+', '') else '' end else prefix end as cut from (
@@ -711,7 +712,7 @@ def json_repair(spark, sf_dir):
     k = F.col("event_id") % 4
     e = table(spark, sf_dir, "events")
     broken = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(k == 2, F.regexp_replace("props", "\\}$", ",}")).otherwise(F.regexp_replace("props", "^\\{|\\}$", ""))
-    return e.select("event_id", insights.repaired_json(broken).alias("fixed"))
+    return e.select("event_id", F.replace(insights.repaired_json(broken), F.lit(" "), F.lit("")).alias("fixed"))
 
 
 @query("""

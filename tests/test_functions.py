@@ -54,6 +54,18 @@ def test_folding(spark):
     assert spark.createDataFrame([("  ",)], "v string").select(text.slug("v")).first()[0] == "UNKNOWN"
 
 
+def test_every_character_folds_as_in_python(spark):
+    import unicodedata
+
+    codes = [c for c in (*range(0x20, 0xD800), *range(0xE000, 0x30000))]
+    plain = lambda s: "".join(x for x in unicodedata.normalize("NFKD", s) if not unicodedata.combining(x))
+    values = [f"a{chr(c)}b" for c in codes] + ["ﬁnance Ⅳ. №½ª①…Ｆｕｌｌ", "한국어 ﷺ", "A\u0301\u0327o\u0308", "𝐀𝟘"]
+    rows = spark.createDataFrame([(v, plain(v)) for v in values], "v string, want string").repartition(8)
+    assert [r for r in rows.withColumn("got", text.folded("v")).where("got is null or got <> want").collect()] == []
+    some = spark.createDataFrame([("ﬁnance Ⅳ. №½ Ｆｕｌｌ ①②",), (None,)], "v string").select(text.tokens("v"), text.match_key("v"), text.normalized("v")).collect()
+    assert some[0] == (["finance", "iv", "no1", "full", "12"], "FINANCEIV.NO12FULL12", "finance iv. no1⁄2 full 12") and some[1] == (None, None, None)
+
+
 @pytest.mark.parametrize(("line", "want"), [("Chương 3 Báo cáo", True), ("1.2 Rủi ro", True), ("IV. Quản trị", True), ("BUSINESS OVERVIEW", True), ("Mục tiêu:", True), ("a plain line of text", False), ("", False), ("1" * 200, False)])
 def test_headings(spark, line, want):
     assert spark.createDataFrame([(line,)], "v string").select(text.is_heading("v")).first()[0] is want

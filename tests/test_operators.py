@@ -119,14 +119,24 @@ def test_sections_and_chunks(spark):
     assert got == [(0, docs.FIRST_HEADING, "intro", 1, 1), (1, "CHAPTER ONE", "CHAPTER ONE\nbody a\nbody b", 1, 2), (2, "2.1 Next", "2.1 Next\nbody c", 2, 3)]
 
 
-def test_split_rules():
-    assert docs.split_text("x" * 100, 10, 100, 20) == ["x" * 100]
-    cut = docs.split_text("y" * 101, 10, 100, 20)
+def test_split_rules(spark):
+    def split(body, least, most, overlap):
+        df = spark.createDataFrame([(body,)], "text string")
+        return [r.text for r in docs.split_chunks(df, "text", least, most, overlap).orderBy("piece_index").collect()]
+
+    assert split("x" * 100, 10, 100, 20) == ["x" * 100]
+    cut = split("y" * 101, 10, 100, 20)
     assert cut[0] == "y" * 100 and cut[1].endswith("\n" + "y" * 21)
-    assert docs.split_text("a. bb\n\nccc", 1, 6, 3) == ["a. bb", "bb\nccc"]
-    assert docs.split_text("short", 10, 100, 5) == []
+    assert split("a. bb\n\nccc", 1, 6, 3) == ["a. bb", "bb\nccc"]
+    assert split("short", 10, 100, 5) == [] == split(None, 1, 100, 5)
+    # no window begins inside the last one's end
+    assert split("z" * 180, 1, 100, 20) == ["z" * 100] * 2
+    assert [len(p) for p in split("z" * 181, 1, 100, 20)] == [100, 100, 42]
+    # the white space that begins a tail is the first
+    assert split("aaaa bbb cc\n\ndddddddd", 1, 11, 7) == ["aaaa bbb cc", "cc\ndddddddd"]
+    assert split("one\n\ntwo", 1, 3, 0) == ["one", "two"]
     with pytest.raises(ValueError):
-        docs.split_text("x", 1, 5, 5)
+        split("x", 1, 5, 5)
 
 
 def test_links(spark):
@@ -137,10 +147,10 @@ def test_links(spark):
 
 @pytest.mark.parametrize(
     ("raw", "want"),
-    [('{"a":1}', {"a": 1}), ('```json\n{"a":1}\n```', {"a": 1}), ('{"a":[1,],}', {"a": [1]}), ('"a":1', {"a": 1}), ('<think>x</think>{"a":2}', {"a": 2}), ("[1]", None), ("", None), (None, None), ("no", None)],
+    [('{"a":1}', {"a": 1}), ('```json\n{"a":1}\n```', {"a": 1}), ('{"a":[1,],}', {"a": [1]}), ('"a":1', {"a": 1}), ('<think>x</think>{"a":2}', {"a": 2}), ("[1]", None), ("", None), (None, None), ("no", None), ('{"a":1} x', None), ('{"a":1}] x', None), ('{"a":1}, {"b":2}', None), ('{"a":NaN}', None), ('{"a":",}",}', {"a": ",}"}), ("<|think|>{x<|think|> ```{\"a\": [1, 2]}```", {"a": [1, 2]}), ('"a"', None), ("1", None), ("{}", {})],
 )
-def test_json_repair(raw, want):
-    got = insights.repaired_object(raw)
+def test_json_repair(spark, raw, want):
+    got = spark.createDataFrame([(raw,)], "v string").select(insights.repaired_json("v")).first()[0]
     assert (json.loads(got) if got else None) == want
 
 
