@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import num
-from marlstone.operators import panel
+from marlstone.operators import explain, panel
 
 
 def targets(df: DataFrame, current: str, following: str) -> DataFrame:
@@ -98,10 +98,13 @@ def driver_shares(drivers: DataFrame, k: int) -> DataFrame:
 
 
 def drivers_of(model, rows: DataFrame, features: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """(key, feature, score): importance times the value's size, or the size alone where the model has no importances."""
+    """(key, feature, score, method): contributions to the prediction; importance times the value's size where the last stage is no ensemble of trees, or the size alone where it has no importances."""
+    if hasattr(model.stages[-1], "trees") or hasattr(model.stages[-1], "depth"):
+        return explain.contributed(model, rows, features, key).select(*key, "feature", "score", F.lit("shap_contrib").alias("method"))
+    method = "importance_x_abs_value" if hasattr(model.stages[-1], "featureImportances") else "abs_feature_value"
     worth = model.stages[-1].featureImportances.toArray() if hasattr(model.stages[-1], "featureImportances") else [1.0] * len(features)
     scores = F.array(*(F.struct(F.lit(f).alias("feature"), (F.lit(float(w)) * F.abs(F.coalesce(num.finite(f), F.lit(0.0)))).alias("score")) for f, w in zip(features, worth, strict=True)))
-    return rows.select(*key, F.explode(scores).alias("d")).select(*key, "d.*")
+    return rows.select(*key, F.explode(scores).alias("d")).select(*key, "d.*", F.lit(method).alias("method"))
 
 
 def wide_predictions(detail: DataFrame, order: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import text
-from marlstone.operators import company, forecast, insights, panel
+from marlstone.operators import company, explain, forecast, insights, panel
 from marlstone.plans.queries import LINE_PANEL, PANEL, W, company_panel, macro_series, query, r, supplier_panel, table
 
 _SPACE = "regexp_replace(%s, '^\\s+|\\s+$', '', 'g')"
@@ -212,6 +212,20 @@ def industry_interactions(spark, sf_dir):
     return panel.industry_interactions(hot, 1.5, {"URGENT": ("price_mean", "missing"), "LOW": ("price_mean",), "OTHER": ("price_mean",)}).select("o_orderkey", "ix_price_mean__URGENT", "ix_price_mean__LOW")
 
 
+@query(f"""
+    with p as ({PANEL}), l as (select *, lag(revenue_current) {W} as a, lead(revenue_current) {W} as b from p)
+    select symbol, year, 3 as n_features, true as adds_up from l where revenue_current <> 0 and b is not null
+""")
+def forecast_contributions(spark, sf_dir):
+    """Whether the contributions to each forecast of a customer's next revenue, and their base, add up to the prediction."""
+    p = company_panel(spark, sf_dir)
+    features = ["revenue_current", "revenue_yoy_pct", "revenue_momentum_pct"]
+    rows = forecast.targets(p.withColumns(panel.trend_features(p, "revenue_current", "revenue")).withColumn("revenue_next", F.lead("revenue_current").over(panel.by_symbol())), "revenue_current", "revenue_next")
+    model = forecast.regressor(features, trees=5, depth=3, rate=0.3, sample=1.0).fit(rows)
+    sums = explain.contributed(model, rows, features, ["symbol", "year"]).groupBy("symbol", "year").agg(F.count("*").cast("int").alias("n_features"), (F.first("base") + F.sum("score")).alias("total"))
+    return model.transform(rows).select("symbol", "year", "prediction").join(sums, ["symbol", "year"]).select("symbol", "year", "n_features", (F.abs(F.col("total") - F.col("prediction")) < 1e-9).alias("adds_up"))
+
+
 @query()
 def batch_forecast(spark, sf_dir):
     """Two data sets (the panels of customers and of suppliers) and two targets, with metrics of each. Small models: the query shows the job."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import num, text
 from marlstone.operators import docs as documents
-from marlstone.operators import forecast, ingest, insights, market, panel, search, taxonomy, valuation
+from marlstone.operators import forecast, ingest, insights, market, panel, search, taxonomy, valuation, vectors
 from marlstone.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -337,6 +337,32 @@ def keyword_score_topk(spark, sf_dir):
 Q = "(select embedding::double[] as q from embeddings where vec_id = 0)"
 
 
+_ASKED = "select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 100 = 0"
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> vectors.VectorIndex:
+    return vectors.VectorIndex.build(table(spark, sf_dir, "embeddings"), store.scratch(spark, "vector-index"))
+
+
+@query(f"""
+    with a as ({_ASKED}), s as (select query_id, vec_id as id, round(list_cosine_similarity(embedding::double[], q), 4) as score from a, embeddings where vec_id <> query_id)
+    select query_id, cast(n as integer) as rank, score from (select *, row_number() over (partition by query_id order by score desc, id) as n from s) where n <= 10
+""")
+def vector_index_exact(spark, sf_dir):
+    """All cells and full scores: what a plain scan finds."""
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0")
+    return vector_index(spark, sf_dir).search(asked, 10, skip_own=True).select("query_id", "rank", r("score"))
+
+
+@query(f"select query_id, cast(10 as bigint) as n_found, true as enough from ({_ASKED})")
+def vector_index_search(spark, sf_dir):
+    """As many cells as a sample of queries needs, codes first; enough: at least nine tenths of all queries' exact answers are found."""
+    index, asked = vector_index(spark, sf_dir), table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0")
+    found = index.search(asked, 10, probes=index.probes_for(asked, skip_own=True), rescored=40, skip_own=True)
+    enough = vectors.recall(found, index.search(asked, 10, skip_own=True)) >= 0.9
+    return found.groupBy("query_id").agg(F.count("*").alias("n_found")).withColumn("enough", F.lit(enough))
+
+
 def _vector(metric: str):
     def run(spark, sf_dir):
         e = table(spark, sf_dir, "embeddings")

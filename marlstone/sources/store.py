@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -21,10 +22,12 @@ class KeyedTable:
     costs what its buckets hold, not the table. The file is renamed into place: of two writers that start from one version
     the second gets an error and can repeat, where renaming doesn't replace files (HDFS); elsewhere let one write at a time.
 
-    buckets: chosen for the size that the table will have, some 100 MB a bucket; an existing table keeps its number.
+    buckets: chosen for the size that the table will have, some 100 MB a bucket; an existing table keeps its number. sort:
+    columns that rows are ordered by in their files, so that a filter on them skips what it doesn't want.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], schema: StructType | str, buckets: int = 32):
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], schema: StructType | str, buckets: int = 32, sort: Sequence[str] = ()):
+        self.sort = list(sort)
         self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), list(keys), buckets
         self.schema = spark.createDataFrame([], schema).schema
         jvm = spark.sparkContext._jvm
@@ -62,7 +65,9 @@ class KeyedTable:
     def _write(self, df: DataFrame, base: int, kept: dict[int, str]) -> None:
         """The version after base: buckets of df, which get new folders, and those kept. Folders that only older versions name go."""
         folder = f"data-{uuid.uuid4().hex}"
-        df.withColumn("__bucket", self._bucket()).hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
+        dealt = df.withColumn("__bucket", self._bucket()).hint("rebalance", "__bucket")
+        dealt = dealt.sortWithinPartitions("__bucket", *self.sort) if self.sort else dealt
+        dealt.write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
         named = kept | {int(n.split("=")[1]): f"{folder}/{n}" for n in self._listed(f"{self.path}/{folder}", "__bucket=")}
         made, wanted = self._path(f"{self.path}/.{folder}"), self._path(f"{self.path}/v-{base + 1:012d}")
         out = self._fs.create(made, False)
@@ -112,6 +117,18 @@ class KeyedTable:
         return wanted.join(have.select(*common).distinct(), common, "left_anti")
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder for what a job writes and reads again, below spark.checkpoint.dir; a local session that has none gets a temporary one. It is removed when the application ends."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="marlstone-")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{what}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
 def merged(shards: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Rows of all shards; of equal keys the last shard's."""
     rows = shards[0].withColumn("__shard", F.lit(0))
