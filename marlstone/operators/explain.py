@@ -61,6 +61,8 @@ def leaves_of(node, low: dict[int, float] | None = None, high: dict[int, float]
 
 def ensemble_of(model) -> list[tuple[float, list[Leaf]]]:
     """(weight, leaves) of each tree of a fitted model of boosted trees, of a forest (whose mean is the prediction) or of one tree."""
+    if hasattr(model, "ensemble"):
+        return model.ensemble()
 
     def read(node):
         weight = node.impurityStats().count()
@@ -107,12 +109,13 @@ def contributions(ensemble: Sequence[tuple[float, list[Leaf]]], rows: np.ndarray
 
 
 def contributed(model, rows: DataFrame, features: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """(key, base, feature, score) for every row and feature, from a pipeline whose last stage is trees; null features count as 0.
+    """(key, base, feature, score) for every row and feature, from trees or a pipeline whose last stage is trees; null features count as 0.
 
     Repeated rows are explained each; an empty table gives no rows.
     """
-    ensemble, names = ensemble_of(model.stages[-1]), list(features)
-    base = base_of(ensemble)
+    last = model.stages[-1] if hasattr(model, "stages") else model
+    ensemble, names = ensemble_of(last), list(features)
+    base = base_of(ensemble) + getattr(last, "base", 0.0)
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key)
 
     def run(batches) -> Iterator[pa.RecordBatch]:

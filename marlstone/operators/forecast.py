@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import num
-from marlstone.operators import explain, panel
+from marlstone.operators import boosting, explain, panel
 
 
 def targets(df: DataFrame, current: str, following: str) -> DataFrame:
@@ -99,7 +99,7 @@ def driver_shares(drivers: DataFrame, k: int) -> DataFrame:
 
 def drivers_of(model, rows: DataFrame, features: Sequence[str], key: Sequence[str]) -> DataFrame:
     """(key, feature, score, method): contributions to the prediction; importance times the value's size where the last stage is no ensemble of trees, or the size alone where it has no importances."""
-    if hasattr(model.stages[-1], "trees") or hasattr(model.stages[-1], "depth"):
+    if not hasattr(model, "stages") or hasattr(model.stages[-1], "trees") or hasattr(model.stages[-1], "depth"):
         return explain.contributed(model, rows, features, key).select(*key, "feature", "score", F.lit("shap_contrib").alias("method"))
     method = "importance_x_abs_value" if hasattr(model.stages[-1], "featureImportances") else "abs_feature_value"
     worth = model.stages[-1].featureImportances.toArray() if hasattr(model.stages[-1], "featureImportances") else [1.0] * len(features)
@@ -138,8 +138,11 @@ class Bundle:
     def save(self, path: str) -> None:
         from pyspark.sql import SparkSession
 
-        self.model.write().overwrite().save(f"{path}/model")
-        about = json.dumps({"features": self.features, "clip_bounds": self.clip_bounds, "debt": self.debt})
+        if isinstance(self.model, boosting.Boosted):
+            self.model.save(f"{path}/model")
+        else:
+            self.model.write().overwrite().save(f"{path}/model")
+        about = json.dumps({"features": self.features, "clip_bounds": self.clip_bounds, "debt": self.debt, "boosted": isinstance(self.model, boosting.Boosted)})
         SparkSession.getActiveSession().createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @classmethod
@@ -148,7 +151,8 @@ class Bundle:
         from pyspark.sql import SparkSession
 
         about = json.loads(SparkSession.getActiveSession().read.text(f"{path}/about", wholetext=True).first()[0])
-        return cls(PipelineModel.load(f"{path}/model"), about["features"], {c: tuple(b) for c, b in about["clip_bounds"].items()}, about["debt"])
+        model = boosting.Boosted.load(f"{path}/model") if about.get("boosted") else PipelineModel.load(f"{path}/model")
+        return cls(model, about["features"], {c: tuple(b) for c, b in about["clip_bounds"].items()}, about["debt"])
 
 
 #: (target, current value, whether the loss is absolute) of each model of a data set.
@@ -157,13 +161,14 @@ TARGETS = (("revenue_next", "revenue_current", False), ("profit_after_tax_next",
 
 def batch(
     datasets: dict[str, tuple[DataFrame, Sequence[str]]], train_until: int, predict: int, clip: Sequence[str] = panel.PERCENT_LIKE, recency: str = "exp", debt: dict[str, tuple[str, str]] | None = None,
-    budget: dict[str, int] | None = None, mandatory: Sequence[str] = (), trees: int = 450,
+    budget: dict[str, int] | None = None, mandatory: Sequence[str] = (), trees: int = 450, settings: boosting.Settings | None = None,
 ) -> tuple[DataFrame, dict[str, Bundle]]:
     """(dataset, target, symbol, feature_year, target_year, actual, predicted) of all data sets and targets, and their bundles.
 
     datasets: panels (symbol, year, values, next values) and their features.  A row's target year is the year after its
     own; rows up to ``train_until`` train, with recency weights, those of ``predict`` are scored.  debt: (interest, debt)
-    columns to adjust; budget: how many features elimination leaves.
+    columns to adjust; budget: how many features elimination leaves. settings: of regularised boosting, which then
+    makes the models instead of ``regressor``.
     """
     out: DataFrame | None = None
     bundles: dict[str, Bundle] = {}
@@ -183,7 +188,10 @@ def batch(
             train = bundle.prepared(seen, columns).withColumn("weight", panel.recency_weight(F.col("target_year"), first, last, recency))
             if budget and name in budget:
                 bundle.features = eliminated(train, features, budget[name], mandatory, weight="weight", trees=min(trees, 220))
-            bundle.model = regressor(bundle.features, absolute, "weight", trees).fit(train)
+            if settings:
+                bundle.model = boosting.fit(train, bundle.features, replace(settings, absolute=absolute), weight="weight")
+            else:
+                bundle.model = regressor(bundle.features, absolute, "weight", trees).fit(train)
             test = bundle.prepared(usable.where(F.col("target_year") == predict), columns)
             scored = predicted(bundle.model, test, current).select(F.lit(name).alias("dataset"), F.lit(target).alias("target"), F.upper("symbol").alias("symbol"), F.col("year").alias("feature_year"), "target_year", F.col(target).cast("double").alias("actual"), "predicted")
             out = scored if out is None else out.unionByName(scored)

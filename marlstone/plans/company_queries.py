@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import text
-from marlstone.operators import company, explain, forecast, insights, panel
+from marlstone.operators import boosting, company, explain, forecast, insights, panel
 from marlstone.plans.queries import LINE_PANEL, PANEL, W, company_panel, macro_series, query, r, supplier_panel, table
 
 _SPACE = "regexp_replace(%s, '^\\s+|\\s+$', '', 'g')"
@@ -226,6 +226,22 @@ def forecast_contributions(spark, sf_dir):
     return model.transform(rows).select("symbol", "year", "prediction").join(sums, ["symbol", "year"]).select("symbol", "year", "n_features", (F.abs(F.col("total") - F.col("prediction")) < 1e-9).alias("adds_up"))
 
 
+@query(f"""
+    with p as ({PANEL}), l as (select *, lead(revenue_current) {W} as b from p)
+    select year, count(*) as n_rows, true as beats_mean from l where revenue_current <> 0 and b is not null group by year
+""")
+def boosted_forecast(spark, sf_dir):
+    """Regularised boosting of the next revenue's growth; whether its absolute errors are below those of the mean."""
+    p = company_panel(spark, sf_dir)
+    features = ["revenue_current", "revenue_yoy_pct", "revenue_momentum_pct"]
+    rows = forecast.targets(p.withColumns(panel.trend_features(p, "revenue_current", "revenue")).withColumn("revenue_next", F.lead("revenue_current").over(panel.by_symbol())), "revenue_current", "revenue_next")
+    model = boosting.fit(rows, features, boosting.Settings(trees=4, depth=3, rate=0.3, bins=32))
+    errors = model.transform(rows).select("year", F.abs(F.col("prediction") - F.col("label")).alias("error"), F.abs(model.base - F.col("label")).alias("plain"))
+    by_year = errors.groupBy("year").agg(F.count("*").alias("n_rows"))
+    beats = errors.agg(F.sum("error") < F.sum("plain")).first()[0]
+    return by_year.withColumn("beats_mean", F.lit(beats))
+
+
 @query()
 def batch_forecast(spark, sf_dir):
     """Two data sets (the panels of customers and of suppliers) and two targets, with metrics of each. Small models: the query shows the job."""

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import explain, forecast, vectors
+from marlstone.operators import boosting, explain, forecast, vectors
 
 
 def expected(node, row, known):
@@ -132,3 +132,62 @@ def test_a_search_reads_its_cells_only(spark, tmp_path):
     index = vectors.VectorIndex.build(df, str(tmp_path / "index"), cells=30)
     plan = index.search(df.where("vec_id = 7"), probes=2, rescored=20)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(cell" in plan
+
+
+def boosted_plainly(x, y, w, cuts, s):
+    """The same boosting in numpy, without row sampling."""
+    n = x.shape[1]
+    bins = np.column_stack([[sum(c < v for c in cuts[i]) for v in x[:, i]] for i in range(n)])
+    margin = np.full(len(y), np.median(y) if s.absolute else (w * y).sum() / w.sum())
+    for t in range(s.trees):
+        columns = boosting.chosen_columns(n, t, s)
+        g, h = w * (np.sign(margin - y) if s.absolute else margin - y), w
+        groups, leaves = [(np.arange(len(y)), 0)], []
+        while groups:
+            rows, depth = groups.pop()
+            width = max(len(cuts[c]) for c in columns) + 1
+            hist = [np.array([np.bincount(bins[rows, c], v[rows], minlength=width) for c in columns]) for v in (g, h)]
+            best = boosting.best_split(*hist, s) if depth < s.depth else None
+            if best is None:
+                leaves.append(rows)
+                continue
+            _, column, bin_ = best
+            left = bins[rows, columns[column]] <= bin_
+            groups += [(rows[left], depth + 1), (rows[~left], depth + 1)]
+        step = np.zeros(len(y))
+        for rows in leaves:
+            step[rows] = s.rate * np.sort((y - margin)[rows])[(len(rows) - 1) // 2] if s.absolute else -s.rate * boosting.shrunk(g[rows].sum(), s.alpha) / (h[rows].sum() + s.lam)
+        margin = margin + step
+    return margin
+
+
+@pytest.mark.parametrize("absolute", [False, True])
+def test_boosting_equals_a_plain_version(spark, absolute):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(201, 4))
+    x[:, 2] = rng.integers(0, 3, 201)
+    y, w = x[:, 0] * 2 - (x[:, 1] > 0) + rng.normal(size=201) / 5, rng.uniform(0.2, 2, 201)
+    df = spark.createDataFrame([(i, *map(float, r), float(b), float(c)) for i, (r, b, c) in enumerate(zip(x, y, w, strict=True))], "key long, a double, b double, c double, d double, label double, w double").repartition(3)
+    s = boosting.Settings(trees=9, depth=3, rate=0.3, sample=1.0, columns=0.7, bins=16, absolute=absolute)
+    features = ["a", "b", "c", "d"]
+    model = boosting.fit(df, features, s, weight="w")
+    got = {r.key: r.prediction for r in model.transform(df).collect()}
+    cuts = boosting.cut_points(df.select(F.array(*features).alias("x")), 4, 16)
+    want = boosted_plainly(x, y, w, cuts, s)
+    assert [got[i] for i in range(201)] == pytest.approx(want.tolist(), abs=1e-6)
+    assert np.abs(y - want).mean() < np.abs(y - y.mean()).mean() / 2 and int(np.argmax(model.importances)) == 0
+    found = explain.contributed(model, df, features, ["key"]).groupBy("key").agg((F.first("base") + F.sum("score")).alias("total"))
+    assert all(r.total == pytest.approx(got[r.key], abs=1e-9) for r in found.collect())
+
+
+def test_boosting_of_nothing_and_of_parts(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, 2.0, None), (None, 5.0, None)], "a double, label double, x string")
+    small = boosting.Settings(trees=3, sample=0.5)
+    assert boosting.fit(df.limit(0), ["a"], small).transform(df).select("prediction").collect() == [(0.0,), (0.0,)]
+    model = boosting.fit(df, ["a"], small)
+    model.save(str(tmp_path / "model"))
+    again = boosting.Boosted.load(str(tmp_path / "model"))
+    assert again.transform(df).collect() == model.transform(df).collect() and again.transform(df).columns == ["a", "label", "x", "prediction"]
+    bundle = forecast.Bundle(model, ["a"])
+    bundle.save(str(tmp_path / "bundle"))
+    assert forecast.Bundle.load(str(tmp_path / "bundle")).model.transform(df).collect() == model.transform(df).collect()
