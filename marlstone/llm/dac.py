@@ -11,7 +11,8 @@ documents in ascending id order and close at ``FILE_IDS`` ids.
 
 Defined cases: a null or empty text has only its end id; repeated rows and
 equal ids keep a row each, ordered by text; a null id comes first; an empty
-table makes no file.
+table makes no file; other columns play no part; a very long text is cut between
+words to be encoded, and its ids are in one file, which may so exceed ``FILE_IDS``.
 """
 
 from __future__ import annotations

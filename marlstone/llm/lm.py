@@ -25,7 +25,9 @@ pairs there.
 Defined cases: a null or empty text is its end token alone; repeated rows are
 counted and scored each; a null id has the text "" for its checksum; without
 training documents every score is that of an empty corpus, log10(1) a token;
-an empty table gives no rows.
+an empty table gives no rows; other columns play no part; a batch is closed after a
+whole document, so that a very long text sets its task's memory, a small multiple
+of its bytes.
 """
 
 from __future__ import annotations

@@ -11,7 +11,10 @@ thumbnail of one pixel for each block (its DC value only, no inverse DCT), and
 hashes of the thumbnail.
 
 Defined cases: a null or empty text is one block of zero bytes; equal texts
-give equal images; broken files raise ValueError in ``decode``.
+give equal images; broken files raise ValueError in ``decode``; null ids and
+repeated rows keep a row each; an empty table gives no rows; other columns play no
+part; a very long text is one image, whose arrays take a small multiple of its
+bytes, of at most ``SIDE`` squared blocks.
 """
 
 from __future__ import annotations

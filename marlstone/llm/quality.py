@@ -22,7 +22,8 @@ null id keeps its row; repeated rows are scored each on its own and counted
 each; without trusted documents the ratio is 0 for all and only the base rules
 speak; without bad ones the threshold is the trusted ones' lowest score but for
 ``MOST_LOST``; a labelled id of several rows has its least score there, so that
-the driver gets one for each id of the samples; other columns of the input are ignored or, in ``filtered``, kept.
+the driver gets one for each id of the samples; other columns of the input are ignored or, in ``filtered``, kept; an empty table gives no rows; a very long text
+is one piece, whose arrays take a small multiple of its bytes.
 """
 
 from __future__ import annotations

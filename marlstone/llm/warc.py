@@ -144,7 +144,7 @@ def parsed(records: DataFrame, column: str = "record") -> DataFrame:
     parts = records.select(F.split(text, "\r\n\r\n", 3).alias("p"))
 
     def fields(block: Column) -> Column:
-        lines = F.filter(F.slice(F.split(block, "\r?\n"), 2, 1_000_000), lambda x: F.instr(x, ":") > 1)
+        lines = F.filter(F.split(block, "\r?\n"), lambda x, i: (i > 0) & (F.instr(x, ":") > 1))
         return _last_by_name(F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("key"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("value"))))
 
     head, block = F.get("p", F.lit(0)), F.get("p", F.lit(1))
