@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from marlstone.llm import quality
-from tests.llm.test_text_operators import FOLD, components, public_tokenizers, shingle_set, texts
+from tests.llm.test_text_operators import FOLD, components, public_tokenizers, shingle_set, texts, thue_morse
 
 
 def test_stages(spark, tmp_path):
@@ -74,3 +74,13 @@ def test_all_stages_of_nulls_and_of_nothing(spark, tmp_path):
         spark.createDataFrame([(7, 1, 0), (None, 0, None)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
         out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
         assert {r.doc_id for r in out} == ({7} if rows else set())
+
+
+def test_long_regular_words_through_all_stages(spark, tmp_path):
+    """Lines that are one long word over two letters, and its complement, stay in their documents."""
+    values = [" ".join(f"w{i}x{k}" for k in range(60)) + "\n" + w for i, w in enumerate(w for n in (256, 1024, 8192) for w in thue_morse(n))]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(values)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.doc_id: r.doc_tokens for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(values)}
