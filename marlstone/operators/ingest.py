@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import num, text
@@ -74,3 +75,47 @@ def valid_years(years: Column, most: int = 6) -> Column:
     """Years from 1990 to 2100, each once, ascending, the first six."""
     whole = F.transform(years, lambda y: y.try_cast("int"))
     return F.slice(F.array_sort(F.array_distinct(F.filter(whole, lambda y: y.between(1990, 2100)))), 1, most)
+
+
+def paged(rows: DataFrame, key: str, size: int, path: str, after=None) -> DataFrame:
+    """Rows with a key above ``after`` (all without one) with ``page_no`` from 0: pages of ``size`` in ascending order of the key, the last one shorter.
+
+    Keys are unique; null ones go. Rows are dealt in ranges of the key and written below ``path`` by range, so that ranges stay as they
+    are; the ranges' counts say where each begins, and no task sorts more than one range.
+    """
+    if size < 1:
+        raise ValueError(f"a page holds {size} rows")
+    left = rows.where(F.col(key).isNotNull() if after is None else F.col(key) > F.lit(after))
+    left.repartitionByRange(key).withColumn("__range", F.spark_partition_id()).write.mode("overwrite").partitionBy("__range").parquet(path)
+    made = rows.sparkSession.read.schema(left.withColumn("__range", F.lit(0)).schema).parquet(path)
+    counts = sorted(made.groupBy("__range").agg(F.count("*")).collect())
+    before, start = [], 0
+    for number, n in counts:
+        before.append((number, start))
+        start += n
+    begins = F.broadcast(rows.sparkSession.createDataFrame(before, "__range int, __start long"))  # a row a range
+    place = F.col("__start") + F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
+    return made.join(begins, "__range").withColumn("page_no", F.floor(place / size)).select(*rows.columns, "page_no")
+
+
+def walk(rows: DataFrame, key: str, size: int, folder: str, handle: Callable[[DataFrame, int], None]) -> int:
+    """Gives each page of the rows above the bookmark to ``handle``, in order of the key, and moves the bookmark behind it; the number of pages given.
+
+    The bookmark is a file in ``folder`` for each page done, which holds its last key, so a walk that was stopped goes on with the
+    first page that isn't done. A page whose handling failed half way is given again.
+    """
+    spark = rows.sparkSession
+    typed = rows.schema[key].dataType
+    marks = spark.read.schema(f"last {typed.simpleString()}").parquet(f"{folder}/marks") if _exists(spark, f"{folder}/marks") else None
+    after = marks.agg(F.max("last")).first()[0] if marks is not None else None
+    pages = paged(rows, key, size, f"{folder}/pages-{uuid.uuid4().hex}", after)
+    ends = {r["page_no"]: r["last"] for r in pages.groupBy("page_no").agg(F.max(key).alias("last")).collect()}
+    for number in sorted(ends):
+        handle(pages.where(F.col("page_no") == number).drop("page_no"), number)
+        spark.createDataFrame([(ends[number],)], f"last {typed.simpleString()}").coalesce(1).write.mode("append").parquet(f"{folder}/marks")
+    return len(ends)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

@@ -73,7 +73,7 @@ class TermIndex:
         tokens = docs.select(F.col(id_col).alias("id"), text.tokens(text_col).alias("t")).withColumn("len", F.size("t").cast("long"))
         found = _exploded(tokens, "id", "len", tokens=F.col("t")).groupBy("token", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
         dealt = found.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)))
-        dealt.repartitionByRange("bucket", "token").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        dealt.repartitionByRange("bucket", "token", "id").sortWithinPartitions("bucket", "token", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         spark = docs.sparkSession
         lengths = spark.read.parquet(f"{path}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
         about = lengths.select(F.lit(buckets).alias("buckets"), F.lit(docs.count()).alias("n"), "total", F.lit(id_col).alias("id_col")).withColumn("mean", F.coalesce(F.try_divide("total", "n"), F.lit(0.0)))
