@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions import num, text
+from marlstone.functions import checks, num, text
 from marlstone.operators import ingest, valuation
 
 # A vendor's column names in the order in which they are tried, and the fields of the receiving service.
@@ -205,3 +205,42 @@ def valuation_inputs(metrics: DataFrame, financial: DataFrame, daily: DataFrame,
     error = F.when(F.size(gone) > 0, F.concat(F.lit("Không lấy được dữ liệu: "), F.array_join(gone, "; ")))
     industry = valuation.industry(F.col("industry_code"), F.col("industry_label"))
     return out.withColumns({"error": error, "industry": industry}).drop(*(f"__{n}" for n, _ in marked))
+
+
+def industries_of(companies: DataFrame, symbols: Sequence[str], symbol: str = "symbol", code: str = "industry_code", label: str = "industry_label", order: str = "ord") -> DataFrame:
+    """(symbol, code, label, industry) of each wanted symbol, trimmed and in upper case, once; the first row in ``order`` counts, and a symbol without one has no code.
+
+    An empty list is an error.
+    """
+    wanted = [s.strip().upper() for s in checks.required_list({"symbols": list(symbols)}, "symbols")]
+    asked = companies.sparkSession.createDataFrame([(s,) for s in dict.fromkeys(w for w in wanted if w)], "symbol string")
+    rows = companies.select(F.upper(text.strip(symbol)).alias("symbol"), F.struct(F.col(code).cast("string").alias("code"), F.col(label).alias("label")).alias("i"), F.col(order).alias("__o"))
+    first = rows.join(F.broadcast(asked), "symbol", "left_semi").groupBy("symbol").agg(F.min_by("i", "__o").alias("i"))  # one request's symbols
+    return asked.join(first, "symbol", "left").select("symbol", F.col("i.code").alias(code), F.col("i.label").alias(label), valuation.industry(F.col("i.code"), F.col("i.label")).alias("industry"))
+
+
+def market_data(sections: dict[str, DataFrame], include: Sequence[str] | str | None = None, annual: int | None = None, quarterly: int | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """(symbol, section, year, quarter, payload): the wanted sections of symbols' market data as JSON rows.
+
+    sections: frames (symbol, year, quarter, values) by name; a null or zero quarter is a whole year. include: names, as a list or a text with
+    commas; nothing means all, an unknown name is an error. annual and quarterly: how many of the latest whole years and quarters of each symbol
+    and section stay, all without a number. first and last: bounds of the year, both included.
+    """
+    names = [n.strip() for n in (include.split(",") if isinstance(include, str) else [str(n) for n in include or ()]) if n.strip()] or list(sections)
+    unknown = [n for n in names if n not in sections]
+    if unknown:
+        raise ValueError(f"sections {', '.join(unknown)} aren't among {', '.join(sections)}")
+    out = None
+    for name in dict.fromkeys(names):
+        f = sections[name]
+        values = [c for c in f.columns if c not in ("symbol", "year", "quarter")]
+        one = f.select(F.upper(text.strip("symbol")).alias("symbol"), F.lit(name).alias("section"), F.col("year").cast("int").alias("year"), F.nullif(F.col("quarter").cast("int"), F.lit(0)).alias("quarter"), F.to_json(F.struct(*values)).alias("payload"))
+        out = one if out is None else out.unionByName(one)
+    for bound, fits in ((first, lambda y: y >= first), (last, lambda y: y <= last)):
+        out = out.where(fits(F.col("year"))) if bound is not None else out
+    if annual is None and quarterly is None:
+        return out
+    kind = F.col("quarter").isNull()
+    place = F.dense_rank().over(Window.partitionBy("symbol", "section", kind).orderBy(F.desc("year"), F.desc_nulls_last("quarter")))
+    most = F.when(kind, F.lit(annual)).otherwise(F.lit(quarterly))
+    return out.withColumns({"__place": place, "__most": most}).where("__most is null or __place <= __most").drop("__place", "__most")

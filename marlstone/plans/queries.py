@@ -480,16 +480,17 @@ def _category_case(s: str) -> str:
     return "case " + " ".join(f"when {rule} then '{name}'" for rule, name in rules) + " else 'other' end"
 
 
-def _section_chunks_sql() -> str:
+def _section_chunks_sql(pages: str = "documents", focus: bool = False) -> str:
     s = f"trim({_normalized('heading')} || ' ' || {_normalized('preview')})"
     found = _normalized("heading || ' ' || text")
+    wanted = f"(select * from c where category in {documents.FOCUS})" if focus else "c"
     return f"""
-        with l as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents), t as (select doc_id, line_no, {_strip('raw')} as line from l),
+        with l as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as line_no from {pages}), t as (select doc_id, line_no, {_strip('raw')} as line from l),
         h as (select *, {_is_heading('line')} as heading from t where line <> ''), m as (select *, count(*) filter (where heading) over (partition by doc_id order by line_no) as section from h),
         e as (select doc_id as file, section, coalesce(max(case when heading then line end), '{documents.FIRST_HEADING}') as heading, string_agg(line, chr(10) order by line_no) as text from m group by 1, 2),
         p as (select *, array_to_string(list_transform(string_split(text, chr(10))[1:3], lambda x: {_strip('x')}), ' ') as preview from e where length(text) >= 100),
         c as (select *, {_category_case(s)} as category from p where not {_noise('heading')} and not regexp_matches({found}, '{"|".join(documents.DISCLOSURES)}')),
-        k as ({_split('c', 'file, section, category', 'text')}), g as ({_garbled('k', 'file, section, category, piece_index, text', 'text')}),
+        k as ({_split(wanted, 'file, section, category', 'text')}), g as ({_garbled('k', 'file, section, category, piece_index, text', 'text')}),
         n as (select *, row_number() over (partition by file order by section, piece_index) as chunk_index from g where not garbled and not contents)
         select file, section, cast(piece_index as integer) as piece_index, cast(chunk_index as integer) as chunk_index, 'D' || file || '_2025_' || lpad(cast(chunk_index as varchar), 4, '0') as chunk_id, category, length(text) as n_chars from n
     """

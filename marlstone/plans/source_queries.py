@@ -74,7 +74,7 @@ def bm25_index_topk(spark, sf_dir):
     rows as (select symbol, year + 1 as ty, year as fy, revenue_current * 1.1 as rp from p join c using (symbol) where reported),
     k as (select symbol, y, arg_max(fy, (case when ty = y then 10000 else 0 end) + ty) as fy, arg_max(rp, (case when ty = y then 10000 else 0 end) + ty) as rp from (select distinct symbol, y from q) join rows using (symbol) group by 1, 2),
     z as (select symbol, max(year) as fy, arg_max(revenue_current, year) * 1.05 as rp from p group by 1)
-    select q.request_id, q.symbol, q.y as predict_target_year, coalesce(k.fy, case when bundled then z.fy end) as feature_year, round(coalesce(k.rp, case when bundled then z.rp end), 3) as revenue_pred,
+    select q.request_id, q.symbol, q.y as predict_target_year, coalesce(k.fy, case when bundled then z.fy end) as feature_year, round(coalesce(k.rp, case when bundled then z.rp end), 4) as revenue_pred,
         case when k.symbol is not null then 'report' when bundled and early.symbol is not null then 'cache' when bundled then 'computed' end as tier, case when k.symbol is null and not coalesce(bundled, false) then 'FORECAST_SYMBOL_NOT_FOUND' end as error_code
     from q left join c using (symbol) left join k on k.symbol = q.symbol and k.y = q.y left join z on z.symbol = q.symbol left join early on early.symbol = q.symbol and early.y = q.y
 """)
@@ -93,17 +93,17 @@ def forecast_answers(spark, sf_dir):
     bundles = customers.where("c_acctbal >= 0").select("symbol", F.col("c_mktsegment").alias("digest"))
     answers.answered(asked.where("o_orderstatus = 'F'"), report, report.limit(0), store, bundles, compute)
     out = answers.answered(asked, report, report.limit(0), store, bundles, compute)
-    return out.select("request_id", "symbol", "predict_target_year", "feature_year", r("revenue_pred", 3), "tier", "error_code")
+    return out.select("request_id", "symbol", "predict_target_year", "feature_year", r("revenue_pred"), "tier", "error_code")
 
 
 @query("""
-    with w as (select c_custkey from customer where c_custkey not in (select o_custkey from orders))
+    with w as (select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT'))
     select c_custkey, (row_number() over (order by c_custkey) - 1) // 20 as page_no from w
 """)
 def pending_pages(spark, sf_dir):
-    """Customers without orders, in pages of 20 by key."""
+    """Customers without urgent orders, in pages of 20 by key."""
     customers = table(spark, sf_dir, "customer").select("c_custkey")
-    left = ingest.pending(customers, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    left = ingest.pending(customers, table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
     return ingest.paged(left, "c_custkey", 20, scratch(spark, "paged"))
 
 

@@ -112,3 +112,22 @@ def test_batch_and_saved_bundles(spark, tmp_path):
     back = forecast.Bundle.load(str(tmp_path / "m"))
     score = lambda b: sorted(r.prediction for r in b.model.transform(b.prepared(data, ("roe", "debt")).withColumn("label", F.lit(0.0))).collect())
     assert back.features == bundle.features and back.clip_bounds == bundle.clip_bounds and back.debt == bundle.debt and score(back) == score(bundle)
+
+
+def test_industries_by_list(spark):
+    listing = spark.createDataFrame([(" aaa", "8350", "Ngân hàng", 2), ("AAA", "1", "other", 3), ("BBB", None, None, 1)], "symbol string, industry_code string, industry_label string, ord int")
+    got = {r.symbol: (r.industry_code, r.industry_label) for r in company.industries_of(listing, ["aaa", " BBB ", "AAA", "zzz", ""]).collect()}
+    assert got == {"AAA": ("8350", "Ngân hàng"), "BBB": (None, None), "ZZZ": (None, None)}
+    with pytest.raises(ValueError, match="symbols"):
+        company.industries_of(listing, [])
+
+
+def test_market_data_sections(spark):
+    rows = spark.createDataFrame([("a", 2020, 0, 1.0), ("a", 2021, None, 2.0), ("a", 2021, 1, 3.0), ("a", 2021, 2, 4.0), ("b", 2019, 4, None)], "symbol string, year int, quarter int, v double")
+    sections = {"x": rows, "y": rows.limit(0)}
+    pick = lambda *a, **k: sorted((r.symbol, r.section, r.year, r.quarter or 0, r.payload) for r in company.market_data(sections, *a, **k).collect())
+    assert len(pick()) == 5 and pick("y") == [] and pick(["x", "x"]) == pick("x")
+    assert pick("x", annual=1, quarterly=1) == [("A", "x", 2021, 0, '{"v":2.0}'), ("A", "x", 2021, 2, '{"v":4.0}'), ("B", "x", 2019, 4, "{}")]
+    assert pick("x", annual=0, first=2021) == [("A", "x", 2021, 1, '{"v":3.0}'), ("A", "x", 2021, 2, '{"v":4.0}')]
+    with pytest.raises(ValueError, match="z aren't"):
+        company.market_data(sections, "x,z")

@@ -8,7 +8,7 @@ from pathlib import Path
 
 import pytest
 
-from marlstone.plans import company_queries, source_queries  # noqa: F401  register their queries
+from marlstone.plans import company_queries, model_queries, source_queries  # noqa: F401  register their queries
 from marlstone.plans.queries import ORACLE_SQL, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
