@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import num, text
+from marlstone.sources.store import scratch
 
 
 def alias_value(df: DataFrame, aliases: Sequence[str]) -> Column:
@@ -108,7 +108,7 @@ def walk(rows: DataFrame, key: str, size: int, folder: str, handle: Callable[[Da
     typed = rows.schema[key].dataType
     marks = spark.read.schema(f"last {typed.simpleString()}").parquet(f"{folder}/marks") if _exists(spark, f"{folder}/marks") else None
     after = marks.agg(F.max("last")).first()[0] if marks is not None else None
-    pages = paged(rows, key, size, f"{folder}/pages-{uuid.uuid4().hex}", after)
+    pages = paged(rows, key, size, scratch(spark, "pages"), after)
     ends = {r["page_no"]: r["last"] for r in pages.groupBy("page_no").agg(F.max(key).alias("last")).collect()}
     for number in sorted(ends):
         handle(pages.where(F.col("page_no") == number).drop("page_no"), number)
