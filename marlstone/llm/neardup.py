@@ -8,6 +8,9 @@ for more shared entries before a pair is verified.  The l of least estimated
 cost is taken from the sizes of the lists that each prefix would read.  Where
 two documents meet, their sizes give the overlap that just this pair needs, and
 what of it may lie behind the prefixes; the rest must be shared in them.
+No pair shares more than what either document has in common with any other, so
+that a document also knows the largest partner it can have: documents with a
+template in common and a seventh of their own never meet.
 
 Only what can link travels.  Documents with the same set are one class.  A
 document whose shingles are mostly found nowhere else has no partner and leaves
@@ -41,7 +44,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.shared import shards, written
@@ -140,11 +144,12 @@ def _dealt(docs: DataFrame, words: int, common: int) -> DataFrame:
         carried: list = []
         digests: list[bytes] = []
         sizes: list[np.ndarray] = []
-        many = 0
+        part, seq, many = TaskContext.get().partitionId(), 0, 0
 
         def close() -> pa.RecordBatch:
             owner, token = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            name = hashlib.blake2b(repr((ids, carried)).encode() + b"".join(digests), digest_size=7).digest()
+            # with its place, so that equal batches, as of a file read twice, stay apart
+            name = hashlib.blake2b(repr((part, seq, ids, carried)).encode() + b"".join(digests), digest_size=7).digest()
             batch = int.from_bytes(name, "big")
             shard = (mix(token) % np.uint64(n_shards)).astype(np.int32)
             order = np.lexsort((token, shard))
@@ -177,7 +182,7 @@ def _dealt(docs: DataFrame, words: int, common: int) -> DataFrame:
             many += len(token)
             if many >= HELD or len(ids) >= BATCH_DOCS // 2:
                 yield close()
-                held, ids, carried, digests, sizes, many = [], [], [], [], [], 0
+                held, ids, carried, digests, sizes, seq, many = [], [], [], [], [], seq + 1, 0
         if ids:
             yield close()
 
@@ -231,9 +236,6 @@ def _assembled(percent: int):
         token, owner, df = token[some], owner[some], df[some]
         order = np.lexsort((token, df, owner))
         token, owner, df = token[order], owner[order], df[order]
-        new = np.ones(len(token), bool)  # rows repeated in whole batches bring their shingles twice
-        new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-        token, owner, df = token[new], owner[new], df[new]
         edges = np.searchsorted(owner, np.arange(len(sizes) + 1))
         rows = []
         for i in np.flatnonzero(enough & (sizes > 0)):
@@ -331,21 +333,28 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _round(postings: DataFrame, labels: DataFrame, percent: int, number: int) -> DataFrame:
     """Pairs (pivot, cls, n) that share enough entries: each posting list compares its members with the one that this round's hash puts first.
 
-    A pair that is similar enough shares at least its needed overlap less what lies behind the prefix that ends first.
+    A pair that is similar enough shares at least its needed overlap less what lies behind the prefix that ends first,
+    and neither is larger than the other's ``most``.
     """
     listed = postings.join(labels, "cls")
-    member = F.struct(F.col("cls").alias("pivot"), F.col("label").alias("pl"), F.col("n").alias("pn"), F.col("behind").alias("pb"))
+    member = F.struct(F.col("cls").alias("pivot"), F.col("label").alias("pl"), F.col("n").alias("pn"), F.col("behind").alias("pb"), F.col("most").alias("pm"))
     pivots = listed.groupBy("token").agg(F.min_by(member, F.struct(F.xxhash64("cls", F.lit(number)), "cls")).alias("p"), F.min("label").alias("low"), F.max("label").alias("high"))
-    met = listed.join(pivots.where("low <> high").select("token", "p.*"), "token").where("label <> pl").where(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
+    met = listed.join(pivots.where("low <> high").select("token", "p.*"), "token").where("label <> pl").where(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent).where("n <= pm and pn <= most")
     needed = F.ceil(percent * (F.col("n") + F.col("pn")) / (100 + percent)) - F.greatest("behind", "pb")
     return met.groupBy("pivot", "cls").agg(F.count("*").alias("common"), F.min(needed).alias("needed"), F.min("n").alias("n")).where("common >= needed").select("pivot", "cls", "n")
 
 
+def _band(size: Column) -> Column:
+    """Sizes that differ by less than two thirds are in one band or in neighbours; larger sizes are never in lower bands."""
+    return F.floor(F.log(size.cast("double")) * 2)
+
+
 def _rest(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Groups (token, chunk, block) of classes that hold every pair of classes in different components with enough common entries.
 
-    The member in the smaller component asks. Lists are cut into chunks by a hash of the member, and what one asking class
-    meets in one chunk is counted together. Askers with the same longest list meet mostly the same classes, so a block
+    The member in the smaller component asks. Lists are cut by the members' sizes, into bands, and by a hash of the member,
+    into chunks; who asks gets the lists of the sizes that a partner can have, unless all in them can only have smaller
+    partners. What one asking class meets in one chunk is counted together. Askers with the same longest list meet mostly the same classes, so a block
     of them is verified as one group, in which each class is once: pairs have no rows of their own.
     """
     size = labels.groupBy("label").agg(F.count("*").cast("int").alias("size"))
@@ -356,16 +365,18 @@ def _rest(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     longest, heaviest = (int(x or 0) for x in mixed.agg(F.max("many"), F.max("weight")).first())
     chunks = 1 + max(longest // (2 * GROUP), heaviest // (2 * GROUP_SHINGLES))
     listed = written(listed.join(mixed.select("token", "top", "many"), "token"), "mixed-postings")
-    columns = ["cls", "n", "behind", "size", "label"]
-    lists = listed.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.lit(chunks))).groupBy("token", "chunk").agg(*(F.collect_list(c).alias(f"{c}s") for c in columns))
-    asking = listed.where(key < F.col("top")).select("token", "many", *columns)
-    met = asking.join(lists, "token")
+    columns = ["cls", "n", "behind", "most", "size", "label"]
+    cut = listed.withColumns({"band": _band(F.col("n")), "chunk": F.pmod(F.xxhash64("cls"), F.lit(chunks))})
+    lists = cut.groupBy("token", "band", "chunk").agg(*(F.collect_list(c).alias(f"{c}s") for c in columns), F.max("most").alias("accepts"))
+    least, largest = F.ceil(F.col("n") * percent / 100), F.least(F.floor(F.col("n") * 100 / percent), "most")
+    asking = listed.where(key < F.col("top")).select("token", "many", *columns, F.explode(F.sequence(_band(least), _band(largest))).alias("band"))
+    met = asking.join(lists, ["token", "band"]).where("n <= accepts")
 
     def count(table: pa.Table) -> pa.Table:
         mine = {c: table.column(c)[0].as_py() for c in columns}
         other = {c: table.column(f"{c}s").combine_chunks().flatten().to_numpy().astype(np.int64) for c in columns}
         higher = (other["size"] > mine["size"]) | ((other["size"] == mine["size"]) & (other["label"] > mine["label"]))
-        fits = higher & (np.minimum(other["n"], mine["n"]) * 100 >= percent * np.maximum(other["n"], mine["n"]))
+        fits = higher & (np.minimum(other["n"], mine["n"]) * 100 >= percent * np.maximum(other["n"], mine["n"])) & (other["n"] <= mine["most"]) & (other["most"] >= mine["n"])
         found, at, common = np.unique(other["cls"][fits], return_index=True, return_counts=True)
         needed = -(-percent * (other["n"][fits][at] + mine["n"]) // (100 + percent)) - np.maximum(other["behind"][fits][at], mine["behind"])
         found = found[common >= needed]
@@ -409,8 +420,10 @@ def linked(
     names = written(every.where("n > 0").groupBy("digest").agg(F.min(F.coalesce("id", last)).alias("low")).withColumn("cls", F.monotonically_increasing_id()), "set-names")
     rich = dealt.groupBy("batch").applyInArrow(_assembled(percent), _CLASS).withColumn("low", F.coalesce("id", last))
     firsts = rich.join(names, ["digest", "low"]).dropDuplicates(["cls"])
-    classes = written(firsts.select("cls", "n", (F.size("tokens") - F.col("prefix")).alias("behind"), "prefix", "tokens"), "classes")
-    postings = classes.select("cls", "n", "behind", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token"))
+    # n + size of partner <= shared * (100 + percent) / percent, and no more is shared than tokens
+    most = F.expr(f"cast(size(tokens) as long) * {100 + percent} div {percent} - n")
+    classes = written(firsts.select("cls", "n", (F.size("tokens") - F.col("prefix")).alias("behind"), most.alias("most"), "prefix", "tokens"), "classes")
+    postings = classes.select("cls", "n", "behind", "most", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token"))
     several = postings.groupBy("token").count().where("count > 1").select("token")
     postings = written(postings.join(several, "token"), "postings")
     labels = classes.select("cls", F.col("cls").alias("label"))

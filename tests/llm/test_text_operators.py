@@ -132,6 +132,43 @@ def test_one_large_group_of_near_copies(spark):
     assert {d: r.component_id for d, r in got.items()} == want
 
 
+def test_every_pair_is_found_without_rounds(spark):
+    """All links from the last step, which cuts lists by size: random texts, and beginnings of one text from 1 to 400 words."""
+    long = [f"w{i}" for i in range(400)]
+    values = texts() + [" ".join(long[:k]) for k in (*range(1, 12), *range(14, 400, 9), 400)]
+    got = rows(neardup.linked(frame(spark, values), rounds=0))
+    want = components({i: shingle_set(t) for i, t in enumerate(values)})
+    assert {d: r.component_id for d, r in got.items()} == want
+
+
+def test_documents_with_a_template_never_meet(spark, monkeypatch):
+    """Four fifths of each document are in all of them: none can be similar enough to another, so no pair is looked at but near copies."""
+    rng, seen, plain = random.Random(5), {}, neardup.written
+
+    def spied(df, what):
+        out = plain(df, what)
+        seen[what] = seen.get(what, 0) + out.count()
+        return out
+
+    template = " ".join(f"t{i}" for i in range(200))
+    values = [template + "".join(f" u{i}x{k}" for k in range(rng.randint(40, 60))) for i in range(120)]
+    values += [f"{values[3]} end", f"{values[8]} other end"]
+    monkeypatch.setattr(neardup, "written", spied)
+    got = rows(neardup.linked(frame(spark, values)))
+    assert {d: r.component_id for d, r in got.items()} == {i: {120: 3, 121: 8}.get(i, i) for i in range(122)}
+    assert seen["postings"] > 500 and seen["dealt-pairs"] <= 6 and seen["asks"] == 0
+
+
+def test_equal_batches_stay_apart(spark, tmp_path):
+    """The same rows from several files are batches of one content."""
+    frame(spark, ["a b c d e f g", "h i j k l m n o"]).coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    docs = one.unionByName(one).unionByName(one)
+    batches = neardup._dealt(docs.selectExpr("doc_id as id", "text", "cast(null as long) as carried"), 5, 500).where("ids is not null")
+    assert batches.select("batch").distinct().count() == batches.count() >= 3
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.linked(docs).collect()) == [(0, 3, 0)] * 3 + [(1, 4, 1)] * 3
+
+
 def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     assert neardup.linked(frame(spark, [])).count() == 0
     again = frame(spark, ["a b c d e f g", "A b c d e f g", "a b c d e f g", None, "a b c d e f g"], ids=[5, 5, 9, None, None])
