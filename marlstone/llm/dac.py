@@ -10,9 +10,11 @@ so that it is written and read by Spark on any store.  Files hold whole
 documents in ascending id order and close at ``FILE_IDS`` ids.
 
 Defined cases: a null or empty text has only its end id; repeated rows and
-equal ids keep a row each, ordered by text; a null id comes first; an empty
-table makes no file; other columns play no part; a very long text is cut between
-words to be encoded, and its ids are in one file, which may so exceed ``FILE_IDS``.
+equal ids keep a row each, ordered by the text's start, then by its hash; a null
+id comes first; an empty table makes no file; other columns play no part; a very
+long text is cut between words to be encoded, and its ids are in one file, which
+may so exceed ``FILE_IDS``.  The rows of one id, alike or not, are dealt to
+several tasks where they are many.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ FILE_IDS = 1 << 20
 _BLOCK = 512
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
 _MAGIC = b"DAC1"
+#: Characters of a text that order rows of one id before its hash does.
+_START = 64
 
 
 def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
@@ -112,8 +116,9 @@ def files(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
 
     part, seq give their order, before the ids in the part's files before.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    dealt = texts.repartitionByRange(shards(docs, text_col), "id").sortWithinPartitions("id", "text").select("id", "text", F.spark_partition_id().alias("part"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("id"), F.substring("text", 1, _START), F.xxhash64("text"), F.col("row")]
+    dealt = texts.repartitionByRange(shards(docs, text_col), *order).sortWithinPartitions(*order).select("id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         encoder = tokens.library_encoder(path)

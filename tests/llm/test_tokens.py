@@ -104,3 +104,16 @@ def test_repeated_and_missing_ids(spark):
     assert [(d, n) for _, d, n in got] == [(None, 1), (None, 2), (5, 2), (5, 2), (5, 3)] and [s for s, _, _ in got] == [0, 1, 3, 5, 7]
     packed = packing.packed(packing.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"), 0)).collect()
     assert sorted((r.doc_id or 0, r.doc_tokens) for r in packed) == [(0, 1), (0, 2), (5, 2), (5, 2), (5, 3)]
+
+
+def test_rows_of_one_id_are_dealt_to_several_tasks(spark):
+    """Alike or not, with an id or without."""
+    values = [(7, "same text")] * 300 + [(None, f"text {i}") for i in range(300)] + [(9, "z")]
+    docs = spark.createDataFrame(values, "doc_id long, text string").repartition(3)
+    files = dac.files(docs, public_tokenizers.path("word_bpe_49k.json"), 1)
+    got = sorted(dac.read(files).collect(), key=lambda r: r.start)
+    assert files.select("part").distinct().count() >= 3
+    assert [r.doc_id for r in got] == [None] * 300 + [7] * 300 + [9]
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
+    want = whole("word_bpe_49k.json", [t for _, t in values])
+    assert sorted(r.ids_crc32 for r in got) == sorted(zlib.crc32(np.array([*w, 1], "<u4").tobytes()) for w in want)
