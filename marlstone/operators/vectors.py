@@ -5,7 +5,10 @@ ids: cell centres by k-means, and for each part of the vector a book of 256 code
 for what is left after the centre.  Every point is then indexed.  A search looks
 for each query in the cells whose centres are nearest, ranks these cells' points by
 their codes, and scores the best of them by their full vectors.  With all cells and
-all points rescored a search is exact, in the same way.
+all points rescored a search is exact, in the same way: a matrix product of queries
+and points leaves out pairs that can't be among the best, by more than rounding.
+A task holds k answers a query and scores ``TILE`` pairs at a time, however many
+queries and points meet in it.
 
 The index is a keyed table, so that points are added, replaced and deleted by id.
 Points of one cell stand together in its files, which are read by cell.  Vectors of
@@ -37,7 +40,9 @@ CODES = 256
 PART = 4
 #: Queries that the number of probes is measured on.
 TUNED_ROWS = 200
-#: Bytes of the queries that are broadcast at once.
+#: Pairs of a query and a point, or of a row and a centre, that are compared at once.
+TILE = 1 << 20
+#: Bytes of the queries, and of the lists of those that look into each cell, that are broadcast at once.
 BLOCK_BYTES = 32 << 20
 _SCHEMA = "id long, cell int, codes binary, embedding array<float>, changed long"
 
@@ -50,13 +55,14 @@ def _sound(vec: Column, cosine: bool) -> Column:
 
 def _matrix(column: pa.Array, cosine: bool) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.float32)
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
     return rows / np.linalg.norm(rows, axis=1, keepdims=True) if cosine and rows.size else rows
 
 
 def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Number of the centre nearest to each row."""
-    return np.argmin((centres**2).sum(1) - 2 * rows @ centres.T, axis=1)
+    sizes, step = (centres**2).sum(1), max(1, TILE // len(centres))
+    return np.concatenate([np.argmin(sizes - 2 * rows[a : a + step] @ centres.T, axis=1) for a in range(0, max(1, len(rows)), step)])
 
 
 def k_means(rows: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -115,7 +121,7 @@ class VectorIndex:
             raise ValueError("an index needs points to fit its cells")
         cells = cells or min(MOST_CELLS, max(1, round(rows.count() ** 0.5)))
         sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("embedding").toArrow()
-        model = Model.fit(_matrix(sample.column(0), metric == "cosine"), metric, cells)
+        model = Model.fit(_matrix(sample.column(0), metric == "cosine").astype(np.float32), metric, cells)
         spark.createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
         KeyedTable(spark, f"{path}/points", ["id"], _SCHEMA, buckets, sort=["cell"]).replace(_keyed(model, rows.dropDuplicates(["id"]), 0))
         return cls(spark, path)
@@ -141,7 +147,8 @@ class VectorIndex:
         cosine = self.model.metric == "cosine"
         asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & _sound(F.col("v"), cosine)).dropDuplicates(["id"])
         checked_vectors(asked, "v", self.size)
-        blocks = max(1, -(-asked.count() * self.size * 8 // block_bytes))
+        probes = None if probes is None or probes >= len(self.model.centres) else probes
+        blocks = max(1, -(-asked.count() * (self.size + (probes or 0)) * 8 // block_bytes))
         out = None
         for b in range(blocks):
             found = self._block(asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow(), k, probes, rescored, skip_own)
@@ -167,31 +174,31 @@ class VectorIndex:
         model, cosine = self.model, self.model.metric == "cosine"
         ids, wanted = block.column("id").to_numpy(), _matrix(block.column("v"), cosine)
         wanted = wanted.reshape(len(ids), self.size)
-        n_cells = len(model.centres)
-        if probes is None or probes >= n_cells:
-            looked = np.tile(np.arange(n_cells), (len(ids), 1))
-        else:
-            far = (model.centres**2).sum(1) - 2 * wanted @ model.centres.T
-            looked = np.argpartition(far, probes - 1, axis=1)[:, :probes]
-        cells = np.unique(looked).tolist()
-        shared = self.spark.sparkContext.broadcast((ids, wanted, [np.flatnonzero((looked == c).any(1)) for c in range(n_cells)]))
+        asking = None if probes is None else _asking(wanted, model.centres, probes)
+        shared = self.spark.sparkContext.broadcast((ids, wanted, asking))
         rows = self.table.read()
-        rows = rows.where(F.col("cell").isin(cells)) if len(cells) < n_cells else rows
+        rows = rows if asking is None else rows.where(F.col("cell").isin([c for c, q in enumerate(asking) if len(q)]))
 
         def run(batches) -> Iterator[pa.RecordBatch]:
             ids, wanted, asking = shared.value
-            held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64))
+            best = Best(len(ids), k)
+            every = np.arange(len(ids))
             for batch in batches:
                 of, points = batch.column("cell").to_numpy(), batch.column("id").to_numpy()
                 full = _matrix(batch.column("embedding"), cosine)
+                if not rescored and asking is None:
+                    _score(best, cosine, every, wanted, full, points, ids, skip_own)
+                    continue
                 codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(len(of), -1)
-                found = [held]
-                for c in np.unique(of).tolist():
-                    q, here = asking[c], np.flatnonzero(of == c)
-                    if len(q):
-                        found.append(_scored(model, c, q, wanted[q], here, codes, full, points, ids, max(k + 1, rescored) if rescored else len(here), skip_own))
-                held = _best(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", "id", "score"])
+                order = np.lexsort((points, of))  # equal codes go by id
+                cells, starts = np.unique(of[order], return_index=True)
+                for c, here in zip(cells.tolist(), np.split(order, starts[1:]), strict=True):
+                    q = every if asking is None else asking[c]
+                    if rescored and max(k + 1, rescored) < len(here):
+                        _score_coded(best, model, c, q, wanted, codes[here], full[here], points[here], ids, max(k + 1, rescored), skip_own)
+                    else:
+                        _score(best, cosine, q, wanted, full[here], points[here], ids, skip_own)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best.rows(ids)], ["query_id", "id", "score"])
 
         return rows.select("id", "cell", "codes", "embedding").mapInArrow(run, "query_id long, id long, score double")
 
@@ -210,32 +217,91 @@ def _keyed(model: Model, rows: DataFrame, change: int) -> DataFrame:
     return rows.select("id", "embedding").mapInArrow(run, _SCHEMA)
 
 
-def _scored(model: Model, cell: int, q: np.ndarray, wanted: np.ndarray, here: np.ndarray, codes: np.ndarray, full: np.ndarray, points: np.ndarray, ids: np.ndarray, most: int, skip_own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, point, score) of a cell's points; of more than ``most``, those that their codes put nearest."""
-    if most < len(here):
-        here = here[np.argsort(points[here], kind="stable")]  # equal codes go by id
-        about = np.zeros((len(q), len(here)), np.float32)
-        rest = wanted - model.centres[cell]
+def _asking(wanted: np.ndarray, centres: np.ndarray, probes: int) -> list[np.ndarray]:
+    """For each cell, the queries that look into it: those that have it among their nearest ``probes``."""
+    step = max(1, TILE // len(centres))
+    looked = [np.zeros((0, probes), np.int32)]
+    for a in range(0, len(wanted), step):
+        far = (centres**2).sum(1) - 2 * wanted[a : a + step] @ centres.T
+        looked.append(np.argpartition(far, probes - 1, axis=1)[:, :probes].astype(np.int32))
+    cells = np.concatenate(looked).reshape(-1)
+    order = np.argsort(cells, kind="stable")
+    return np.split((order // probes).astype(np.int32), np.searchsorted(cells[order], np.arange(1, len(centres))))
+
+
+class Best:
+    """The k best points so far of each query, by (score, less id)."""
+
+    def __init__(self, n: int, k: int):
+        self.k = max(1, k)
+        self.scores, self.ids = np.full((n, self.k), -np.inf), np.zeros((n, self.k), np.int64)
+
+    def add(self, rows: np.ndarray, found: np.ndarray, scores: np.ndarray) -> None:
+        mine = np.unique(rows)
+        at, place = np.nonzero(self.scores[mine] > -np.inf)
+        held = mine[at]
+        rows, found, scores = np.concatenate([held, rows]), np.concatenate([self.ids[held, place], found]), np.concatenate([self.scores[held, place], scores])
+        order = np.lexsort((found, -scores, rows))
+        rows, found, scores = rows[order], found[order], scores[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        kept = place < self.k
+        self.ids[rows[kept], place[kept]], self.scores[rows[kept], place[kept]] = found[kept], scores[kept]
+
+    def rows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, place = np.nonzero(self.scores > -np.inf)
+        return ids[at], self.ids[at, place], self.scores[at, place]
+
+
+def _score(best: Best, cosine: bool, q: np.ndarray, wanted: np.ndarray, full: np.ndarray, points: np.ndarray, ids: np.ndarray, skip_own: bool) -> None:
+    """Adds what the points are to the queries q. The products tell who can be among the best; scores, and so ties, don't depend on the tile."""
+    if not len(points):
+        return
+    sizes, step = (full**2).sum(1), max(1, TILE // len(points))
+    for a in range(0, len(q), step):
+        of = q[a : a + step]
+        near, own = wanted[of] @ full.T, (wanted[of] ** 2).sum(1)
+        floor = best.scores[of, -1]
+        # of sums of n products, in any order
+        slack = 4 * (full.shape[1] + 4) * np.finfo(np.float64).eps * (np.sqrt(own) + np.sqrt(sizes.max())) ** 2
+        if not cosine:
+            near, floor = 2 * near - sizes - own[:, None], -(floor**2)
+        mask = near >= (floor - slack)[:, None]
+        if skip_own:
+            mask &= ids[of][:, None] != points
+        many = np.flatnonzero(mask.sum(1) > 4 * best.k)
+        if len(many):
+            some = np.where(mask[many], near[many], -np.inf)
+            least = np.partition(some, len(points) - best.k, axis=1)[:, len(points) - best.k]
+            mask[many] &= some >= (least - 2 * slack[many])[:, None]
+        rows, at = np.nonzero(mask)
+        _add(best, cosine, of[rows], at, wanted, full, points)
+
+
+def _score_coded(best: Best, model: Model, cell: int, q: np.ndarray, wanted: np.ndarray, codes: np.ndarray, full: np.ndarray, points: np.ndarray, ids: np.ndarray, most: int, skip_own: bool) -> None:
+    """Adds the ``most`` points of a cell, in the order of their ids, that their codes put nearest to each of the queries q."""
+    step = max(1, TILE // len(points))
+    for a in range(0, len(q), step):
+        of = q[a : a + step]
+        about = np.zeros((len(of), len(points)), np.float32)
+        rest = wanted[of] - model.centres[cell]
         for i, book in enumerate(model.books):
             part = rest[:, i * PART : (i + 1) * PART]
-            about += ((book**2).sum(1) - 2 * part @ book.T)[:, codes[here, i]]
-        chosen = here[np.argsort(about, axis=1, kind="stable")[:, :most]]
-    else:
-        chosen = np.tile(here, (len(q), 1))
-    vectors, each = full[chosen].astype(np.float64), wanted.astype(np.float64)[:, None, :]
-    scores = (vectors * each).sum(2) if model.metric == "cosine" else -np.sqrt(((vectors - each) ** 2).sum(2))
-    rows, found, scores = np.repeat(q, chosen.shape[1]), points[chosen].reshape(-1), scores.reshape(-1)
-    if skip_own:
-        other = found != ids[rows]
-        rows, found, scores = rows[other], found[other], scores[other]
-    return rows, found, scores
-
-
-def _best(rows: np.ndarray, found: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((found, -scores, rows))
-    rows, found, scores = rows[order], found[order], scores[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    return rows[place < k], found[place < k], scores[place < k]
+            about += ((book**2).sum(1) - 2 * part @ book.T).astype(np.float32)[:, codes[:, i]]
+        at = np.argsort(about, axis=1, kind="stable")[:, :most].reshape(-1)
+        rows = np.repeat(of, most)
+        if skip_own:
+            other = points[at] != ids[rows]
+            rows, at = rows[other], at[other]
+        _add(best, model.metric == "cosine", rows, at, wanted, full, points)
+
+
+def _add(best: Best, cosine: bool, rows: np.ndarray, at: np.ndarray, wanted: np.ndarray, full: np.ndarray, points: np.ndarray) -> None:
+    """Adds pairs of a query and a place of a point, with their full scores."""
+    step = max(1, TILE // full.shape[1])
+    for a in range(0, len(rows), step):
+        of, to = rows[a : a + step], at[a : a + step]
+        vectors, each = full[to], wanted[of]
+        best.add(of, points[to], (vectors * each).sum(1) if cosine else -np.sqrt(((vectors - each) ** 2).sum(1)))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -134,6 +135,31 @@ def test_a_search_reads_its_cells_only(spark, tmp_path):
     assert "PushedFilters: [In(cell" in plan
 
 
+def test_a_search_task_holds_a_tile_whatever_the_queries(spark, tmp_path, monkeypatch):
+    """All pairs of a batch at once were 2,500 x 2,500 x 24 bytes, several times over; the answers are the scan's."""
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(2500, 16)).astype(np.float32)
+    rows[100:160] = rows[7]  # equal scores go by id
+    df = spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id long, embedding array<float>")
+    index, tasks = vectors.VectorIndex.build(df, str(tmp_path / "index"), cells=4), []
+    plain = type(df).mapInArrow
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "mapInArrow", lambda self, run, schema: tasks.append((self, run)) or plain(self, run, schema))
+        index.search(df, 10, skip_own=True)
+    (read, run), = tasks
+    batches = read.toArrow().combine_chunks().to_batches()
+    tracemalloc.start()
+    (found,) = run(iter(batches))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20
+    unit = rows.astype(np.float64) / np.linalg.norm(rows.astype(np.float64), axis=1, keepdims=True)
+    scores = np.stack([(unit * u).sum(1) for u in unit])
+    np.fill_diagonal(scores, -2)
+    want = np.argsort(-scores, axis=1, kind="stable")[:, :10]
+    assert np.array_equal(found.column("id").to_numpy()[np.argsort(found.column("query_id").to_numpy(), kind="stable")].reshape(2500, 10), want)
+
+
 def boosted_plainly(x, y, w, cuts, s):
     """The same boosting in numpy, without row sampling."""
     n = x.shape[1]
