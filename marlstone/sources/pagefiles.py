@@ -6,12 +6,14 @@ given by name when the source is registered, and tried in the order of the optio
 
 from __future__ import annotations
 
+import codecs
 import fnmatch
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import BinaryIO
 
+import numpy as np
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ from marlstone.operators import docs
 
 SCHEMA = "file string, size long, page int, pages int, text string, parser string, error string"
 Parser = Callable[[BinaryIO], Sequence[str]]
+#: Bytes of a file of text that are looked through at once.
+BLOCK_BYTES = 4 << 20
 
 
 @dataclass
@@ -180,10 +184,35 @@ def register(spark: SparkSession, parsers: dict[str, Parser], name: str = "pagef
     spark.dataSource.register(Pages)
 
 
-def form_feed_pages(file: BinaryIO) -> list[str]:
+class FormFeedPages(Sequence):
+    """Pages of a text, read from the file when asked for: what is held is where each page ends."""
+
+    def __init__(self, file: BinaryIO, block: int = BLOCK_BYTES):
+        self.file = file
+        decoder = codecs.getincrementaldecoder("utf-8")()
+        ends, size = [np.zeros(0, np.int64)], 0
+        while data := file.read(block):
+            decoder.decode(data)
+            ends.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 0x0C) + size)
+            size += len(data)
+        decoder.decode(b"", final=True)
+        self.ends = np.concatenate(ends)
+        if size > (self.ends[-1] + 1 if len(self.ends) else 0):
+            self.ends = np.append(self.ends, size)
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def __getitem__(self, n: int) -> str:
+        n = range(len(self))[n]
+        start = int(self.ends[n - 1]) + 1 if n else 0
+        self.file.seek(start)
+        return self.file.read(int(self.ends[n]) - start).decode("utf-8")
+
+
+def form_feed_pages(file: BinaryIO) -> Sequence[str]:
     """Text with a form feed after each page, as text extractors write it. Other bytes than UTF-8 are an error."""
-    parts = file.read().decode("utf-8").split("\f")
-    return parts[:-1] if parts[-1] == "" else parts
+    return FormFeedPages(file)
 
 
 def reread(pages: DataFrame, file_col: str = "file", text_col: str = "text", share: float = 0.3, force: bool = False) -> DataFrame:

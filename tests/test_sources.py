@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import random
+import tracemalloc
 from collections import Counter
 from datetime import datetime
 from pathlib import Path
@@ -57,6 +59,32 @@ def test_page_files(spark, tmp_path, most):
     assert [(g[1], g[3], bool(g[5])) for g in only] == [(1, "OK", False), (2, None, True), (3, "third", False)]
 
 
+def test_form_feed_pages_hold_no_file(tmp_path):
+    """A file's bytes and its decoded text, which takes four bytes a character here, were held by each share's task."""
+    page = "đ\U0001f600 text of a page " * 400
+    (tmp_path / "a.txt").write_text("\f".join([page, "", *[page] * 3000]), encoding="utf-8")
+    tracemalloc.start()
+    with open(tmp_path / "a.txt", "rb") as file:
+        pages = pagefiles.form_feed_pages(file)
+        got = [len(pages), pages[0] == page, pages[1], pages[3001] == page]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [3002, True, "", True] and most < 40 << 20
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 1000])
+@pytest.mark.parametrize("text", ["", "\f", "a", "a\f", "\f\f", "é\f\U0001f600\f\fz", "a\f\n"])
+def test_form_feed_pages_of_blocks(text, block):
+    parts = text.split("\f")
+    assert list(pagefiles.FormFeedPages(io.BytesIO(text.encode()), block)) == (parts[:-1] if parts[-1] == "" else parts)
+
+
+@pytest.mark.parametrize("data", [b"a\xff", "é".encode()[:1], b"\xc3\fa"])
+def test_other_bytes_than_utf8_open_no_pages(data):
+    with pytest.raises(UnicodeDecodeError):
+        pagefiles.FormFeedPages(io.BytesIO(data), 1)
+
+
 def test_no_page_files(spark, tmp_path):
     assert read_pages(spark, str(tmp_path / "none")) == []
     with pytest.raises(Exception, match="parsers"):
