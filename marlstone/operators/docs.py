@@ -139,10 +139,12 @@ def html_lines(html: Column) -> Column:
 def business_areas(html: Column, most: int = 2000) -> Column:
     """Lines without their last full stop, each once whatever its case, joined, cut with an ellipsis."""
     lines = F.transform(html_lines(html), lambda x: F.regexp_replace(x, "\\.+$", ""))
-    lower = F.transform(lines, F.lower)
-    once = F.filter(F.transform(lines, lambda x, i: F.when(F.array_position(lower, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
-    joined = F.array_join(once, "; ")
-    return F.when(F.length(joined) > most, F.concat(F.rtrim(F.substring(joined, 1, most - 1)), F.lit("…"))).otherwise(joined)
+    # Looking each line up among all lines takes a page's lines squared: sorted, a line's copies stand behind its first.
+    ordered = F.array_sort(F.transform(lines, lambda x, i: F.struct(F.lower(x).alias("lower"), i.alias("at"), x.alias("line"))))
+    first = text.let(ordered, lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["lower"] != x["lower"])))
+    once = F.array_sort(F.transform(first, lambda x: F.struct(x["at"].alias("at"), x["line"].alias("line"))))
+    cut = lambda x: F.when(F.length(x) > most, F.concat(F.rtrim(F.substring(x, 1, most - 1)), F.lit("…"))).otherwise(x)
+    return text.let(F.array_join(F.transform(once, lambda x: x["line"]), "; "), cut)
 
 
 def embedding_text(title: Column, body: Column, chunk_id: Column, most: int = 3500) -> Column:

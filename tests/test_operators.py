@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -240,3 +241,17 @@ def test_report_columns_in_any_case(spark):
     assert rows(readers.report_table(df).select("symbol", "revenue_pred", "profit_pred", "target_year")) == [("ABC", 1.0, None, 2026)]
     with pytest.raises(ValueError):
         readers.report_table(df.drop("Symbol"))
+
+
+def test_business_areas_of_a_long_page(spark):
+    """Each line was looked up among all lines, which were made anew for it: a page's lines squared. The first of equal lines stays, in its own case."""
+    lines = [f"Line {i % 5000}." if i % 2 else f"LINE {i % 5000}" for i in range(10000)] + ["", "...", "Ünd", "üND.."]
+    seen, want = set(), []
+    for x in (y.rstrip(".") for y in lines if y):
+        if x.lower() not in seen:
+            seen.add(x.lower())
+            want.append(x)
+    pages = spark.createDataFrame([("<p>" + "</p><p>".join(lines) + "</p>",), (None,), ("",)], "html string")
+    began = time.monotonic()
+    got = [r[0] for r in pages.select(docs.business_areas(F.col("html"), 10**6)).collect()]
+    assert got == ["; ".join(want), None, ""] and time.monotonic() - began < 30
