@@ -136,11 +136,10 @@ def keyword_score(text: Column | str, words: list[str]) -> Column:
 
 def is_heading(line: Column | str) -> Column:
     """Chapter words, section numbers, roman numerals, short capitals, or a short line that ends with a colon."""
-    n, raw = normalized(line), F.regexp_replace(_c(line), "[^A-Za-z]", "")
-    starts = n.rlike("^(chuong|phan|muc)\\b") | n.rlike("^\\d{1,2}(\\.\\d{1,2}){0,3}\\b") | n.rlike("^(i|ii|iii|iv|v|vi|vii|viii|ix|x)\\b")
-    capitals = F.length(raw).between(4, 80) & (raw == F.upper(raw))
+    starts = lambda n: n.rlike("^(chuong|phan|muc)\\b") | n.rlike("^\\d{1,2}(\\.\\d{1,2}){0,3}\\b") | n.rlike("^(i|ii|iii|iv|v|vi|vii|viii|ix|x)\\b")
+    capitals = let(F.regexp_replace(_c(line), "[^A-Za-z]", ""), lambda raw: F.length(raw).between(4, 80) & (raw == F.upper(raw)))
     colon = strip(line).endswith(":") & (F.length(strip(line)) <= 120)
-    return F.coalesce(F.length(n).between(1, 160) & (starts | capitals | colon), F.lit(False))
+    return F.coalesce(let(normalized(line), lambda n: F.length(n).between(1, 160) & (starts(n) | colon | capitals)), F.lit(False))
 
 
 def is_noise_heading(heading: Column | str) -> Column:
@@ -163,15 +162,25 @@ _EDGE = "^[.,;:!?()\\[\\]{}\"'`]+|[.,;:!?()\\[\\]{}\"'`]+$"
 
 def is_garbled(text: Column | str) -> Column:
     """Text that a broken font or scan has left: words mixed of letters and digits, odd symbols, replacement characters."""
-    t = strip(F.coalesce(_c(text), F.lit("")))
-    words = F.array_remove(F.split(t, "(?U)\\s+"), "")
-    clean = F.transform(words, lambda w: F.regexp_replace(w, _EDGE, ""))
-    mixed = F.filter(clean, lambda w: w.rlike("[A-Za-z]") & w.rlike("\\d"))
-    odd = F.filter(mixed, _suspicious)
-    n, n_mixed, n_odd = F.size(words), F.size(mixed), F.size(odd)
-    weird = F.size(F.filter(words, lambda w: w.rlike("[\\^~`|{}<>]")))
-    lost = F.length(t) - F.length(F.replace(t, F.lit("�"), F.lit("")))
-    sure = (lost >= 0.01 * F.length(t)) | ((lost >= 3) & (lost >= 0.002 * F.length(t))) | ((n_odd >= 8) & (n_odd >= 0.12 * n))
+    return let(strip(F.coalesce(_c(text), F.lit(""))), lambda t: let(_signs(t), _judged))
+
+
+def _signs(t: Column) -> Column:
+    """Numbers of a text's words and of those that are mixed, odd and weird, of characters lost and of all."""
+
+    def counted(words: Column) -> Column:
+        # Edges hold neither letters nor digits, so that only the few mixed words need to lose theirs.
+        mixed = F.when(t.rlike("\\d"), F.transform(F.filter(words, lambda w: w.rlike("\\d") & w.rlike("[A-Za-z]")), lambda w: F.regexp_replace(w, _EDGE, ""))).otherwise(F.array().cast("array<string>"))
+        weird = F.when(t.rlike("[\\^~`|{}<>]"), F.size(F.filter(words, lambda w: w.rlike("[\\^~`|{}<>]")))).otherwise(0)
+        lost = F.length(t) - F.length(F.replace(t, F.lit("�"), F.lit("")))
+        return let(mixed, lambda m: F.struct(F.size(words).alias("n"), F.size(m).alias("mixed"), F.size(F.filter(m, _suspicious)).alias("odd"), weird.alias("weird"), lost.alias("lost"), F.length(t).alias("size")))
+
+    return let(F.array_remove(F.split(t, "(?U)\\s+"), ""), counted)
+
+
+def _judged(found: Column) -> Column:
+    n, n_mixed, n_odd, weird, lost, size = (found[k] for k in ("n", "mixed", "odd", "weird", "lost", "size"))
+    sure = (lost >= 0.01 * size) | ((lost >= 3) & (lost >= 0.002 * size)) | ((n_odd >= 8) & (n_odd >= 0.12 * n))
     long = (n_odd >= 0.10 * n) | ((n_odd >= 0.07 * n) & (weird >= 0.03 * n)) | ((n_mixed >= 0.40 * n) & (n_odd >= 5))
     medium = (n_odd >= 3) | ((n_odd >= 0.20 * n) & (weird >= 1))
     brief = (n_odd >= 2) | ((weird >= 2) & (lost >= 1))

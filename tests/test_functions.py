@@ -107,3 +107,11 @@ def test_feature_labels(spark):
     assert rows[0] == (text.FEATURE_LABELS["roe"], "mạnh")
     assert rows[1] == ("lãi suất", "vừa")
     assert rows[2] == (text.OTHER_FEATURE, "nhẹ")
+
+
+def test_garbled_texts_are_split_once(spark):
+    """Each number of words was counted from a split of its own; words with symbols at their edges count as before."""
+    odd = " ".join(["(a1b2c3),"] * 8 + ["plain"] * 12)
+    df = spark.createDataFrame([(odd,), ("plain words " * 20,), ("~x {y} �",), (None,), ("",)], "t string").select("t", text.is_garbled("t").alias("g"))
+    assert [r.g for r in df.collect()] == [True, False, True, False, False]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
